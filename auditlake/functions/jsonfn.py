@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import col_, nz
+from .text import col_, contains_any, nz
 
 
 def json_object_text(text) -> Column:
@@ -16,13 +16,28 @@ def json_object_text(text) -> Column:
     return F.when(v.isNotNull() & is_obj, F.lower(F.to_json(v)))
 
 
-def oauth_scopes(auditdata="auditdata") -> Column:
+def may_hold_scopes(text) -> Column:
+    """Cheap exact pre-test: serialised JSON can only yield scopes when the raw text
+    (lower-cased) holds ``scope``, a dangerous scope name, or a ``\\u`` escape."""
+    t = F.lower(nz(text))
+    return contains_any(t, ["scope", "\\u"] + list(K.DANGEROUS_OAUTH_SCOPES))
+
+
+def scope_json_text(text) -> Column:
+    """``json_object_text`` only for rows that pass ``may_hold_scopes`` (NULL otherwise)."""
+    return F.when((nz(text) != "") & may_hold_scopes(text), json_object_text(text))
+
+
+def oauth_scopes(auditdata="auditdata", json_text=None) -> Column:
     """Sorted distinct scope strings found in a JSON-object AuditData.
 
     Captures ``scope(s)[:=]"..."`` values split on blanks/commas (1..60 chars)
-    plus every dangerous scope that appears anywhere in the text.
+    plus every dangerous scope that appears anywhere in the text.  Pass
+    ``json_text`` (a column holding ``json_object_text(auditdata)``) so the
+    JSON is parsed once per row; the text is referenced inside lambdas where
+    no common-subexpression elimination happens.
     """
-    txt = json_object_text(auditdata)
+    txt = col_(json_text) if json_text is not None else json_object_text(auditdata)
     caps = F.regexp_extract_all(txt, F.lit(K.SCOPE_PATTERN), 1)
     parts = F.flatten(F.transform(caps, lambda c: F.split(c, K.SCOPE_SPLIT_PATTERN)))
     parts = F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))

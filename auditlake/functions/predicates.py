@@ -97,11 +97,21 @@ def risky_prior_signin(level="risk_level", state="risk_state", detail="risk_deta
 
 # -- audit log -------------------------------------------------------------------
 
+_REGEX_META = set(".^$*+?{}[]\\|()")
+
+
+def search_any(c: Column, patterns) -> Column:
+    """Regex search for any pattern; literal patterns become substring tests (same result, no backtracking)."""
+    if all(not (set(p) & _REGEX_META) for p in patterns):
+        return contains_any(c, patterns)
+    return c.rlike("|".join(patterns))
+
+
 def ual_severity(operation="operation") -> Column:
-    """'high' / 'medium' / '' by ordered regex lists over the lower-cased operation."""
+    """'high' / 'medium' / '' by ordered pattern lists over the lower-cased operation."""
     op = F.lower(nz(operation))
-    return (F.when(op.rlike("|".join(K.UAL_HIGH_PATTERNS)), F.lit("high"))
-            .when(op.rlike("|".join(K.UAL_MEDIUM_PATTERNS)), F.lit("medium"))
+    return (F.when(search_any(op, K.UAL_HIGH_PATTERNS), F.lit("high"))
+            .when(search_any(op, K.UAL_MEDIUM_PATTERNS), F.lit("medium"))
             .otherwise(F.lit("")))
 
 

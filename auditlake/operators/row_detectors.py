@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import predicates as P
-from ..functions.jsonfn import dangerous_scopes, oauth_scopes
+from ..functions.jsonfn import dangerous_scopes, oauth_scopes, scope_json_text
 from ..functions.text import concat_str, nz, opt_part, py_bool, py_list
 from ..schema import finding
 from .lookup import with_file_sha
@@ -68,8 +68,8 @@ def ual_suspicious_rows(ual: DataFrame) -> DataFrame:
     rows = (base
             .withColumn("_fwd", P.forwarding(ad_l))
             .withColumn("_inbox", P.inbox_rule(ad_l))
-            .withColumn("_scopes", F.when(nz("auditdata") != "", oauth_scopes("auditdata"))
-                        .otherwise(F.array().cast("array<string>")))
+            .withColumn("_jtxt", scope_json_text("auditdata"))
+            .withColumn("_scopes", oauth_scopes(json_text="_jtxt"))
             .withColumn("_danger", dangerous_scopes(F.col("_scopes"))))
     sev = (F.when(F.size("_danger") > 0, F.lit("high"))
            .when(F.col("_fwd"), F.lit("high"))

@@ -46,11 +46,11 @@ def _tables(spark, sf):
 
 
 def _signin(spark, sf):
-    return adapters.signin_from_events(spark, sf)
+    return adapters.load_tables(spark, sf)[0]
 
 
 def _ual(spark, sf):
-    return adapters.ual_from_events(spark, sf)
+    return adapters.load_tables(spark, sf)[1]
 
 
 def _findings(spark, sf, params=TEST_PARAMS, rules=TEST_RULES):
@@ -80,9 +80,9 @@ FCOLS = ", ".join(f'"{c}"' for c in FINDING_OUT)
 # ---------------------------------------------------------------------------
 # 2.2 normalisation over the stand-in tables
 # ---------------------------------------------------------------------------
-reg("norm_signin", lambda s, d: _signin(s, d),
+reg("norm_signin", lambda s, d: adapters.signin_from_events(s, d),
     V(select="SELECT * FROM signin"))
-reg("norm_ual", lambda s, d: _ual(s, d),
+reg("norm_ual", lambda s, d: adapters.ual_from_events(s, d),
     V(select="SELECT * FROM ual"))
 reg("agg_file_stats", lambda s, d: pivots.agg_file_stats(_signin(s, d)),
     V(select='SELECT file_id, count(*) AS "rows", min(ts_epoch) AS start_epoch, max(ts_epoch) AS end_epoch '

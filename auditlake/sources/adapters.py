@@ -9,6 +9,9 @@ is used by Spark and, in ``duckdb_views()``, by the DuckDB oracle.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from ..functions.jsonfn import operation_fallback
 from ..functions.predicates import error_code
 from ..functions.text import nz
 from ..functions.timefmt import epoch_from_ntz, iso_from_epoch
+from ..session import checkpoint_dir
 
 # Raw sign-in columns over base ``b`` (event_id, user_id, event_type, value, ts_epoch, k).
 SIGNIN_RAW = {
@@ -129,10 +133,41 @@ def files_from_tables(signin: DataFrame, ual: DataFrame) -> DataFrame:
         "start_epoch", "end_epoch", F.lit("").alias("error"))
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    signin = signin_from_events(spark, sf_dir)
-    ual = ual_from_events(spark, sf_dir)
-    return signin, ual, files_from_tables(signin, ual)
+_MATERIALIZED: dict = {}
+
+
+def _table_dir(spark: SparkSession, sf_dir: str) -> str:
+    src = os.path.abspath(sf_dir)
+    st = os.stat(os.path.join(src, "events.parquet"))
+    tag = hashlib.sha1(f"{src}|{st.st_size}|{st.st_mtime_ns}".encode()).hexdigest()[:16]
+    return os.path.join(checkpoint_dir(spark), "auditlake-tables", spark.sparkContext.applicationId, tag)
+
+
+def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True
+                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normalised (signin, ual, files) for ``sf_dir``.
+
+    With ``materialize`` the tables are written once per application as
+    Parquet under the shared checkpoint folder and read back, like the
+    normalised tables an ingest run produces; detectors then read plain
+    columns (pruned, with pushed-down filters) instead of re-deriving them.
+    """
+    if not materialize:
+        signin = signin_from_events(spark, sf_dir)
+        ual = ual_from_events(spark, sf_dir)
+        return signin, ual, files_from_tables(signin, ual)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _MATERIALIZED:
+        base = _table_dir(spark, sf_dir)
+        signin_from_events(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/signin")
+        ual_from_events(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/ual")
+        s = spark.read.parquet(f"{base}/signin")
+        u = spark.read.parquet(f"{base}/ual")
+        files_from_tables(s, u).write.mode("overwrite").parquet(f"{base}/files")
+        _MATERIALIZED[key] = base
+    base = _MATERIALIZED[key]
+    return (spark.read.parquet(f"{base}/signin"), spark.read.parquet(f"{base}/ual"),
+            spark.read.parquet(f"{base}/files"))
 
 
 # ---------------------------------------------------------------------------
