@@ -72,3 +72,28 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``auditlake`` importable in executor Python workers (like ``--py-files``).
+
+    Zips the package once per SparkContext and registers it with
+    ``addPyFile``; needed only by operators that run Python inside tasks.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="auditlake-pyfiles-")) / "auditlake.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in pkg.rglob("*.py"):
+            z.write(p, Path("auditlake") / p.relative_to(pkg))
+    sc.addPyFile(str(out))
+    _SHIPPED.add(key)
