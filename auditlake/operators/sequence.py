@@ -98,52 +98,103 @@ def saf_candidate_users(signin: DataFrame, min_fails: int) -> DataFrame:
             .select("user"))
 
 
-def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5) -> DataFrame:
-    """One row per emitted success: the success row fields plus the failures that preceded it.
-
-    Exact plan: keep failure/success rows of candidate users; split each
-    user's sequence into islands wherever two consecutive rows are more than
-    the window apart (every older failure has expired there, so islands are
-    independent); fold each island in time order with ``aggregate``.
+def _carry(per_chunk: DataFrame, value: str, how: str) -> DataFrame:
+    """Carry-in per (user, chunk) from earlier chunks of the same user (small table: one row per chunk)."""
+    w = Window.partitionBy("user").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    agg = F.sum(value).over(w) if how == "sum" else F.last(value, ignorenulls=True).over(w)
+    return per_chunk.withColumn(f"_carry_{value}", agg)
+
+
+def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5,
+                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """One row per emitted success with its failure count ``n`` (exact reference semantics).
+
+    Let C(r) be the number of failures before row r (user order) and inwin(s)
+    the number of failures in the window before success s.  Success s emits
+    iff inwin(s) >= m and C(s) - C(E) >= m, where E is the previous emission;
+    it then reports min(C(s) - C(E), inwin(s)) failures.  C and inwin come from
+    windows over (user, time chunk) partitions with a halo of one window, plus
+    a carry-in from a per-chunk table, so a hot user is split by time.  Only the
+    greedy emission chain is sequential: a fold over the valid candidate
+    successes of one island (runs separated by gaps longer than the window).
     """
     W = int(max_minutes) * 60
     m = int(min_fails)
+    L = max(int(chunk_seconds), W)
     users = saf_candidate_users(signin, m)
     rows = (signin.filter((nz("user") != "") & F.col("ts_epoch").isNotNull())
             .join(users, "user", "left_semi")
             .withColumn("_f", P.signin_failure())
             .withColumn("_s", ~F.col("_f") & P.signin_success())
-            .filter(F.col("_f") | F.col("_s")))
-    w = Window.partitionBy("user").orderBy("ts_epoch", "file_id", "rownum")
+            .filter(F.col("_f") | F.col("_s"))
+            .select("user", "ts_epoch", "file_id", "rownum", "_f", nz("ip").alias("ip"), nz("country").alias("country"),
+                    nz("app").alias("app"), nz("client_app").alias("client_app"),
+                    nz("error_code").alias("error_code"), nz("ts_iso").alias("ts_iso")))
+    h = with_halo(rows, "ts_epoch", L, W)
+    part = Window.partitionBy("user", "_chunk")
+    w = part.orderBy("ts_epoch", "file_id", "rownum")
+    own_f = (F.col("_f") & ~F.col("_halo")).cast("long")
     gap = F.col("ts_epoch") - F.lag("ts_epoch").over(w)
-    rows = (rows.withColumn("_start", F.when(gap.isNull() | (gap > W), 1).otherwise(0))
-            .withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    ev = F.struct(F.col("ts_epoch").alias("ts"), F.col("file_id"), F.col("rownum"), F.col("_f").alias("f"),
-                  nz("ip").alias("ip"), nz("country").alias("country"), nz("app").alias("app"),
-                  nz("client_app").alias("client_app"), nz("error_code").alias("error_code"),
-                  nz("ts_iso").alias("ts_iso"))
-    islands = (rows.groupBy("user", "_island")
-               .agg(F.array_sort(F.collect_list(ev)).alias("_ev"), F.sum(F.col("_f").cast("int")).alias("_nf"),
-                    F.max(F.col("_s").cast("int")).alias("_hs"))
-               .filter((F.col("_nf") >= m) & (F.col("_hs") == 1)))
-
-    def step(acc, e):
-        kept = F.filter(acc["f"], lambda x: e["ts"] - x["ts"] <= W)
-        me = F.struct(e["ts"].alias("ts"), e["ip"].alias("ip"),
-                      F.concat_ws(":", e["file_id"].cast("string"), e["rownum"].cast("string")).alias("ref"))
-        emit = (~e["f"]) & (F.size(kept) >= m)
-        new_f = F.when(e["f"], F.concat(kept, F.array(me))).when(emit, F.array().cast(T.ArrayType(_FAIL_T))) \
-            .otherwise(kept)
-        new_o = F.when(emit, F.concat(acc["o"], F.array(F.struct(e.alias("s"), kept.alias("fails"))))) \
-            .otherwise(acc["o"])
-        return F.struct(new_f.alias("f"), new_o.alias("o"))
-
-    ev_type = islands.schema["_ev"].dataType.elementType
-    emission_t = T.ArrayType(T.StructType([T.StructField("s", ev_type),
-                                           T.StructField("fails", T.ArrayType(_FAIL_T))]))
-    init = F.struct(F.array().cast(T.ArrayType(_FAIL_T)).alias("f"), F.array().cast(emission_t).alias("o"))
-    folded = islands.select("user", F.aggregate("_ev", init, step).alias("_st"))
-    return folded.select("user", F.explode("_st.o").alias("_em")).select("user", "_em.s", "_em.fails")
+    key = F.struct("ts_epoch", "file_id", "rownum")
+    h = (h.withColumn("_start", gap.isNull() | (gap > W))
+         .withColumn("_c_own", F.coalesce(F.sum(own_f).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+         .withColumn("_halo_f", F.sum((F.col("_f") & F.col("_halo")).cast("long")).over(part))
+         .withColumn("_lt", F.coalesce(F.sum(F.col("_f").cast("long")).over(
+             part.orderBy("ts_epoch").rangeBetween(Window.unboundedPreceding, -(W + 1))), F.lit(0)))
+         .withColumn("_isl_local", F.last(F.when(F.col("_start"), key), ignorenulls=True).over(
+             w.rowsBetween(Window.unboundedPreceding, 0)))
+         .filter(~F.col("_halo")))
+    per_chunk = (h.groupBy("user", "_chunk")
+                 .agg(F.sum(F.col("_f").cast("long")).alias("nf"),
+                      F.max_by(F.when(F.col("_start"), key), F.when(F.col("_start"), key)).alias("last_start")))
+    per_chunk = _carry(_carry(per_chunk, "nf", "sum"), "last_start", "last")
+    cand = (h.filter(~F.col("_f"))
+            .withColumn("_inwin", F.col("_c_own") + F.col("_halo_f") - F.col("_lt"))
+            .filter(F.col("_inwin") >= m)
+            .join(per_chunk.select("user", "_chunk", "_carry_nf", "_carry_last_start"), ["user", "_chunk"])
+            .withColumn("_C", F.coalesce(F.col("_carry_nf"), F.lit(0)) + F.col("_c_own"))
+            .withColumn("_island", F.coalesce(F.col("_isl_local"), F.col("_carry_last_start"))))
+    ev = F.struct(F.col("ts_epoch").alias("ts"), "file_id", "rownum", F.col("_C").alias("C"),
+                  F.col("_inwin").alias("inwin"), "ip", "country", "app", "client_app", "error_code", "ts_iso")
+    groups = cand.groupBy("user", "_island").agg(F.array_sort(F.collect_list(ev)).alias("_cands"))
+
+    def step(acc, c):
+        emit = acc["last"].isNull() | (c["C"] - acc["last"] >= m)
+        n = F.when(acc["last"].isNull(), c["inwin"]).otherwise(F.least(c["C"] - acc["last"], c["inwin"]))
+        return F.struct(F.when(emit, c["C"]).otherwise(acc["last"]).alias("last"),
+                        F.when(emit, F.concat(acc["o"], F.array(F.struct(c.alias("s"), n.alias("n")))))
+                        .otherwise(acc["o"]).alias("o"))
+
+    el = groups.schema["_cands"].dataType.elementType
+    out_t = T.ArrayType(T.StructType([T.StructField("s", el), T.StructField("n", T.LongType())]))
+    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(out_t).alias("o"))
+    folded = groups.select("user", F.aggregate("_cands", init, step).alias("_st"))
+    return folded.select("user", F.explode("_st.o").alias("_em")).select("user", "_em.s", "_em.n")
+
+
+def saf_failures(signin: DataFrame, emissions: DataFrame, max_minutes: int = 30) -> DataFrame:
+    """The ``n`` failures held at each emission (evidence): band join of the emissions with the
+    failures of the same user inside the window, newest ``n`` kept."""
+    W = int(max_minutes) * 60
+    f = (signin.filter((nz("user") != "") & F.col("ts_epoch").isNotNull() & P.signin_failure())
+         .select("user", F.col("ts_epoch").alias("f_ts"), F.col("file_id").alias("f_file"),
+                 F.col("rownum").alias("f_row"), nz("ip").alias("f_ip")))
+    e = emissions.select("user", F.col("s.ts").alias("e_ts"), F.col("s.file_id").alias("e_file"),
+                         F.col("s.rownum").alias("e_row"), "n")
+    # equi key (user, day bucket) on both sides keeps the band join local; the failure side is
+    # copied into the next bucket when it lies within the window of the boundary
+    L = max(86400, W)
+    fh = with_halo(f, "f_ts", L, W).drop("_halo")
+    e = e.withColumn("_chunk", chunk_of("e_ts", L))
+    j = (e.join(fh, ["user", "_chunk"])
+         .filter((F.col("f_ts") >= F.col("e_ts") - W)
+                 & (F.struct("f_ts", "f_file", "f_row") < F.struct("e_ts", "e_file", "e_row"))))
+    wr = Window.partitionBy("user", "e_file", "e_row").orderBy(F.desc("f_ts"), F.desc("f_file"), F.desc("f_row"))
+    return (j.withColumn("_k", F.row_number().over(wr)).filter(F.col("_k") <= F.col("n"))
+            .groupBy("user", "e_file", "e_row")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("f_ts").alias("ts"), F.col("f_file").alias("file_id"),
+                                                      F.col("f_row").alias("rownum"), F.col("f_ip").alias("ip"))))
+                 .alias("fails")))
 
 
 def _top_ips(fails: Column, n: int = 10) -> Column:
@@ -156,24 +207,33 @@ def _top_ips(fails: Column, n: int = 10) -> Column:
 
 
 def det_success_after_failures(signin: DataFrame, files: DataFrame | None = None, max_minutes: int = 30,
-                               min_fails: int = 5) -> DataFrame:
+                               min_fails: int = 5, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+                               with_evidence: bool = True) -> DataFrame:
     cat, title = K.FINDING_META["success_after_failures"]
-    em = saf_emissions(signin, max_minutes, min_fails)
-    em = em.select("user", "fails", F.col("s.*"))
-    em = with_file_sha(em, files)
-    n = F.size("fails")
+    em = saf_emissions(signin, max_minutes, min_fails, chunk_seconds)
+    flat = em.select("user", "n", F.col("s.*"))
+    if with_evidence:
+        fl = saf_failures(signin, em, max_minutes)
+        flat = flat.join(fl, (flat["user"] == fl["user"]) & (flat["file_id"] == fl["e_file"])
+                         & (flat["rownum"] == fl["e_row"]), "left").drop(fl["user"]).drop("e_file", "e_row")
+        fails = F.transform(F.coalesce("fails", F.array()), lambda x: F.struct(
+            x["ts"].alias("ts"), x["ip"].alias("ip"),
+            F.concat_ws(":", x["file_id"].cast("string"), x["rownum"].cast("string")).alias("ref")))
+    else:
+        fails = F.array().cast(T.ArrayType(_FAIL_T))
+    flat = with_file_sha(flat.withColumn("_fails", fails), files)
     hint = P.error_hint(F.col("error_code"))
-    details = concat_str(n.cast("string"), f" failures then success within {max_minutes}m; success_ip=",
+    details = concat_str(F.col("n").cast("string"), f" failures then success within {max_minutes}m; success_ip=",
                          F.col("ip"), " app=", F.col("app"), " client=", F.col("client_app"),
                          F.when(hint.isNotNull(), F.concat(F.lit(" ("), hint, F.lit(")"))).otherwise(F.lit("")))
     evidence = F.struct(
-        n.alias("fail_count"), _top_ips(F.col("fails")).alias("fail_ips_top"),
-        F.slice("fails", 1, 50).alias("fail_refs"),
+        F.col("n").alias("fail_count"), _top_ips(F.col("_fails")).alias("fail_ips_top"),
+        F.slice("_fails", 1, 50).alias("fail_refs"),
         F.struct(F.col("file_id"), F.col("rownum"), F.col("ip"), F.col("app"), F.col("client_app")).alias("success"),
         F.lit(int(max_minutes)).alias("window_minutes"))
     fid = concat_str("SAF-", F.col("user"), "-", F.col("file_id").cast("string"), "-",
                      F.col("rownum").cast("string"), "-", F.col("ts").cast("string"))
-    return finding(em, finding_id=fid, severity="high", category=cat, title=title, timestamp=F.col("ts_iso"),
+    return finding(flat, finding_id=fid, severity="high", category=cat, title=title, timestamp=F.col("ts_iso"),
                    user=F.col("user"), ip=F.col("ip"), country=F.col("country"),
                    file=F.col("file_id").cast("string"), rownum=F.col("rownum").cast("string"),
                    sha256=F.col("sha256"), details=details, evidence=evidence)

@@ -67,15 +67,19 @@ def saf_loop(rows, window, m):
 RT = st.sampled_from([("50126", ""), ("0", ""), ("", "Success"), ("", "failed"), ("", ""), ("50076 mfa", "")])
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", ""]), st.integers(0, 20000), RT), min_size=1, max_size=60),
-       st.integers(1, 4))
-def test_saf_matches_loop(spark, evs, m):
+       st.integers(1, 4), st.sampled_from([1800, 2500, 21600]))
+def test_saf_matches_loop(spark, evs, m, chunk):
     rows = [(u, ts, rt, s, "10.0.0.1", "ES", "app", "cli") for u, ts, (rt, s) in evs]
     df = events(spark, rows)
-    got = sorted((r["user"], int(r["rownum"]), int(r["details"].split(" ")[0]))
-                 for r in sequence.det_success_after_failures(df, None, 30, m).collect())
+    res = sequence.det_success_after_failures(df, None, 30, m, chunk_seconds=chunk).collect()
+    got = sorted((r["user"], int(r["rownum"]), int(r["details"].split(" ")[0])) for r in res)
     assert got == saf_loop(rows, 1800, m)
+    import json
+    for r in res:  # evidence holds exactly the counted failures
+        assert json.loads(r["evidence_json"])["fail_count"] == len(json.loads(r["evidence_json"])["fail_refs"][:50]) \
+            or json.loads(r["evidence_json"])["fail_count"] > 50
 
 
 def travel_loop(rows, window):
