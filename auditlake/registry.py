@@ -129,8 +129,6 @@ def _ual_classes(s, d):
                     py_list(oauth_scopes("auditdata")).alias("scopes")))
 
 
-_SCOPES_SQL = ("CASE WHEN auditdata != '' AND json_type(TRY_CAST(auditdata AS JSON)) = 'OBJECT' THEN "
-               "lower(CAST(TRY_CAST(auditdata AS JSON) AS VARCHAR)) END")
 reg("pred_ual_classes", _ual_classes)  # scopes rendering checked in tests; SQL lacks the same JSON text
 
 # ---------------------------------------------------------------------------
@@ -238,10 +236,6 @@ reg("bec_external_domains_documents", _doc_domains,
     f"""SELECT lower(dm) AS domain, count(*) AS count FROM (
   SELECT unnest(regexp_extract_all(lower(text), {_DOM}, 2)) AS dm FROM documents) GROUP BY 1""")
 
-_UB = ", ".join([
-    f"(SELECT *, 'forwarding' AS kind, 0 AS kno FROM (SELECT ts_iso AS ts, \"user\", ip, operation, "
-    f"concat(file_id, ':', rownum) AS ref, file_id, rownum FROM ual WHERE {_BEC_CAND} AND {_BEC_FWD} "
-    f"ORDER BY file_id, rownum LIMIT {K.BEC_EVENTS_PER_KIND}))"])
 reg("union_bec_events", lambda s, d: bec.union_bec_events(_ual(s, d)),
     V(select=f"""SELECT ts, "user", ip, operation, ref, kind FROM (
   SELECT * FROM (SELECT ts_iso AS ts, "user", ip, operation, concat(file_id, ':', rownum) AS ref, file_id, rownum,
@@ -342,6 +336,12 @@ reg("win_last_n_user_events", _case_events,
     V(_CASE_SQL, select=f"""SELECT "user", ts, src, ip, action, detail, ref,
   replace(replace("user", '@', '_at_'), '/', '_') AS user_key FROM ranked WHERE rn <= {K.CASE_LAST_EVENTS}"""))
 
+reg("union_case_timeline", lambda s, d: TL.case_events(_signin(s, d), _ual(s, d)).select(*TL.CASE_COLUMNS),
+    V(_CASE_SQL, select='SELECT "user", ts, src, ip, action, detail, ref FROM ev'))
+reg("semi_saf_users", lambda s, d: sequence.saf_candidate_users(_signin(s, d), 3),
+    V(select=f"""SELECT "user" FROM signin WHERE "user" != '' AND ts_epoch IS NOT NULL GROUP BY "user"
+HAVING sum(CASE WHEN {O.sql_failure()} THEN 1 ELSE 0 END) >= 3 AND sum(CASE WHEN {O.sql_success()} THEN 1 ELSE 0 END) >= 1"""))
+
 # timelines
 _TL_SIGNIN = f"""SELECT ts_iso AS ts, ts_epoch AS epoch, 'signin' AS source, "user", ip,
   CASE WHEN {O.py_failure()} THEN 'signin_failure' WHEN {O.py_success()} THEN 'signin_success' ELSE 'signin_event' END AS action,
@@ -449,6 +449,8 @@ FROM (SELECT * FROM f_all ORDER BY {_REP_RANK}, timestamp, finding_id LIMIT {K.R
 WHERE timestamp != ''"""))
 reg("sort_findings", lambda s, d: FN.sort_findings(_fa(s, d)).select(*FINDING_OUT),
     VR(_ALL, select=f"SELECT {FCOLS} FROM f_all"))
+reg("sort_findings_report", lambda s, d: FN.sort_findings_report(_fa(s, d)).select(*FINDING_OUT),
+    VR(_ALL, select=f"SELECT {FCOLS} FROM f_all ORDER BY {_REP_RANK}, timestamp, finding_id"))
 reg("filter_findings_search",
     lambda s, d: FN.filter_findings_search(_fa(s, d), "high", None, "u1").select(*FINDING_OUT),
     VR(_ALL, select=f"""SELECT {FCOLS} FROM f_all WHERE lower(severity) = 'high' AND strpos(lower(concat_ws(' ',
