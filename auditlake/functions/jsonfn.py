@@ -60,3 +60,34 @@ def operation_fallback(operation="operation", auditdata="auditdata") -> Column:
     from_json = F.when(F.schema_of_variant(v).startswith("OBJECT"),
                        F.try_variant_get(v, "$.Operation", "string"))
     return F.when(op == "", F.coalesce(from_json, F.lit(""))).otherwise(op)
+
+
+def _json_string(c: Column) -> Column:
+    """A string Column as a JSON string literal (quoted, escaped)."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+def compress_evidence(evidence_json, max_len: int = 800) -> Column:
+    """Trim each top-level evidence value (``fn_compress_evidence``).
+
+    String values longer than ``max_len`` are cut with the ``… (+k chars)``
+    marker; other values stay as they are unless their JSON text is longer
+    than ``max_len``, in which case the trimmed text replaces them.  Key
+    order is kept.
+    """
+    from .text import compress_text
+    ev = nz(evidence_json)
+    as_variant = F.from_json(ev, "map<string,variant>")
+    as_text = F.from_json(ev, "map<string,string>")
+    keys = F.json_object_keys(ev)
+
+    def entry(k):
+        txt = F.element_at(as_text, k)
+        is_str = F.schema_of_variant(F.element_at(as_variant, k)) == "STRING"
+        trimmed = _json_string(compress_text(txt, max_len))
+        val = (F.when(txt.isNull(), F.lit("null")).when(is_str, trimmed)
+               .when(F.length(txt) > max_len, trimmed).otherwise(txt))
+        return F.concat(_json_string(k), F.lit(": "), val)
+
+    return F.when(keys.isNull(), F.lit("{}")).otherwise(
+        F.concat(F.lit("{"), F.array_join(F.transform(keys, entry), ", "), F.lit("}")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.predicates import severity_rank
+from ..functions.jsonfn import compress_evidence
 from ..functions.text import compress_text, nz
 from ..functions.timefmt import parse_epoch
 from ..schema import FINDING_COLUMNS
@@ -49,7 +50,7 @@ def topk_findings_embed(findings: DataFrame, top: int = K.REPORT_EMBED_TOP,
     f = with_order_keys(findings).orderBy("_rank_rep", "timestamp", "finding_id").limit(top)
     return f.select(*[c for c in FINDING_COLUMNS if c not in ("details", "evidence_json")],
                     compress_text("details", max_len).alias("details"),
-                    compress_text("evidence_json", max_len).alias("evidence_json"))
+                    compress_evidence("evidence_json", max_len).alias("evidence_json"))
 
 
 def topk_high_findings(findings: DataFrame, top: int = K.TOP_HIGH_FINDINGS) -> DataFrame:

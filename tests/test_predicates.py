@@ -75,3 +75,14 @@ def test_compress_text(spark):
     got = _eval(spark, [("a" * 805,), ("short",)], "s string", compress_text("s", 800))
     assert got[0][0] == "a" * 800 + "… (+5 chars)"
     assert got[1][0] == "short"
+
+
+def test_compress_evidence(spark):
+    import json
+    from auditlake.functions.jsonfn import compress_evidence
+    ev = json.dumps({"s": "x" * 900, "o": {"k": "y" * 900}, "n": 5, "short": "ok", "l": [1, 2]})
+    got = json.loads(_eval(spark, [(ev,)], "e string", compress_evidence("e", 800))[0][0])
+    assert list(got) == ["s", "o", "n", "short", "l"]
+    assert got["s"] == "x" * 800 + "… (+100 chars)"
+    assert isinstance(got["o"], str) and got["o"].startswith('{"k":"yyy') and got["o"].endswith(" chars)")
+    assert got["n"] == 5 and got["short"] == "ok" and got["l"] == [1, 2]
