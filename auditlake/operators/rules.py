@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import contains_all, contains_any, nz
-from ..schema import FINDING_COLUMNS
+from ..schema import finding_struct
 from .lookup import with_file_sha
 
 MAX_RULES = 10_000
@@ -99,31 +99,30 @@ SIGNIN_TEXT = ["app", "client_app", "status", "result_type", "error_code", "fail
 UAL_TEXT = ["operation", "auditdata"]
 
 
+def _rule_struct(r: Rule, ev_cols: list[str]) -> Column:
+    rule_json = json.dumps(r.source, ensure_ascii=False, default=str)
+    ev = F.struct(F.parse_json(F.lit(rule_json)).alias("rule"), *[nz(c).alias(c) for c in ev_cols])
+    return finding_struct(
+        finding_id=F.concat(F.lit(f"RULE-{r.name}-"), F.col("file_id").cast("string"), F.lit("-"),
+                            F.col("rownum").cast("string")),
+        severity=r.severity, category=r.category, title=r.title, timestamp=nz("ts_iso"), user=nz("user"),
+        ip=nz("ip"), country="", file=F.col("file_id").cast("string"), rownum=F.col("rownum").cast("string"),
+        sha256=nz("sha256"), details=r.description, evidence=ev)
+
+
+def rule_items(rows: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list[str], no: int):
+    """Add the rule text columns to ``rows``; return (rows, [when(match, struct(no, finding))])."""
+    rows = (rows.withColumn("_t", F.concat_ws("\n", *[nz(c) for c in text_cols]))
+            .withColumn("_tl", F.lower(F.col("_t"))))
+    items = [F.when(rule_predicate(r, F.col("_t"), F.col("_tl")),
+                    F.struct(F.lit(no).alias("no"), _rule_struct(r, ev_cols).alias("f"))) for r in rules]
+    return rows, items
+
+
 def _apply(df: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list[str], files) -> DataFrame:
-    text = F.concat_ws("\n", *[nz(c) for c in text_cols])
-    meta = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"),
-                              F.lit(r.category).alias("category"), F.lit(r.title).alias("title"),
-                              F.lit(r.description).alias("description"),
-                              F.lit(json.dumps(r.source, ensure_ascii=False, default=str)).alias("rule_json"))
-                     for r in rules])
-    rows = df.withColumn("_t", text).withColumn("_tl", F.lower(F.col("_t")))
-    hits = F.array(*[F.when(rule_predicate(r, F.col("_t"), F.col("_tl")), F.lit(i)) for i, r in enumerate(rules)])
-    rows = (rows.withColumn("_hits", F.filter(hits, lambda x: x.isNotNull()))
-            .filter(F.size("_hits") > 0)
-            .withColumn("_ri", F.explode("_hits"))
-            .withColumn("_r", F.element_at(meta, F.col("_ri") + 1)))
-    rows = with_file_sha(rows, files)
-    ev = F.to_json(F.struct(F.parse_json(F.col("_r.rule_json")).alias("rule"),
-                            *[nz(c).alias(c) for c in ev_cols]))
-    cols = {
-        "finding_id": F.concat(F.lit("RULE-"), F.col("_r.name"), F.lit("-"), F.col("file_id").cast("string"),
-                               F.lit("-"), F.col("rownum").cast("string")),
-        "severity": F.col("_r.severity"), "category": F.col("_r.category"), "title": F.col("_r.title"),
-        "timestamp": nz("ts_iso"), "user": nz("user"), "ip": nz("ip"), "country": F.lit(""),
-        "file": F.col("file_id").cast("string"), "rownum": F.col("rownum").cast("string"),
-        "sha256": nz("sha256"), "details": F.col("_r.description"), "evidence_json": ev,
-    }
-    return rows.select(*[cols[c].alias(c) for c in FINDING_COLUMNS])
+    rows, items = rule_items(with_file_sha(df, files), rules, text_cols, ev_cols, 10)
+    arr = F.filter(F.array(*items), lambda x: x.isNotNull())
+    return rows.select(F.explode(arr).alias("_it")).select("_it.f.*")
 
 
 def det_rules_ual(ual: DataFrame, rules, files: DataFrame | None = None) -> DataFrame | None:

@@ -49,30 +49,33 @@ def detector_frames(signin: DataFrame, ual: DataFrame, files: DataFrame | None =
                     params: TriageParams = TriageParams()) -> list[tuple[int, DataFrame]]:
     p = params
     out = [
-        (1, row_detectors.det_risky_signin(signin, files)),
-        (2, row_detectors.det_legacy_auth(signin, files)),
         (3, campaigns.det_password_spray(signin, p.spray_window, p.spray_min_failures, p.spray_min_users,
                                          p.campaign_top)),
         (4, campaigns.det_bruteforce(signin, p.brute_window, p.brute_min_failures, p.brute_min_ips,
                                      p.campaign_top)),
         (5, sequence.det_success_after_failures(signin, files, p.saf_minutes, p.saf_min_fails)),
         (6, sequence.det_impossible_travel(signin, files, p.travel_minutes, p.chunk_seconds)),
-        (7, row_detectors.det_ual_suspicious(ual, files)),
     ]
     if p.mode != "quick":
         out.append((8, campaigns.det_mailitems_spike(ual, p.spike_window, p.spike_threshold,
                                                      p.spike_require_context, p.campaign_top)))
         out.append((9, correlate.det_correlation(signin, ual, files, p.corr_minutes, p.corr_last_n,
                                                  p.chunk_seconds)))
-    if rules:
-        out.append((10, R.det_rules(signin, ual, rules, files)))
     return out
 
 
 def detect_all(signin: DataFrame, ual: DataFrame, files: DataFrame | None = None, rules=None,
                params: TriageParams = TriageParams()) -> DataFrame:
-    """``union_findings``: every detector output with its ``detector_no``."""
-    return FN.union_findings(detector_frames(signin, ual, files, rules, params))
+    """``union_findings``: every detector output with its ``detector_no``.
+
+    Row-level detectors and rules share one pass per table (risky, legacy
+    and sign-in rules over ``signin``; suspicious operations and audit rules
+    over ``ual``); the other detectors are separate plans.
+    """
+    fused = (row_detectors.fused_signin_findings(signin, files, rules)
+             .unionByName(row_detectors.fused_ual_findings(ual, files, rules)))
+    rest = FN.union_findings(detector_frames(signin, ual, files, rules, params))
+    return fused.unionByName(rest)
 
 
 def quick(params: TriageParams) -> TriageParams:

@@ -49,18 +49,23 @@ def _lit_or(c) -> Column:
     return F.lit(c)
 
 
-def finding(df: DataFrame, *, finding_id: Column, severity, category: str, title: str, timestamp,
-            user="", ip="", country="", file="multiple", rownum="", sha256="", details="",
-            evidence: Column | None = None) -> DataFrame:
-    """Project ``df`` onto the 13 finding columns (all strings, never NULL)."""
+def finding_struct(*, finding_id: Column, severity, category, title, timestamp,
+                   user="", ip="", country="", file="multiple", rownum="", sha256="", details="",
+                   evidence: Column | None = None) -> Column:
+    """The 13 finding fields (all strings, never NULL) as one struct Column."""
     ev = F.to_json(evidence) if evidence is not None else F.lit("{}")
     cols = {
-        "finding_id": finding_id, "severity": _lit_or(severity), "category": F.lit(category),
-        "title": F.lit(title), "timestamp": _lit_or(timestamp), "user": _lit_or(user), "ip": _lit_or(ip),
+        "finding_id": finding_id, "severity": _lit_or(severity), "category": _lit_or(category),
+        "title": _lit_or(title), "timestamp": _lit_or(timestamp), "user": _lit_or(user), "ip": _lit_or(ip),
         "country": _lit_or(country), "file": _lit_or(file), "rownum": _lit_or(rownum),
         "sha256": _lit_or(sha256), "details": _lit_or(details), "evidence_json": ev,
     }
-    return df.select(*[nz(cols[c]).alias(c) for c in FINDING_COLUMNS])
+    return F.struct(*[nz(cols[c]).alias(c) for c in FINDING_COLUMNS])
+
+
+def finding(df: DataFrame, **kw) -> DataFrame:
+    """Project ``df`` onto the 13 finding columns."""
+    return df.select(finding_struct(**kw).alias("_fnd")).select("_fnd.*")
 
 
 def empty_findings(spark) -> DataFrame:
