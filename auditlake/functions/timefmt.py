@@ -74,9 +74,13 @@ def parse_epoch(text) -> Column:
     are read as seconds / milliseconds.
     """
     s = F.trim(col_(text))
+    # fast path: ISO text with an explicit zone (``Z`` or ``+hh:mm``) casts directly
+    explicit = (s.endswith("Z") | (F.substring(s, -6, 1).isin("+", "-") & (F.substring(s, -3, 1) == ":")
+                                   & (F.substring(s, 11, 1).isin("T", " "))))
+    fast = F.when(explicit & (F.length(s) >= 20), F.try_to_timestamp(s))
     zoned = F.when(s.rlike(_HAS_ZONE), s).otherwise(F.concat(s, F.lit("Z")))
     iso_cast = F.try_to_timestamp(F.regexp_replace(zoned, r"(?i)\s*(utc|gmt)$", "Z"))
-    candidates = [iso_cast] + [F.try_to_timestamp(zoned, F.lit(fmt)) for fmt in _ZONED_FORMATS]
+    candidates = [fast, iso_cast] + [F.try_to_timestamp(zoned, F.lit(fmt)) for fmt in _ZONED_FORMATS]
     ts = F.coalesce(*candidates)
     from_ts = F.unix_seconds(ts)
     digits = F.when(s.rlike(r"^\d{13}$"), F.floor(s.cast("double") / 1000).cast("long")).when(
