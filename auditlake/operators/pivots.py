@@ -157,23 +157,28 @@ def agg_risk_score(findings: DataFrame) -> DataFrame:
 
 
 def agg_kpis(findings: DataFrame, files: DataFrame, signin: DataFrame, ual: DataFrame) -> DataFrame:
-    """One-row KPI table from one aggregation over a tagged union (no joins)."""
-    def tag(df, src, user=None, ip=None, sev=None):
-        return df.select(F.lit(src).alias("_src"), (nz(user) if user else F.lit("")).alias("_u"),
-                         (nz(ip) if ip else F.lit("")).alias("_ip"),
-                         (F.lower(nz(sev)) if sev else F.lit("")).alias("_sev"))
-    u = (tag(findings, "f", "user", "ip", "severity").unionByName(tag(files, "file"))
-         .unionByName(tag(signin, "s")).unionByName(tag(ual, "u")))
-    is_f = F.col("_src") == "f"
-    sev_counts = {n: F.sum(F.when(is_f & (F.col("_sev") == n), 1).otherwise(0)) for n in K.RISK_SCORE_WEIGHTS}
-    return u.agg(
-        _score_col(sev_counts).alias("risk_score"),
-        F.sum(F.when(F.col("_src") == "file", 1).otherwise(0)).cast("long").alias("total_files"),
-        F.sum(F.when(is_f, 1).otherwise(0)).cast("long").alias("total_findings"),
-        F.countDistinct(F.when(is_f & (F.col("_u") != ""), F.col("_u"))).alias("impacted_users"),
-        F.countDistinct(F.when(is_f & (F.col("_ip") != ""), F.col("_ip"))).alias("impacted_ips"),
-        F.sum(F.when(F.col("_src") == "s", 1).otherwise(0)).cast("long").alias("signin_rows"),
-        F.sum(F.when(F.col("_src") == "u", 1).otherwise(0)).cast("long").alias("ual_rows"))
+    """One-row KPI table.
+
+    Each source is aggregated on its own (the distinct user / IP counts only
+    touch findings; the sign-in and audit counts need no columns), then the
+    one-row results are merged as (metric, value) rows and pivoted: no join
+    and no row expansion over the big tables.
+    """
+    sev = F.lower(nz("severity"))
+    counts = {n: F.sum(F.when(sev == n, 1).otherwise(0)) for n in K.RISK_SCORE_WEIGHTS}
+    f = findings.agg(_score_col(counts).alias("risk_score"), F.count(F.lit(1)).alias("total_findings"),
+                     F.countDistinct(F.when(nz("user") != "", F.col("user"))).alias("impacted_users"),
+                     F.countDistinct(F.when(nz("ip") != "", F.col("ip"))).alias("impacted_ips"))
+    parts = [f.select(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in f.columns]
+    for name, df in (("total_files", files), ("signin_rows", signin), ("ual_rows", ual)):
+        parts.append(df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value"))
+    long = parts[0]
+    for p_ in parts[1:]:
+        long = long.unionByName(p_)
+    order = ["risk_score", "total_files", "total_findings", "impacted_users", "impacted_ips", "signin_rows",
+             "ual_rows"]
+    wide = long.groupBy().pivot("metric", order).agg(F.first("value"))
+    return wide.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in order])
 
 
 def agg_impacted(findings: DataFrame, col: str = "user", top: int | None = K.IMPACTED_TOP) -> DataFrame:
