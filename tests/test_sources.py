@@ -59,6 +59,9 @@ def test_messy_files(spark):
     _write(d, "unified_header_only.csv", hdr.encode())
     _write(d, "audit_multiline.csv", (hdr + '2025-01-01T00:00:00Z,m@x.com,1.1.1.1,Send,Exchange,"{""t"": ""line1\r\nline2""}"\r\n'
                                       + "2025-01-01 01:00:00,n@x.com,1.1.1.2,Send,Exchange,{}\r\n").encode())
+    _write(d, "audit_notime.csv", (hdr.replace("CreationDate", "Foo") + rows.replace("2025-01-0", "x")).encode())
+    _write(d, "audit_dupes.csv", ("CreationDate,UserId,UserId,,Operation,AuditData\n"
+                                  "2025-01-01T00:00:00Z,a@x,b@x,zz,Send,{}\n").encode())
     sig = ("Date,UserPrincipalName,AppDisplayName,ResultType\n"
            "1735725600,a@x.com,Teams,0\n1735725600000,b@x.com,Teams,50126\n2025-01-01T10:00:00+02:00,c@x.com,Teams,0\n")
     _write(d, "InteractiveSignIns_epochs.csv", sig.encode())
@@ -73,6 +76,8 @@ def test_messy_files(spark):
         assert files[n]["family"] == "ual"
     assert files["unified_header_only.csv"]["rows"] == 0
     assert files["audit_multiline.csv"]["rows"] == 2
+    assert files["audit_notime.csv"]["rows"] == 0
+    assert files["audit_dupes.csv"]["rows"] == 1
     ual = r["ual"].join(r["files"].select("file_id", "name"), "file_id")
     bom = sorted((x["rownum"], x["user"], x["ts_epoch"]) for x in ual.filter(F.col("name") == "ual_bom.csv").collect())
     assert [b[0] for b in bom] == [1, 2, 3, 4, 5] and bom[0][1] == "u1@x.com" and bom[0][2] == 1735725601
@@ -93,3 +98,8 @@ def test_find_col():
     assert find_col(cols, ["IPAddress", "ip"]) == "IpAddress"
     assert find_col(["Client IP Address"], ["ClientIP", "Client IP Address"]) == "Client IP Address"
     assert find_col(cols, ["nothing"]) is None
+
+
+def test_unique_names():
+    from auditlake.sources.logs import unique_names
+    assert unique_names(["a", "a", "", "a", "b"]) == ["a", "a.1", "Unnamed: 2", "a.2", "b"]
