@@ -89,5 +89,19 @@ def parse_epoch(text) -> Column:
 
 
 def epoch_from_ntz(ts) -> Column:
-    """TIMESTAMP_NTZ (wall clock taken as UTC) -> epoch seconds."""
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    """TIMESTAMP_NTZ (wall clock taken as UTC) -> epoch seconds, independent of the session zone.
+
+    Built from the NTZ calendar date and time-of-day fields, which carry no
+    zone; sub-second parts are dropped (floor for post-1970 values).
+    """
+    c = col_(ts)
+    return (F.unix_date(F.to_date(c)).cast("long") * F.lit(DAY) + F.hour(c).cast("long") * 3600
+            + F.minute(c).cast("long") * 60 + F.second(c).cast("long"))
+
+
+def epoch_of(df, ts: str) -> Column:
+    """Epoch seconds of a timestamp column: NTZ wall clock as UTC, or an instant as is."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return epoch_from_ntz(ts)
+    return F.unix_seconds(F.col(ts))

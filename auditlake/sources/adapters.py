@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonfn import operation_fallback
 from ..functions.predicates import error_code
 from ..functions.text import nz
-from ..functions.timefmt import epoch_from_ntz, iso_from_epoch
+from ..functions.timefmt import epoch_of, iso_from_epoch
 from ..session import checkpoint_dir
 
 # Raw sign-in columns over base ``b`` (event_id, user_id, event_type, value, ts_epoch, k).
@@ -78,7 +78,7 @@ UAL_RAW = {
 def events_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     return ev.select("event_id", "user_id", "event_type", "value",
-                     epoch_from_ntz("ts").alias("ts_epoch"),
+                     epoch_of(ev, "ts").alias("ts_epoch"),
                      F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
