@@ -49,10 +49,10 @@ def _lit_or(c) -> Column:
     return F.lit(c)
 
 
-def finding_struct(*, finding_id: Column, severity, category, title, timestamp,
-                   user="", ip="", country="", file="multiple", rownum="", sha256="", details="",
-                   evidence: Column | None = None) -> Column:
-    """The 13 finding fields (all strings, never NULL) as one struct Column."""
+def finding_columns(*, finding_id: Column, severity, category, title, timestamp,
+                    user="", ip="", country="", file="multiple", rownum="", sha256="", details="",
+                    evidence: Column | None = None) -> list[Column]:
+    """The 13 finding fields (all strings, never NULL), in order."""
     ev = F.to_json(evidence) if evidence is not None else F.lit("{}")
     cols = {
         "finding_id": finding_id, "severity": _lit_or(severity), "category": _lit_or(category),
@@ -60,12 +60,18 @@ def finding_struct(*, finding_id: Column, severity, category, title, timestamp,
         "country": _lit_or(country), "file": _lit_or(file), "rownum": _lit_or(rownum),
         "sha256": _lit_or(sha256), "details": _lit_or(details), "evidence_json": ev,
     }
-    return F.struct(*[nz(cols[c]).alias(c) for c in FINDING_COLUMNS])
+    return [nz(cols[c]).alias(c) for c in FINDING_COLUMNS]
+
+
+def finding_struct(**kw) -> Column:
+    """The finding fields as one struct Column (for fused passes that emit several kinds per row)."""
+    return F.struct(*finding_columns(**kw))
 
 
 def finding(df: DataFrame, **kw) -> DataFrame:
-    """Project ``df`` onto the 13 finding columns."""
-    return df.select(finding_struct(**kw).alias("_fnd")).select("_fnd.*")
+    """Project ``df`` onto the 13 finding columns with one flat projection, so a top-k
+    (``orderBy().limit()``) under it still plans as ``TakeOrderedAndProject``."""
+    return df.select(*finding_columns(**kw))
 
 
 def empty_findings(spark) -> DataFrame:
