@@ -129,7 +129,22 @@ def _ual_classes(s, d):
                     py_list(oauth_scopes("auditdata")).alias("scopes")))
 
 
-reg("pred_ual_classes", _ual_classes)  # scopes rendering checked in tests; SQL lacks the same JSON text
+_SCOPE_TXT = ("(CASE WHEN auditdata != '' AND json_type(TRY_CAST(auditdata AS JSON)) = 'OBJECT' "
+              "THEN lower(CAST(TRY_CAST(auditdata AS JSON) AS VARCHAR)) END)")
+_SCOPE_LIST = (
+    "list_sort(list_distinct(list_concat("
+    f"list_filter(flatten(list_transform(regexp_extract_all({_SCOPE_TXT}, {O.q(K.SCOPE_PATTERN)}, 1), "
+    "lambda c: string_split_regex(c, '[ ,]+'))), lambda p: length(trim(p)) BETWEEN 1 AND 60), "
+    "list_filter([" + ", ".join(O.q(x) for x in K.DANGEROUS_OAUTH_SCOPES) + "], "
+    f"lambda d: strpos(coalesce({_SCOPE_TXT}, ''), d) > 0))))")
+_SCOPE_RENDER = ("CASE WHEN {t} IS NULL OR len({l}) = 0 THEN '[]' "
+                 "ELSE concat('[' || chr(39), array_to_string({l}, chr(39) || ', ' || chr(39)), chr(39) || ']') END")
+reg("pred_ual_classes", _ual_classes, V(select=f"""
+SELECT operation, auditdata, n, {O.ual_sev()} AS severity, {O.like_any('lower(operation)', K.UAL_HINT_WORDS)} AS hint,
+  {O.like_any('lower(auditdata)', K.FORWARDING_KEYWORDS)} AS forwarding,
+  ({O.like_any('lower(auditdata)', K.INBOX_RULE_KEYWORDS)} OR strpos(lower(operation), 'inboxrule') > 0) AS inbox_rule,
+  {_SCOPE_RENDER.format(t=_SCOPE_TXT, l=_SCOPE_LIST)} AS scopes
+FROM (SELECT operation, auditdata, count(*) AS n FROM ual GROUP BY operation, auditdata)"""))
 
 # ---------------------------------------------------------------------------
 # 2.4 row detectors, 2.6 aggregating, 2.7 sequences, 2.5 correlation
