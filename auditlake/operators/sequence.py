@@ -105,8 +105,63 @@ def _carry(per_chunk: DataFrame, value: str, how: str) -> DataFrame:
     return per_chunk.withColumn(f"_carry_{value}", agg)
 
 
+def _segmented_chain(cands: DataFrame, m: int, blocks: int) -> DataFrame:
+    """Greedy emission chain over candidate failure counts, in parallel segments.
+
+    Emissions are the chain x1 = min X, x_{k+1} = min{x in X : x >= x_k + m}
+    over the distinct counts X of valid candidates (the first candidate with a
+    given count represents it).  Cut the count axis into segments of
+    ``blocks * m`` values: a segment's effect on the chain depends only on
+    the entry offset of the threshold in [0, m), so each segment is summarised
+    by an m-entry transition table computed from its own values (a bounded
+    array).  A fold over the user's tiny per-segment tables gives every
+    segment's entry offset; each segment then lists its emissions, and the
+    previous emission of a segment's first one comes from a per-segment carry.
+    """
+    seg_len = m * int(blocks)
+    reps = cands.groupBy("user", F.col("s.C").alias("_C")).agg(F.min("s").alias("s"))
+    reps = reps.withColumn("_g", F.floor(F.col("_C") / F.lit(seg_len)).cast("long"))
+    segs = reps.groupBy("user", "_g").agg(F.array_sort(F.collect_list("_C")).alias("_xs"))
+    base = F.col("_g") * seg_len
+    nxt = (F.col("_g") + 1) * seg_len
+
+    def exit_threshold(theta):
+        return F.aggregate("_xs", theta.cast("long"), lambda th, x: F.when(x >= th, x + m).otherwise(th))
+
+    table = F.array(*[F.greatest(exit_threshold(base + o) - nxt, F.lit(0)).cast("long") for o in range(m)])
+    segs = segs.withColumn("_tab", table)
+
+    ent_t = "array<struct<g:bigint,entry:bigint>>"
+
+    def step(acc, sg):
+        entry = F.when(sg["_g"] == acc["g"] + 1, acc["off"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(sg["_g"].alias("g"), F.element_at(sg["_tab"], (entry + 1).cast("int")).alias("off"),
+                        F.concat(acc["ent"], F.array(F.struct(sg["_g"].alias("g"), entry.alias("entry"))))
+                        .alias("ent"))
+
+    init = F.struct(F.lit(-2).cast("long").alias("g"), F.lit(0).cast("long").alias("off"),
+                    F.array().cast(ent_t).alias("ent"))
+    per_user = segs.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("_g", "_tab"))).alias("_segs"))
+    entries = (per_user.select("user", F.explode(F.aggregate("_segs", init, step)["ent"]).alias("_e"))
+               .select("user", F.col("_e.g").alias("_g"), F.col("_e.entry").alias("_entry")))
+    em_init = F.struct((base + F.col("_entry")).cast("long").alias("th"), F.array().cast("array<bigint>").alias("em"))
+    em = F.aggregate("_xs", em_init, lambda acc, x: F.when(
+        x >= acc["th"], F.struct((x + m).alias("th"), F.concat(acc["em"], F.array(x)).alias("em"))).otherwise(acc))
+    segs = segs.join(entries, ["user", "_g"]).withColumn("_em", em["em"])
+    wseg = Window.partitionBy("user").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    segs = segs.withColumn("_prev_last", F.last(F.try_element_at("_em", F.lit(-1)), ignorenulls=True).over(wseg))
+    pairs = F.transform("_em", lambda x, i: F.struct(x.alias("_C"), F.when(i == 0, F.col("_prev_last"))
+                                                     .otherwise(F.element_at("_em", i)).alias("_prevC")))
+    emitted = segs.select("user", F.explode(pairs).alias("_p")).select("user", "_p._C", "_p._prevC")
+    out = emitted.join(reps.select("user", "_C", "s"), ["user", "_C"])
+    n = F.when(F.col("_prevC").isNull(), F.col("s.inwin")).otherwise(
+        F.least(F.col("_C") - F.col("_prevC"), F.col("s.inwin")))
+    return out.select("user", "s", n.cast("long").alias("n"))
+
+
 def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5,
-                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS, chain: str = "segments",
+                  segment_blocks: int = 1024) -> DataFrame:
     """One row per emitted success with its failure count ``n`` (exact reference semantics).
 
     Let C(r) be the number of failures before row r (user order) and inwin(s)
@@ -114,9 +169,10 @@ def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5,
     iff inwin(s) >= m and C(s) - C(E) >= m, where E is the previous emission;
     it then reports min(C(s) - C(E), inwin(s)) failures.  C and inwin come from
     windows over (user, time chunk) partitions with a halo of one window, plus
-    a carry-in from a per-chunk table, so a hot user is split by time.  Only the
-    greedy emission chain is sequential: a fold over the valid candidate
-    successes of one island (runs separated by gaps longer than the window).
+    a carry-in from a per-chunk table, so a hot user is split by time.  The
+    greedy emission chain runs over segments of the failure-count axis
+    (``_segmented_chain``); ``chain="islands"`` folds the valid candidates of
+    each activity island instead (kept as a cross-check).
     """
     W = int(max_minutes) * 60
     m = int(min_fails)
@@ -156,6 +212,8 @@ def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5,
             .withColumn("_island", F.coalesce(F.col("_isl_local"), F.col("_carry_last_start"))))
     ev = F.struct(F.col("ts_epoch").alias("ts"), "file_id", "rownum", F.col("_C").alias("C"),
                   F.col("_inwin").alias("inwin"), "ip", "country", "app", "client_app", "error_code", "ts_iso")
+    if chain == "segments":
+        return _segmented_chain(cand.select("user", ev.alias("s")), m, segment_blocks)
     groups = cand.groupBy("user", "_island").agg(F.array_sort(F.collect_list(ev)).alias("_cands"))
 
     def step(acc, c):
@@ -208,9 +266,10 @@ def _top_ips(fails: Column, n: int = 10) -> Column:
 
 def det_success_after_failures(signin: DataFrame, files: DataFrame | None = None, max_minutes: int = 30,
                                min_fails: int = 5, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
-                               with_evidence: bool = True) -> DataFrame:
+                               with_evidence: bool = True, chain: str = "segments",
+                               segment_blocks: int = 1024) -> DataFrame:
     cat, title = K.FINDING_META["success_after_failures"]
-    em = saf_emissions(signin, max_minutes, min_fails, chunk_seconds)
+    em = saf_emissions(signin, max_minutes, min_fails, chunk_seconds, chain, segment_blocks)
     flat = em.select("user", "n", F.col("s.*"))
     if with_evidence:
         fl = saf_failures(signin, em, max_minutes)

@@ -67,13 +67,15 @@ def saf_loop(rows, window, m):
 RT = st.sampled_from([("50126", ""), ("0", ""), ("", "Success"), ("", "failed"), ("", ""), ("50076 mfa", "")])
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", ""]), st.integers(0, 20000), RT), min_size=1, max_size=60),
-       st.integers(1, 4), st.sampled_from([1800, 2500, 21600]))
-def test_saf_matches_loop(spark, evs, m, chunk):
+       st.integers(1, 4), st.sampled_from([1800, 2500, 21600]),
+       st.sampled_from([("segments", 1), ("segments", 2), ("segments", 1024), ("islands", 1)]))
+def test_saf_matches_loop(spark, evs, m, chunk, chain):
     rows = [(u, ts, rt, s, "10.0.0.1", "ES", "app", "cli") for u, ts, (rt, s) in evs]
     df = events(spark, rows)
-    res = sequence.det_success_after_failures(df, None, 30, m, chunk_seconds=chunk).collect()
+    res = sequence.det_success_after_failures(df, None, 30, m, chunk_seconds=chunk, chain=chain[0],
+                                              segment_blocks=chain[1]).collect()
     got = sorted((r["user"], int(r["rownum"]), int(r["details"].split(" ")[0])) for r in res)
     assert got == saf_loop(rows, 1800, m)
     import json
@@ -146,3 +148,16 @@ def test_hot_user_chunks_equal(spark):
     a = sorted(r["finding_id"] for r in sequence.det_impossible_travel(df, None, 60, chunk_seconds=3600).collect())
     b = sorted(r["finding_id"] for r in sequence.det_impossible_travel(df, None, 60, chunk_seconds=10 ** 7).collect())
     assert a == b and len(a) > 0
+
+
+def test_saf_storm_segments(spark):
+    """Dense alternating storm (every success a candidate): segment chain equals the loop."""
+    rows = []
+    for i in range(300):
+        rows.append(("hot", 1000 + 7 * i, "50126" if i % 3 else "0", "", "1.1.1.1", "ES", "a", "c"))
+    df = events(spark, rows)
+    for blocks in (1, 3, 1024):
+        got = sorted((r["user"], int(r["rownum"]), int(r["details"].split(" ")[0])) for r in
+                     sequence.det_success_after_failures(df, None, 30, 2, chunk_seconds=1800,
+                                                         segment_blocks=blocks).collect())
+        assert got == saf_loop(rows, 1800, 2), blocks
