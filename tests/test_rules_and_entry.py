@@ -36,3 +36,12 @@ def test_every_query_has_oracle_or_is_listed():
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     assert set(o) == set(q)
+
+
+def test_rules_from_dataframe(spark):
+    from auditlake.operators.rules import rules_frame
+    df = rules_frame(spark, [{"name": "r", "family": "ual", "severity": "LOW",
+                              "match": {"contains_all": ["a", "b"], "regex": "x+"}}])
+    rs = validate_rules(df)
+    assert [(r.name, r.family, r.severity, r.contains_all, r.regex) for r in rs] == [
+        ("r", "ual", "low", ["a", "b"], "x+")]
