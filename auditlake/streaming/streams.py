@@ -171,3 +171,31 @@ def stream_success_after_failures(signin_stream: DataFrame, max_minutes: int = 3
             .withWatermark("_ts", watermark))
     return rows.groupBy("user").applyInPandasWithState(
         _saf_state_fn(W, int(min_fails)), SAF_OUT, SAF_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# -- durable campaign sink ---------------------------------------------------------------------
+
+def write_campaign_updates(campaign_stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Append every micro-batch of an update-mode campaign stream to a Parquet update log
+    (partitioned by batch id); ``latest_campaigns`` reads the current value per (key, bucket).
+    Replays after a failure rewrite the same batch partition, so the log stays idempotent."""
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(path))
+
+    w = campaign_stream.writeStream.outputMode("update").foreachBatch(per_batch).option("checkpointLocation",
+                                                                                          checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
+def latest_campaigns(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Current campaign rows: the last update of each (key, bucket) (empty when nothing was logged)."""
+    try:
+        log = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - no batch produced rows yet
+        return spark.createDataFrame([], f"{key} string, bucket long, fails long, n_other int, min_ts long, "
+                                         "max_ts long")
+    w = Window.partitionBy(key, "bucket").orderBy(F.desc("batch_id"))
+    return log.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "batch_id")

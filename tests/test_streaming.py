@@ -80,3 +80,18 @@ def test_stream_ingest_and_row_findings(spark):
     q2.awaitTermination()
     sev = {r["severity"]: r["count"] for r in spark.sql("SELECT severity, count(*) AS count FROM rowf GROUP BY 1").collect()}
     assert sev == {"high": 13, "medium": 3}
+
+
+def test_stream_campaign_update_log(spark):
+    s, _ = _signin_dir(spark)
+    d = tempfile.mkdtemp(prefix="auditlake-camp-")
+    s.write.mode("overwrite").parquet(f"{d}/in")
+    st = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
+    q = streams.write_campaign_updates(streams.stream_campaign(st, "user", 1440, 4, 3, watermark="1 day"),
+                                       f"{d}/log", f"{d}/ckpt")
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in streams.latest_campaigns(spark, f"{d}/log", "user")
+                 .select("user", "bucket", "fails", "n_other", "min_ts", "max_ts").collect())
+    exp = campaigns.campaign_brute(s, 1440, 4, 3, top=None).select("user", "bucket", "fails", "n_other",
+                                                                   "min_ts", "max_ts")
+    assert got == sorted(tuple(r) for r in exp.collect()) and len(got) == 18
