@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..sources.logs import ingest_logs
+from ..sources.logs import ingest_logs, profile_from_table
 from . import sinks
 from .triage import TriageParams, detect_all
 
@@ -34,7 +34,8 @@ def run_triage(spark: SparkSession, logdir: str, outdir: str, mode: str = "deep"
 
     sinks.write_findings(findings, outdir)
     sinks.write_file_ranges(files, outdir)
-    sinks.write_schema_profiles(raw["profiles"], outdir)
+    profiles = profile_from_table(signin).unionByName(profile_from_table(ual))
+    sinks.write_schema_profiles(profiles, outdir)
     sinks.write_timeline(signin, ual, outdir, mode)
     if mode != "quick":
         sinks.write_cases(signin, ual, outdir)

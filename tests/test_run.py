@@ -33,5 +33,10 @@ def test_run_triage_sample(spark):
     kp = spark.read.json(f"{out}/report/kpis").first()
     assert kp["total_files"] == 3 and kp["signin_rows"] == 40 and kp["ual_rows"] == 40
     assert os.path.isdir(f"{out}/cases/events")
+    prof = spark.read.json(f"{out}/schema_profiles.json")
+    ual_prof = {r["name"]: r for r in prof.filter(F.col("file_id") == 1).collect()}
+    assert ual_prof["Operation"]["n_sample"] == 40 and ual_prof["Operation"]["examples"] == [
+        "Send", "FileAccessed", "Set-Mailbox"]
+    assert sorted(r["pos"] for r in ual_prof.values()) == list(range(13))
     heat = spark.read.json(f"{out}/report/signin_heatmap_dow_hour")
     assert heat.count() == 168
