@@ -14,13 +14,19 @@ from ..operators import findings as FN, pivots
 from ..operators import timeline as TL
 
 
-def write_normalized(signin: DataFrame, ual: DataFrame, files: DataFrame, outdir: str, mode: str = "overwrite"):
-    """``sink_normalized``: event tables partitioned by UTC event date and clustered by user
-    inside each partition (so per-user scans read few row groups); ``files`` keeps the newest
-    row per path."""
+def write_normalized(signin: DataFrame, ual: DataFrame, files: DataFrame, outdir: str, mode: str = "overwrite",
+                     num_partitions: int | None = None):
+    """``sink_normalized``: event tables partitioned by UTC event date and clustered by user.
+
+    Range partitioning on (event_date, user, ts_epoch) samples the key
+    distribution, so a busy day or a hot user is split over many tasks (no
+    task owns a whole day), while each output file still covers a narrow
+    date / user range; ``files`` keeps the newest row per path."""
+    n = num_partitions or int(signin.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, df in (("signin", signin), ("ual", ual)):
         (df.withColumn("event_date", F.coalesce(epoch_date("ts_epoch").cast("string"), F.lit("unknown")))
-         .repartition("event_date").sortWithinPartitions("user", "ts_epoch")
+         .repartitionByRange(n, "event_date", "user", "ts_epoch")
+         .sortWithinPartitions("event_date", "user", "ts_epoch")
          .write.mode(mode).partitionBy("event_date").parquet(f"{outdir}/{name}"))
     latest = Window.partitionBy("path").orderBy(F.desc("file_id"))
     (files.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
