@@ -21,6 +21,7 @@ from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.text import concat_str, nz, ref
 from ..schema import finding
+from ..session import cut_lineage
 from .lookup import with_file_sha
 
 DEFAULT_CHUNK_SECONDS = 6 * 3600
@@ -121,6 +122,9 @@ def _segmented_chain(cands: DataFrame, m: int, blocks: int) -> DataFrame:
     seg_len = m * int(blocks)
     reps = cands.groupBy("user", F.col("s.C").alias("_C")).agg(F.min("s").alias("s"))
     reps = reps.withColumn("_g", F.floor(F.col("_C") / F.lit(seg_len)).cast("long"))
+    # small table read by several branches below: written once so the windowed
+    # pipeline over all sign-ins is not re-run per consumer
+    reps = cut_lineage(reps)
     segs = reps.groupBy("user", "_g").agg(F.array_sort(F.collect_list("_C")).alias("_xs"))
     base = F.col("_g") * seg_len
     nxt = (F.col("_g") + 1) * seg_len
@@ -269,7 +273,8 @@ def det_success_after_failures(signin: DataFrame, files: DataFrame | None = None
                                with_evidence: bool = True, chain: str = "segments",
                                segment_blocks: int = 1024) -> DataFrame:
     cat, title = K.FINDING_META["success_after_failures"]
-    em = saf_emissions(signin, max_minutes, min_fails, chunk_seconds, chain, segment_blocks)
+    # one row per emission, read twice (findings and evidence): written once
+    em = cut_lineage(saf_emissions(signin, max_minutes, min_fails, chunk_seconds, chain, segment_blocks))
     flat = em.select("user", "n", F.col("s.*"))
     if with_evidence:
         fl = saf_failures(signin, em, max_minutes)

@@ -41,6 +41,13 @@ def test_scans_are_pruned_and_filtered(spark):
 def test_hot_key_partitioning(spark):
     """Ordered per-user detectors shuffle by (user, time chunk), not by user alone."""
     import __spark_entry__ as E
-    for k in ("det_impossible_travel", "det_correlation", "det_success_after_failures"):
+    from auditlake.operators import sequence
+    from auditlake.sources import adapters
+    for k in ("det_impossible_travel", "det_correlation"):
         p = _plan(E.queries()[k](spark, SF001))
         assert "hashpartitioning(user" in p and "_chunk" in p, k
+    # success-after-failures writes its small intermediates (checkpoints); its windowed
+    # candidate stage is the (user, chunk)-partitioned part
+    signin = adapters.load_tables(spark, SF001)[0]
+    p = _plan(sequence.saf_emissions(signin, 30, 5, chain="islands"))
+    assert "hashpartitioning(user" in p and "_chunk" in p
