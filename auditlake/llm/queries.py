@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import simhash
+from auditlake.llm import embedding, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_embedding_near_dedup": embedding.op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": quality_rules.oracle(),
+}
