@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.session import checkpoint_dir, ship_package
@@ -48,6 +48,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def split_id(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, has_id, others...): null ids as 0 and false, so that pandas batches keep whole numbers."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
+                       F.col("doc_id").isNotNull().alias("has_id"), *others)
+
+
+def joined_id() -> Column:
+    """The doc_id that :func:`split_id` took apart."""
+    return F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import embedding, quality_rules, simhash
+from auditlake.llm import binary, embedding, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op6_token_binary": binary.op6_token_binary,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_packing": packing.op9_packing,
     "op10_embedding_near_dedup": embedding.op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_token_binary": binary.op6_token_binary,
     "op7_quality_rules": quality_rules.oracle(),
 }

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import golay
-from auditlake.llm.common import connected_components, documents, materialise, python_ready
+from auditlake.llm.common import connected_components, documents, joined_id, materialise, python_ready, split_id
 
 _WORD = re.compile("[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -58,9 +58,9 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "has_id": b["has_id"], "fp": fp.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return split_id(docs, "text").mapInPandas(run, "doc_id long, has_id boolean, fp long").select(joined_id(), "fp")
 
 
 def _keyed(fps: DataFrame, probe: bool) -> DataFrame:
