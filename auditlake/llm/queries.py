@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import binary, embedding, packing, quality_rules, simhash
+from auditlake.llm import binary, embedding, mixing, packing, pii, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
+    "op3_mixing": mixing.op3_mixing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op6_token_binary": binary.op6_token_binary,
     "op7_quality_rules": quality_rules.op7_quality_rules,
