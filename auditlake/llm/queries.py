@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import binary, embedding, mixing, packing, pii, quality_rules, simhash
+from auditlake.llm import binary, embedding, licenses, mixing, packing, pii, quality_knn, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
+    "op2_quality_classifier": quality_knn.op2_quality_classifier,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_token_binary": binary.op6_token_binary,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_packing": packing.op9_packing,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_token_binary": binary.op6_token_binary,
     "op7_quality_rules": quality_rules.oracle(),
 }
