@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import binary, embedding, licenses, mixing, packing, pii, quality_knn, quality_rules, simhash
+from auditlake.llm import binary, embedding, licenses, line_dedup, mixing, packing, pii, quality_knn, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": licenses.op5_license_scan,
     "op6_token_binary": binary.op6_token_binary,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_embedding_near_dedup": embedding.op10_embedding_near_dedup,
 }
