@@ -23,46 +23,61 @@ from auditlake.llm.tokens import default_path, encode_column
 from auditlake.session import checkpoint_dir
 
 END_ID = 0
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(shard, shard_start, doc_id, has_id, n_tokens, ids): documents in ascending doc_id order over shards, ids as bytes.
+    """(shard, shard_start, doc_id, has_id, n_tokens, ids, counts): documents in ascending doc_id order over shards.
 
-    The text is range-partitioned before it is tokenised, so that the sampling
-    of range boundaries reads the table and never runs the tokeniser.  A null
+    ids holds 16-bit numbers where the vocabulary allows it, else 32-bit ones;
+    a last row per shard has no document and the shard's symbol counts.  The
+    text is range-partitioned before it is tokenised, so that the sampling of
+    range boundaries reads the table and never runs the tokeniser.  A null
     doc_id sorts first; a null or empty text has only the end id; rows that
     repeat a doc_id all stay, ordered by their text.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
+    kind = id_kind(tokenizer)
 
     def run(batches):
-        start = 0
+        start, shard, total = 0, None, np.zeros(0, np.int64)
         for b in batches:
-            ids = [raw + end for raw in encode_column(b["text"], tokenizer)]
-            n = np.fromiter((len(raw) // 4 for raw in ids), np.int64, len(ids))
+            ids = [np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(kind) for raw in encode_column(b["text"], tokenizer)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
+            for at in range(0, len(ids), 512):
+                found = np.bincount(np.concatenate(ids[at:at + 512]))
+                total = np.pad(total, (0, max(0, len(found) - len(total))))
+                total[:len(found)] += found
+            shard = int(b["shard"].iloc[0]) if len(b) else shard
             yield pd.DataFrame({"shard": b["shard"], "shard_start": starts, "doc_id": b["doc_id"], "has_id": b["has_id"],
-                                "n_tokens": n, "ids": ids})
+                                "n_tokens": n, "ids": [i.tobytes() for i in ids], "counts": None})
+        if shard is not None:
+            yield pd.DataFrame({"shard": [shard], "shard_start": [start], "doc_id": [0], "has_id": [False], "n_tokens": [0],
+                                "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id") \
         .sortWithinPartitions("doc_id", "text")
     return split_id(ordered, "text", F.spark_partition_id().alias("shard")).mapInPandas(
-        run, "shard int, shard_start long, doc_id long, has_id boolean, n_tokens long, ids binary")
+        run, "shard int, shard_start long, doc_id long, has_id boolean, n_tokens long, ids binary, counts binary")
+
+
+def id_kind(tokenizer: str) -> str:
+    from auditlake.llm.tokens import encoder
+    return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def _counts(rows: DataFrame) -> DataFrame:
+    """(symbol, n) over all documents, from the rows of counts."""
     def run(batches):
-        total = np.zeros(0, np.int64)
         for b in batches:
-            found = np.bincount(np.frombuffer(b"".join(b["ids"]), "<u4"))
-            size = max(len(total), len(found))
-            total = np.pad(total, (0, size - len(total))) + np.pad(found, (0, size - len(found)))
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"symbol": hit, "n": total[hit]})
+            for raw in b["counts"]:
+                total = np.frombuffer(raw, "<i8")
+                hit = np.flatnonzero(total)
+                yield pd.DataFrame({"symbol": hit, "n": total[hit]})
 
-    return rows.select("ids").mapInPandas(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return rows.where("counts is not null").select("counts").mapInPandas(run, "symbol long, n long").groupBy("symbol").agg(
+        F.sum("n").alias("n"))
 
 
 def _table(rows: DataFrame) -> rans.Table:
@@ -76,7 +91,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Encode all texts of (doc_id, text) into a dataset folder at ``path``."""
     spark = docs.sparkSession
     python_ready(spark)
-    rows = materialise(token_rows(docs, tokenizer or default_path(), end_id), "token-rows")
+    tokenizer = tokenizer or default_path()
+    kind = id_kind(tokenizer)
+    rows = materialise(token_rows(docs, tokenizer, end_id), "token-rows")
     _counts(rows).coalesce(1).write.parquet(f"{path}/table")
     rows.groupBy("shard").agg(F.sum("n_tokens").alias("tokens")).write.parquet(f"{path}/shards")
     shared = spark.sparkContext.broadcast(_table(spark.read.parquet(f"{path}/table")))
@@ -86,7 +103,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         size, shard, following, number = 0, None, None, 0
 
         def flush():
-            ids = np.frombuffer(b"".join(h[3] for h in held), "<u4")
+            ids = np.frombuffer(b"".join(h[3] for h in held), kind)
             raw = rans.encode_block(ids, shared.value, np.array([h[1] for h in held], np.int64),
                                     np.array([h[4] for h in held], bool), np.array([h[2] for h in held], np.int64))
             return pd.DataFrame({"shard": [shard], "shard_start": [held[0][0]], "n_docs": [len(held)],
@@ -104,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         if held:
             yield flush()
 
-    rows.mapInPandas(encode, "shard int, shard_start long, n_docs long, n_tokens long, payload binary") \
+    rows.where("counts is null").drop("counts").mapInPandas(encode, "shard int, shard_start long, n_docs long, n_tokens long, payload binary") \
         .write.option("compression", "none").parquet(f"{path}/blocks")
     discard(rows)
     shared.unpersist()

@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 
-LANES, SCALE, LOW = 512, 20, np.uint64(1 << 31)
+LANES, SCALE, LOW = 1024, 20, np.uint64(1 << 31)
 CHECKPOINT_STEPS = 128
 MAGIC = b"RTB1"
 _HEAD = struct.Struct("<4sIIIII")
@@ -43,7 +43,7 @@ class Table:
         size = int(symbols[-1]) + 1 if len(symbols) else 1
         self.f, self.c = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.f[symbols], self.c[symbols] = freq, start
-        self.of = np.repeat(symbols, freq).astype(np.uint32)
+        self.of = np.repeat(symbols, freq).astype(np.uint16 if size <= 1 << 16 else np.uint32)
 
 
 def encode_block(ids: np.ndarray, table: Table, doc_ids: np.ndarray, present: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -62,8 +62,8 @@ def encode_block(ids: np.ndarray, table: Table, doc_ids: np.ndarray, present: np
         full = s >= most[a:b]
         out.append(s[full].astype(np.uint32))
         s = np.where(full, s >> _W, s)
-        q, r = np.divmod(s, ft)
-        x[:b - a] = (q << _S) + r + c[a:b]
+        q = s // ft
+        x[:b - a] = (q << _S) + (s - q * ft) + c[a:b]
     sizes = np.array([len(w) for w in out], np.int64)
     words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
     marks = b"".join(struct.pack("<Q", int(sizes[at:].sum())) + state.tobytes() for at, state in kept[::-1])
