@@ -90,7 +90,7 @@ def _candidates(codes: DataFrame, bits: int, threshold: float) -> DataFrame:
         mask = ((1 << width) - 1) << low
         mask -= (1 << 64) if mask >= 1 << 63 else 0
         near &= (F.shiftright("i.key", SUBSTRING) <= t) | (F.bit_count(differ.bitwiseAND(F.lit(mask).cast("long"))) > PROBE_BITS)
-    return index.join(look, near).select(F.col("i.id").alias("src"), F.col("p.id").alias("dst"))
+    return index.hint("merge").join(look, near).select(F.col("i.id").alias("src"), F.col("p.id").alias("dst"))
 
 
 def _reranked(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
