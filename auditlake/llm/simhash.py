@@ -17,7 +17,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import golay
@@ -51,16 +51,22 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def row_key() -> Column:
+    """Finds a row again; rows that repeat both doc_id and text share it."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp is the fingerprint as a signed long."""
+    """(doc_id, row, fp): one row per input row; fp is the fingerprint as a signed long."""
     python_ready(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "has_id": b["has_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "has_id": b["has_id"], "row": b["row"], "fp": fp.view(np.int64)})
 
-    return split_id(docs, "text").mapInPandas(run, "doc_id long, has_id boolean, fp long").select(joined_id(), "fp")
+    return split_id(docs, row_key(), "text").mapInPandas(run, "doc_id long, has_id boolean, row long, fp long").select(
+        joined_id(), "row", "fp")
 
 
 def _keyed(fps: DataFrame, probe: bool) -> DataFrame:
@@ -88,30 +94,40 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         raise ValueError("the keys guarantee up to four differing bits")
     python_ready(fps.sparkSession)
     at_home, look = _keyed(fps, False), _keyed(fps, True)
-    return at_home.alias("h").join(look.alias("p"), (F.col("h.key") == F.col("p.key")) & (F.col("h.fp") < F.col("p.fp")) & (
+    return at_home.alias("h").hint("merge").join(look.alias("p"), (F.col("h.key") == F.col("p.key")) & (F.col("h.fp") < F.col("p.fp")) & (
         F.bit_count(F.col("h.fp").bitwiseXOR(F.col("p.fp"))) <= max_bits)).select(
         F.col("h.fp").alias("src"), F.col("p.fp").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
-
-    component_id is the smallest doc_id reachable over links.  Null texts and
-    texts without words have fingerprint 0 and link like any other; rows that
-    repeat a doc_id are kept; a null doc_id never becomes a component id
-    unless nothing else is in the component.  An empty table gives an empty
-    result.  Copies share a fingerprint and are joined to it once, never paired.
+    """(doc_id, row, fp, group, component_id) for every row of ``docs``.
+
+    group names the component by its smallest fingerprint; component_id is the
+    smallest doc_id in it.  Null texts and texts without words have
+    fingerprint 0 and link like any other; rows that repeat a doc_id are kept;
+    component_id is null only where no row of the component has a doc_id.  An
+    empty table gives an empty result.  Copies share a fingerprint and are
+    joined to it once, never paired.
     """
     each = materialise(fingerprints(docs, width), "fingerprints")
     distinct = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     pairs = materialise(links(distinct, max_bits), "links")
     comp = materialise(connected_components(pairs), "components")
-    # the smallest doc_id of a component of fingerprints, not the smallest fingerprint
     member = distinct.join(comp, distinct.fp == comp.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component"))
-    first = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = materialise(member.join(first, "component").select(F.col("fp").alias("of"), "component_id"), "ids")
-    return each.join(ids, each.fp == ids.of, "left").select("doc_id", "fp", "component_id")
+        "fp", "first", F.coalesce("component", "fp").alias("group"))
+    first = member.groupBy("group").agg(F.min("first").alias("component_id"))
+    ids = materialise(member.join(first, "group").select(F.col("fp").alias("of"), "group", "component_id"), "ids")
+    return each.join(ids, each.fp == ids.of, "left").select("doc_id", "row", "fp", "group", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row of each component, all columns unchanged: the smallest doc_id, null last; ties go to the smallest row key."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = near_duplicates(docs, width, max_bits).groupBy("group").agg(F.min(place).alias("first")).select(
+        F.col("first.row").alias("of"))
+    kept = materialise(kept, "kept")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key())
+    return own.join(kept, F.col("row") == F.col("of")).dropDuplicates(["row"]).select("_row.*")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
