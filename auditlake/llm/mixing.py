@@ -5,8 +5,9 @@ ones nearest to 1 in relative entropy, weighted by tokens, are exponentials of
 one multiplier per source.  Documents of a source share their tilt, so one
 aggregation gives the sums that Newton steps on the convex dual need, and the
 steps run on the table of sources.  Rates become whole
-copies by systematic rounding along the sizes of a source, and the few words
-that rounding leaves over or short are moved by changing single documents.
+copies by systematic rounding along the sizes of a source, and the words that
+rounding leaves over or short are moved by one more or less copy of documents
+that fit into them.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     at = F.col("base") + F.col("inside")
     dealt = materialise(
         ordered.withColumn("inside", inside).join(base, same & (F.col("grade") == F.col("g")) & (F.col("bucket") == F.col("b")))
-        .select("key", "source", "size", "source_size", "target", "rate", (F.floor((at + 1) * F.col("rate") + 0.5)
+        .select("key", "source", "size", "grade", "bucket", "source_size", "target", "rate", (F.floor((at + 1) * F.col("rate") + 0.5)
                 - F.floor(at * F.col("rate") + 0.5)).cast("long").alias("copies")), "dealt")
     for _ in range(MENDING_STEPS):
         dealt = _mended(dealt, int(most))
@@ -108,16 +109,25 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
 
 
 def _mended(dealt: DataFrame, most: int) -> DataFrame:
-    """Changes one document per source by one copy: the one whose size is nearest to the words missing or too many."""
-    off = dealt.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off")) \
-        .select(F.col("source").alias("of"), "off")
-    off = materialise(off, "off")
-    same = F.col("source").eqNullSafe(F.col("of"))
+    """Adds or takes one copy of as many documents as fit into the words missing or too many, large ones first.
+
+    Running sums per bucket and over buckets tell each document what the
+    larger ones before it take, so no task sees a whole source.
+    """
+    off = materialise(dealt.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
+                      .select(F.col("source").alias("of"), "off"), "off")
     can = F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-    left = F.abs(F.abs(F.col("off")) - F.col("size"))
-    pick = dealt.join(F.broadcast(off) if off.count() <= 10_000 else off, same).where(can & (left < F.abs("off"))).groupBy("of") \
-        .agg(F.min(F.struct(left.alias("left"), F.signum("off").cast("long").alias("by"), "key")).alias("best")) \
-        .select(F.col("best.key").alias("k"), F.col("best.by").alias("by"))
+    fit = dealt.join(F.broadcast(off) if off.count() <= 10_000 else off, F.col("source").eqNullSafe(F.col("of"))).where(
+        can & (F.col("size") > 0) & (F.col("size") <= F.abs("off"))).select("key", "source", "size", "grade", "bucket", "off")
+    along = Window.partitionBy("source").orderBy(F.desc("grade"), "bucket")  # a row per step of sizes and bucket
+    base = fit.groupBy("source", "grade", "bucket").agg(F.sum("size").alias("words")).select(
+        F.col("source").alias("s"), F.col("grade").alias("g"), F.col("bucket").alias("b"),
+        (F.sum("words").over(along) - F.col("words")).alias("base"))
+    inside = F.sum("size").over(Window.partitionBy("source", "grade", "bucket").orderBy(F.desc("size"), "key")
+                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pick = fit.withColumn("inside", inside).join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("grade") == F.col("g"))
+                                                 & (F.col("bucket") == F.col("b"))).where(
+        F.col("base") + F.col("inside") <= F.abs("off")).select(F.col("key").alias("k"), F.signum("off").cast("long").alias("by"))
     return materialise(dealt.join(pick, F.col("key") == F.col("k"), "left")
                        .withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("k", "by"), "dealt")
 
