@@ -24,6 +24,14 @@ _ZONED_FORMATS = [
     "d.M.yyyy H:mm[:ss]XXX",
     "yyyy-MM-ddXXX",
     "M/d/yyyyXXX",
+    "d-MMM-yyyy H:mm[:ss]XXX",
+    "d MMM yyyy H:mm[:ss]XXX",
+    "MMM d, yyyy h:mm[:ss] aXXX",
+    "MMM d, yyyy H:mm[:ss]XXX",
+    "yyyy-MM-dd h:mm[:ss] aXXX",
+    "yyyyMMdd'T'HHmmssXXX",
+    "d-MMM-yyyyXXX",
+    "MMM d, yyyyXXX",
 ]
 
 _HAS_ZONE = r"(?i)(\d\s*(z|utc|gmt)|\d\s*[+-]\d{2}:?\d{2})$"
@@ -67,25 +75,33 @@ def iso_from_epoch(epoch) -> Column:
     return F.when(e.isNull(), F.lit("")).otherwise(txt)
 
 
-def parse_epoch(text) -> Column:
+def parse_epoch(text, digits: bool = True) -> Column:
     """Mixed-format timestamp text -> epoch seconds (LONG); unparseable -> NULL.
 
-    Text without an offset is taken as UTC.  Epoch digits (10 or 13 digits)
-    are read as seconds / milliseconds.
+    Text without an offset is taken as UTC.  With ``digits``, epoch digits (10
+    or 13) are read as seconds / milliseconds.  A time without a date is NULL,
+    never the day of the run.
     """
     s = F.trim(col_(text))
+    s = F.when(~s.rlike(r"(?i)^t?\d{1,2}:\d{2}") & ~s.rlike(r"^\d+$" if not digits else r"^$"), s)
     # fast path: ISO text with an explicit zone (``Z`` or ``+hh:mm``) casts directly
     explicit = (s.endswith("Z") | (F.substring(s, -6, 1).isin("+", "-") & (F.substring(s, -3, 1) == ":")
                                    & (F.substring(s, 11, 1).isin("T", " "))))
     fast = F.when(explicit & (F.length(s) >= 20), F.try_to_timestamp(s))
     zoned = F.when(s.rlike(_HAS_ZONE), s).otherwise(F.concat(s, F.lit("Z")))
-    iso_cast = F.try_to_timestamp(F.regexp_replace(zoned, r"(?i)\s*(utc|gmt)$", "Z"))
-    candidates = [fast, iso_cast] + [F.try_to_timestamp(zoned, F.lit(fmt)) for fmt in _ZONED_FORMATS]
-    ts = F.coalesce(*candidates)
+    # one lambda over the text: the formats are written out once, not with the whole text expression each
+
+    def formats(z):
+        return F.coalesce(F.try_to_timestamp(F.regexp_replace(z, r"(?i)\s*(utc|gmt)$", "Z")),
+                          *[F.try_to_timestamp(z, F.lit(fmt)) for fmt in _ZONED_FORMATS])
+
+    ts = F.coalesce(fast, F.get(F.transform(F.array(zoned), formats), F.lit(0)))
     from_ts = F.unix_seconds(ts)
-    digits = F.when(s.rlike(r"^\d{13}$"), F.floor(s.cast("double") / 1000).cast("long")).when(
+    if not digits:
+        return from_ts
+    epoch = F.when(s.rlike(r"^\d{13}$"), F.floor(s.cast("double") / 1000).cast("long")).when(
         s.rlike(r"^\d{10}$"), s.cast("long"))
-    return F.coalesce(from_ts, digits)
+    return F.coalesce(F.when(~s.rlike(r"^\d+$"), from_ts), epoch)
 
 
 def epoch_from_ntz(ts) -> Column:

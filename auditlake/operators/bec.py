@@ -19,8 +19,9 @@ def bec_candidates(ual: DataFrame) -> DataFrame:
     return ual.filter(ad_l.contains("forward") | op_l.contains("inboxrule") | ad_l.contains("inboxrule"))
 
 
-def bec_flagged(ual: DataFrame, prefilter: bool = True) -> DataFrame:
-    """Audit rows with the three BEC flags; ``prefilter=False`` also sees pure delegation rows."""
+def bec_flagged(ual: DataFrame, prefilter: bool = False) -> DataFrame:
+    """Audit rows with the three BEC flags; ``prefilter=True`` drops rows that mention neither forwarding nor inbox rules,
+    pure delegation ones among them."""
     base = bec_candidates(ual) if prefilter else ual
     ad_l = F.lower(nz("auditdata"))
     op_l = F.lower(nz("operation"))
@@ -36,15 +37,15 @@ def _events(df: DataFrame) -> DataFrame:
                      "file_id", "rownum")
 
 
-def bec_forwarding_events(ual: DataFrame, prefilter: bool = True) -> DataFrame:
+def bec_forwarding_events(ual: DataFrame, prefilter: bool = False) -> DataFrame:
     return _events(bec_flagged(ual, prefilter).filter("_fwd")).select(*EVENT_COLUMNS)
 
 
-def bec_inbox_rule_events(ual: DataFrame, prefilter: bool = True) -> DataFrame:
+def bec_inbox_rule_events(ual: DataFrame, prefilter: bool = False) -> DataFrame:
     return _events(bec_flagged(ual, prefilter).filter("_inbox")).select(*EVENT_COLUMNS)
 
 
-def bec_delegation_events(ual: DataFrame, prefilter: bool = True) -> DataFrame:
+def bec_delegation_events(ual: DataFrame, prefilter: bool = False) -> DataFrame:
     return _events(bec_flagged(ual, prefilter).filter("_deleg")).select(*EVENT_COLUMNS)
 
 
@@ -53,9 +54,9 @@ def email_domains(text_lower) -> "F.Column":
     return F.transform(F.regexp_extract_all(text_lower, F.lit(K.EMAIL_PATTERN), 2), lambda d: F.lower(d))
 
 
-def bec_external_domains(ual: DataFrame, top: int | None = K.TOP_DOMAINS, text_col: str = "auditdata",
-                         keyword_filter: bool = True, prefilter: bool = True) -> DataFrame:
-    """Domains of every e-mail address in forwarding rows, counted (top ``top``).
+def bec_external_domains(ual: DataFrame, top: int | None = None, text_col: str = "auditdata",
+                         keyword_filter: bool = True, prefilter: bool = False) -> DataFrame:
+    """Domains of every e-mail address in forwarding rows, counted (of which the first ``top`` on request).
 
     ``keyword_filter=False`` counts addresses in every row of ``text_col``.
     """
@@ -73,13 +74,17 @@ def bec_external_domains(ual: DataFrame, top: int | None = K.TOP_DOMAINS, text_c
     return out
 
 
-def union_bec_events(ual: DataFrame, per_kind: int = K.BEC_EVENTS_PER_KIND, top: int = K.REPORT_TIMELINE_TOP,
-                     prefilter: bool = True) -> DataFrame:
-    """First ``per_kind`` rows of each list (scan order) tagged with ``kind``, by time, first ``top``."""
+def union_bec_events(ual: DataFrame, per_kind: int | None = None, top: int | None = None,
+                     prefilter: bool = False) -> DataFrame:
+    """The three lists tagged with ``kind``, by time; a report may ask for the first ``per_kind`` rows of each list
+    (scan order) and the first ``top`` of all."""
     flagged = bec_flagged(ual, prefilter)
     parts = []
     for no, (kind, flag) in enumerate([("forwarding", "_fwd"), ("inboxrule", "_inbox"), ("delegation", "_deleg")]):
-        ev = _events(flagged.filter(flag)).orderBy("file_id", "rownum").limit(per_kind)
+        ev = _events(flagged.filter(flag))
+        if per_kind is not None:
+            ev = ev.orderBy("file_id", "rownum").limit(per_kind)
         parts.append(ev.withColumn("kind", F.lit(kind)).withColumn("_kno", F.lit(no)))
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.orderBy("ts", "_kno", "file_id", "rownum").limit(top).select(*EVENT_COLUMNS, "kind")
+    u = u.orderBy("ts", "_kno", "file_id", "rownum")
+    return (u if top is None else u.limit(top)).select(*EVENT_COLUMNS, "kind")

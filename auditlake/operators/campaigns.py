@@ -40,13 +40,13 @@ def _campaign(signin: DataFrame, key: str, other: str, window_minutes: int, min_
 
 
 def campaign_spray(signin: DataFrame, window_minutes: int = 15, min_failures: int = 20, min_users: int = 5,
-                   top: int | None = K.CAMPAIGN_TOP) -> DataFrame:
+                   top: int | None = None) -> DataFrame:
     """(ip, bucket, fails, n_other=distinct users, min_ts, max_ts)."""
     return _campaign(signin, "ip", "user", window_minutes, min_failures, min_users, top)
 
 
 def campaign_brute(signin: DataFrame, window_minutes: int = 15, min_failures: int = 25, min_ips: int = 5,
-                   top: int | None = K.CAMPAIGN_TOP) -> DataFrame:
+                   top: int | None = None) -> DataFrame:
     return _campaign(signin, "user", "ip", window_minutes, min_failures, min_ips, top)
 
 
@@ -55,7 +55,7 @@ def _ts_or_blank(c):
 
 
 def det_password_spray(signin: DataFrame, window_minutes: int = 15, min_failures: int = 20, min_users: int = 5,
-                       top: int | None = K.CAMPAIGN_TOP) -> DataFrame:
+                       top: int | None = None) -> DataFrame:
     """One IP failing against many users inside one bucket."""
     cat, title = K.FINDING_META["password_spray"]
     agg = campaign_spray(signin, window_minutes, min_failures, min_users, top)
@@ -70,7 +70,7 @@ def det_password_spray(signin: DataFrame, window_minutes: int = 15, min_failures
 
 
 def det_bruteforce(signin: DataFrame, window_minutes: int = 15, min_failures: int = 25, min_ips: int = 5,
-                   top: int | None = K.CAMPAIGN_TOP) -> DataFrame:
+                   top: int | None = None) -> DataFrame:
     """One user failing from many IPs inside one bucket."""
     cat, title = K.FINDING_META["bruteforce"]
     agg = campaign_brute(signin, window_minutes, min_failures, min_ips, top)
@@ -84,7 +84,7 @@ def det_bruteforce(signin: DataFrame, window_minutes: int = 15, min_failures: in
                    user=F.col("user"), details=details, evidence=evidence)
 
 
-def mail_access_rows(ual: DataFrame, require_context: bool = True) -> DataFrame:
+def mail_access_rows(ual: DataFrame, require_context: bool = False) -> DataFrame:
     cond = F.col("ts_epoch").isNotNull() & (nz("user") != "") & P.mail_access()
     if require_context:
         cond = cond & P.mail_access_context()
@@ -92,7 +92,7 @@ def mail_access_rows(ual: DataFrame, require_context: bool = True) -> DataFrame:
 
 
 def det_mailitems_spike(ual: DataFrame, window_minutes: int = 60, threshold: int = 500,
-                        require_context: bool = True, top: int | None = K.CAMPAIGN_TOP) -> DataFrame:
+                        require_context: bool = False, top: int | None = None) -> DataFrame:
     """Mail-access events per (user, bucket) at or above ``threshold``.
 
     ``require_context=True`` keeps the reference condition (mail access AND a

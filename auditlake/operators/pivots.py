@@ -127,7 +127,7 @@ def agg_severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.lower("severity").alias("severity")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def agg_category_counts(findings: DataFrame, top: int | None = K.TOP_CATEGORIES) -> DataFrame:
+def agg_category_counts(findings: DataFrame, top: int | None = None) -> DataFrame:
     out = findings.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
     return _top(out, [F.desc("count"), F.asc("category")], top)
 
@@ -169,7 +169,9 @@ def agg_kpis(findings: DataFrame, files: DataFrame, signin: DataFrame, ual: Data
     f = findings.agg(_score_col(counts).alias("risk_score"), F.count(F.lit(1)).alias("total_findings"),
                      F.countDistinct(F.when(nz("user") != "", F.col("user"))).alias("impacted_users"),
                      F.countDistinct(F.when(nz("ip") != "", F.col("ip"))).alias("impacted_ips"))
-    parts = [f.select(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in f.columns]
+    # the findings are read once: their one row becomes (metric, value) rows
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in f.columns]))
+    parts = [f.select(pairs)]
     for name, df in (("total_files", files), ("signin_rows", signin), ("ual_rows", ual)):
         parts.append(df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value"))
     long = parts[0]
@@ -181,13 +183,13 @@ def agg_kpis(findings: DataFrame, files: DataFrame, signin: DataFrame, ual: Data
     return wide.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in order])
 
 
-def agg_impacted(findings: DataFrame, col: str = "user", top: int | None = K.IMPACTED_TOP) -> DataFrame:
+def agg_impacted(findings: DataFrame, col: str = "user", top: int | None = None) -> DataFrame:
     """Sorted distinct non-empty users / IPs of findings (``agg_impacted_users/ips``)."""
     out = findings.filter(nz(col) != "").select(col).distinct()
     return _top(out, [F.asc(col)], top)
 
 
-def agg_impacted_countries(findings: DataFrame, top: int | None = K.TOP_COUNTRIES) -> DataFrame:
+def agg_impacted_countries(findings: DataFrame, top: int | None = None) -> DataFrame:
     out = findings.filter(nz("country") != "").groupBy("country").agg(F.count(F.lit(1)).alias("count"))
     return _top(out, [F.desc("count"), F.asc("country")], top)
 

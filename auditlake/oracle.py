@@ -82,7 +82,7 @@ def finding_select(fid, sev, cat_key, ts, user="''", ip="''", country="''", file
 
 # -- aggregating detectors -------------------------------------------------------
 
-def _campaign_cte(name, key, other, window_minutes, min_failures, min_other, top=K.CAMPAIGN_TOP) -> str:
+def _campaign_cte(name, key, other, window_minutes, min_failures, min_other, top=None) -> str:
     win = int(window_minutes) * 60
     lim = f"LIMIT {top}" if top is not None else ""
     return f"""{name} AS (
@@ -200,7 +200,7 @@ def ual_findings(name="f_ual") -> str:
   SELECT {sel} FROM {name}_b x LEFT JOIN files fl ON fl.file_id = x.file_id)"""
 
 
-def spike_findings(window_minutes=60, threshold=500, require_context=True, top=K.CAMPAIGN_TOP,
+def spike_findings(window_minutes=60, threshold=500, require_context=False, top=None,
                    name="f_spike") -> str:
     win = int(window_minutes) * 60
     ctx = (f"({like_any('lower(operation)', K.SPIKE_CONTEXT_OPERATION_WORDS)} OR "

@@ -17,7 +17,7 @@ from .triage import TriageParams, detect_all
 
 
 def run_triage(spark: SparkSession, logdir: str, outdir: str, mode: str = "deep", rules=None,
-               params: TriageParams | None = None, multiline: bool = True) -> dict:
+               params: TriageParams | None = None, multiline: bool | None = None) -> dict:
     """Run the whole triage; returns the written tables as DataFrames read back from ``outdir``."""
     p = params or TriageParams(mode=mode)
     if p.mode != mode:

@@ -9,23 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.timefmt import epoch_date
 from ..operators import findings as FN, pivots
 from ..operators import timeline as TL
 
 
-def write_normalized(signin: DataFrame, ual: DataFrame, files: DataFrame, outdir: str, mode: str = "overwrite",
-                     num_partitions: int | None = None):
+def write_normalized(signin: DataFrame, ual: DataFrame, files: DataFrame, outdir: str, mode: str = "overwrite"):
     """``sink_normalized``: event tables partitioned by UTC event date and clustered by user.
 
     Range partitioning on (event_date, user, ts_epoch) samples the key
     distribution, so a busy day or a hot user is split over many tasks (no
     task owns a whole day), while each output file still covers a narrow
     date / user range; ``files`` keeps the newest row per path."""
-    n = num_partitions or int(signin.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, df in (("signin", signin), ("ual", ual)):
         (df.withColumn("event_date", F.coalesce(epoch_date("ts_epoch").cast("string"), F.lit("unknown")))
-         .repartitionByRange(n, "event_date", "user", "ts_epoch")
+         .repartitionByRange("event_date", "user", "ts_epoch")  # without a number, adaptive execution sizes the tasks
          .sortWithinPartitions("event_date", "user", "ts_epoch")
          .write.mode(mode).partitionBy("event_date").parquet(f"{outdir}/{name}"))
     latest = Window.partitionBy("path").orderBy(F.desc("file_id"))
@@ -37,7 +36,8 @@ def write_findings(findings: DataFrame, outdir: str) -> None:
     """``sink_findings``: sorted ``findings.csv`` and ``findings.jsonl`` with nested evidence."""
     cols = [c for c in findings.columns if c != "detector_no"]
     FN.sort_findings(findings.select(*cols)).write.mode("overwrite").option("header", True) \
-        .option("escape", '"').csv(f"{outdir}/findings.csv")
+        .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+        .csv(f"{outdir}/findings.csv")
     (findings.select(*[c for c in cols if c != "evidence_json"],
                      F.try_parse_json("evidence_json").alias("evidence"))
      .write.mode("overwrite").json(f"{outdir}/findings.jsonl"))
@@ -80,12 +80,12 @@ def report_tables(findings: DataFrame, signin: DataFrame, ual: DataFrame, files:
         "kpis": pivots.agg_kpis(findings, files, signin, ual),
         "risk_score": pivots.agg_risk_score(findings),
         "severity_counts": pivots.agg_severity_counts(findings),
-        "category_top": pivots.agg_category_counts(findings),
+        "category_top": pivots.agg_category_counts(findings, K.TOP_CATEGORIES),
         "families": pivots.agg_family_counts(files),
         "files": pivots.list_files(files),
         "impacted_users": pivots.agg_impacted(findings, "user"),
         "impacted_ips": pivots.agg_impacted(findings, "ip"),
-        "impacted_countries_top": pivots.agg_impacted_countries(findings),
+        "impacted_countries_top": pivots.agg_impacted_countries(findings, K.TOP_COUNTRIES),
         "top_signin_fail_ips": pivots.agg_dash_fail(signin, "ip", "user"),
         "top_signin_fail_users": pivots.agg_dash_fail(signin, "user", "ip"),
         "report_fail_ips": pivots.agg_top_fail(signin, "ip"),
@@ -102,8 +102,8 @@ def report_tables(findings: DataFrame, signin: DataFrame, ual: DataFrame, files:
         "bec_forwarding_events": bec.bec_forwarding_events(ual),
         "bec_inbox_rule_events": bec.bec_inbox_rule_events(ual),
         "bec_delegation_events": bec.bec_delegation_events(ual),
-        "bec_external_forward_domains_top": bec.bec_external_domains(ual),
-        "bec_events": bec.union_bec_events(ual),
+        "bec_external_forward_domains_top": bec.bec_external_domains(ual, K.TOP_DOMAINS),
+        "bec_events": bec.union_bec_events(ual, K.BEC_EVENTS_PER_KIND, K.REPORT_TIMELINE_TOP),
     }
 
 

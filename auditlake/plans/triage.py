@@ -26,10 +26,10 @@ class TriageParams:
     travel_minutes: int = 60
     spike_window: int = 60
     spike_threshold: int = 500
-    spike_require_context: bool = True
+    spike_require_context: bool = False
     corr_minutes: int = 60
     corr_last_n: int = 5
-    campaign_top: int | None = K.CAMPAIGN_TOP
+    campaign_top: int | None = None
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS
 
 
@@ -53,7 +53,7 @@ def detector_frames(signin: DataFrame, ual: DataFrame, files: DataFrame | None =
                                          p.campaign_top)),
         (4, campaigns.det_bruteforce(signin, p.brute_window, p.brute_min_failures, p.brute_min_ips,
                                      p.campaign_top)),
-        (5, sequence.det_success_after_failures(signin, files, p.saf_minutes, p.saf_min_fails)),
+        (5, sequence.det_success_after_failures(signin, files, p.saf_minutes, p.saf_min_fails, p.chunk_seconds)),
         (6, sequence.det_impossible_travel(signin, files, p.travel_minutes, p.chunk_seconds)),
     ]
     if p.mode != "quick":

@@ -228,18 +228,22 @@ _BEC_INBOX = f"(strpos(lower(operation), 'inbox') > 0 OR {O.like_any('lower(audi
 _BEC_DELEG = f"regexp_matches(lower(operation), {O.q(K.BEC_DELEGATION_PATTERN)})"
 _BEC_SEL = "SELECT ts_iso AS ts, \"user\", ip, operation, concat(file_id, ':', rownum) AS ref FROM ual"
 reg("bec_forwarding_events", lambda s, d: bec.bec_forwarding_events(_ual(s, d)),
-    V(select=f"{_BEC_SEL} WHERE {_BEC_CAND} AND {_BEC_FWD}"))
+    V(select=f"{_BEC_SEL} WHERE {_BEC_FWD}"))
 reg("bec_inbox_rule_events", lambda s, d: bec.bec_inbox_rule_events(_ual(s, d)),
-    V(select=f"{_BEC_SEL} WHERE {_BEC_CAND} AND {_BEC_INBOX}"))
+    V(select=f"{_BEC_SEL} WHERE {_BEC_INBOX}"))
 reg("bec_delegation_events", lambda s, d: bec.bec_delegation_events(_ual(s, d)),
-    V(select=f"{_BEC_SEL} WHERE {_BEC_CAND} AND {_BEC_DELEG}"))
+    V(select=f"{_BEC_SEL} WHERE {_BEC_DELEG}"))
+reg("bec_forwarding_events_prefiltered", lambda s, d: bec.bec_forwarding_events(_ual(s, d), prefilter=True),
+    V(select=f"{_BEC_SEL} WHERE {_BEC_CAND} AND {_BEC_FWD}"))
+reg("bec_inbox_rule_events_prefiltered", lambda s, d: bec.bec_inbox_rule_events(_ual(s, d), prefilter=True),
+    V(select=f"{_BEC_SEL} WHERE {_BEC_CAND} AND {_BEC_INBOX}"))
 reg("bec_delegation_events_all", lambda s, d: bec.bec_delegation_events(_ual(s, d), prefilter=False),
     V(select=f"{_BEC_SEL} WHERE {_BEC_DELEG}"))
 _DOM = O.q(K.EMAIL_PATTERN)
 reg("bec_external_domains", lambda s, d: bec.bec_external_domains(_ual(s, d)),
     V(select=f"""SELECT lower(dm) AS domain, count(*) AS count FROM (
-  SELECT unnest(regexp_extract_all(lower(auditdata), {_DOM}, 2)) AS dm FROM ual WHERE {_BEC_CAND} AND {_BEC_FWD})
-GROUP BY 1 ORDER BY count DESC, domain LIMIT {K.TOP_DOMAINS}"""))
+  SELECT unnest(regexp_extract_all(lower(auditdata), {_DOM}, 2)) AS dm FROM ual WHERE {_BEC_FWD})
+GROUP BY 1"""))
 
 
 def _doc_domains(s, d):
@@ -251,20 +255,10 @@ reg("bec_external_domains_documents", _doc_domains,
     f"""SELECT lower(dm) AS domain, count(*) AS count FROM (
   SELECT unnest(regexp_extract_all(lower(text), {_DOM}, 2)) AS dm FROM documents) GROUP BY 1""")
 
+_BEC_KIND = """SELECT ts_iso AS ts, "user", ip, operation, concat(file_id, ':', rownum) AS ref, '{kind}' AS kind FROM ual WHERE {cond}"""
 reg("union_bec_events", lambda s, d: bec.union_bec_events(_ual(s, d)),
-    V(select=f"""SELECT ts, "user", ip, operation, ref, kind FROM (
-  SELECT * FROM (SELECT ts_iso AS ts, "user", ip, operation, concat(file_id, ':', rownum) AS ref, file_id, rownum,
-     'forwarding' AS kind, 0 AS kno FROM ual WHERE {_BEC_CAND} AND {_BEC_FWD} ORDER BY file_id, rownum
-     LIMIT {K.BEC_EVENTS_PER_KIND})
-  UNION ALL
-  SELECT * FROM (SELECT ts_iso, "user", ip, operation, concat(file_id, ':', rownum), file_id, rownum,
-     'inboxrule', 1 FROM ual WHERE {_BEC_CAND} AND {_BEC_INBOX} ORDER BY file_id, rownum
-     LIMIT {K.BEC_EVENTS_PER_KIND})
-  UNION ALL
-  SELECT * FROM (SELECT ts_iso, "user", ip, operation, concat(file_id, ':', rownum), file_id, rownum,
-     'delegation', 2 FROM ual WHERE {_BEC_CAND} AND {_BEC_DELEG} ORDER BY file_id, rownum
-     LIMIT {K.BEC_EVENTS_PER_KIND})
-) x ORDER BY ts, kno, file_id, rownum LIMIT {K.REPORT_TIMELINE_TOP}"""))
+    V(select=" UNION ALL ".join(_BEC_KIND.format(kind=k, cond=c) for k, c in (
+        ("forwarding", _BEC_FWD), ("inboxrule", _BEC_INBOX), ("delegation", _BEC_DELEG)))))
 
 # ---------------------------------------------------------------------------
 # 2.8 pivots over sign-ins / audit / files
@@ -395,8 +389,7 @@ reg("union_findings_default", lambda s, d: _findings(s, d, type(P_)(), None).sel
 reg("agg_severity_counts", lambda s, d: pivots.agg_severity_counts(_fa(s, d)),
     VR(_ALL, select="SELECT lower(severity) AS severity, count(*) AS count FROM f_all GROUP BY 1"))
 reg("agg_category_counts", lambda s, d: pivots.agg_category_counts(_fa(s, d)),
-    VR(_ALL, select=f"SELECT category, count(*) AS count FROM f_all GROUP BY 1 ORDER BY count DESC, category "
-                    f"LIMIT {K.TOP_CATEGORIES}"))
+    VR(_ALL, select=f"SELECT category, count(*) AS count FROM f_all GROUP BY 1"))
 _SCORE = ("CAST(least(100, 35 * sum(CASE WHEN lower(severity) = 'critical' THEN 1 ELSE 0 END) + "
           "20 * sum(CASE WHEN lower(severity) = 'high' THEN 1 ELSE 0 END) + "
           "8 * sum(CASE WHEN lower(severity) = 'medium' THEN 1 ELSE 0 END) + "
@@ -420,12 +413,11 @@ reg("agg_kpis", _kpis, VR(_ALL, select=f"""SELECT
   (SELECT count(*) FROM signin) AS signin_rows,
   (SELECT count(*) FROM ual) AS ual_rows"""))
 reg("agg_impacted_users", lambda s, d: pivots.agg_impacted(_fa(s, d), "user"),
-    VR(_ALL, select=f'SELECT DISTINCT "user" FROM f_all WHERE "user" != \'\' ORDER BY 1 LIMIT {K.IMPACTED_TOP}'))
+    VR(_ALL, select=f'SELECT DISTINCT "user" FROM f_all WHERE "user" != \'\''))
 reg("agg_impacted_ips", lambda s, d: pivots.agg_impacted(_fa(s, d), "ip"),
-    VR(_ALL, select=f"SELECT DISTINCT ip FROM f_all WHERE ip != '' ORDER BY 1 LIMIT {K.IMPACTED_TOP}"))
+    VR(_ALL, select=f"SELECT DISTINCT ip FROM f_all WHERE ip != ''"))
 reg("agg_impacted_countries", lambda s, d: pivots.agg_impacted_countries(_fa(s, d)),
-    VR(_ALL, select=f"SELECT country, count(*) AS count FROM f_all WHERE country != '' GROUP BY 1 "
-                    f"ORDER BY count DESC, country LIMIT {K.TOP_COUNTRIES}"))
+    VR(_ALL, select=f"SELECT country, count(*) AS count FROM f_all WHERE country != '' GROUP BY 1"))
 _FDAY = "CAST(CAST(CAST(timestamp AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS DATE) AS VARCHAR)"
 reg("agg_findings_by_day", lambda s, d: pivots.agg_findings_by_day(_fa(s, d)),
     VR(_ALL, select=f"SELECT {_FDAY} AS date, count(*) AS count FROM f_all WHERE timestamp != '' GROUP BY 1"))
@@ -480,3 +472,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# ---------------------------------------------------------------------------
+# CSV ingest: a folder of exports written from the stand-in rows, read back by ingest_logs
+# ---------------------------------------------------------------------------
+_SIGNIN_TEXT = ["user", "ip", "app", "client_app", "user_agent", "device_id", "correlation_id", "result_type", "error_code",
+                "failure_reason", "status", "risk_level", "risk_state", "risk_detail", "country", "state", "city"]
+_UAL_TEXT = ["user", "ip", "operation", "workload", "record_type", "object_id", "auditdata"]
+
+
+def _ingested(no: int, cols: list[str]):
+    return lambda s, d: adapters.load_ingested(s, d)[no].select("ts_epoch", "ts_iso", *cols)
+
+
+def _duck_list(cols: list[str]) -> str:
+    return ", ".join(f'"{c}"' for c in ["ts_epoch", "ts_iso", *cols])
+
+
+reg("ingest_signin", _ingested(0, _SIGNIN_TEXT), V(select=f"SELECT {_duck_list(_SIGNIN_TEXT)} FROM signin"))
+reg("ingest_ual", _ingested(1, _UAL_TEXT), V(select=f"SELECT {_duck_list(_UAL_TEXT)} FROM ual"))
+
+
+def _ingest_files(s, d):
+    """Per family, delimiter and encoding: rows, time range, and whether every file has its digest and no error."""
+    f = adapters.load_ingested(s, d)[2]
+    return f.groupBy("family", "delimiter", "encoding").agg(
+        F.sum("rows").alias("rows"), F.min("start_epoch").alias("start_epoch"), F.max("end_epoch").alias("end_epoch"),
+        F.min((F.length("sha256") == 64) & (F.col("error") == "")).alias("clean"))
+
+
+def _ingest_files_sql() -> str:
+    parts = []
+    for family, variants in adapters.LOG_VARIANTS.items():
+        for i, (_, _, sep, encoding, _) in enumerate(variants):
+            # without a byte above 127 a file of either encoding is valid UTF-8
+            parts.append(f"SELECT '{family}' AS family, {'chr(9)' if sep == chr(9) else O.q(sep)} AS delimiter, event_id % {len(variants)} = {i} AS own, "
+                         f"{'ts_epoch + 600' if family == 'ual' else adapters.SIGNIN_RAW['ts_epoch']} AS ts FROM b")
+    return ("SELECT family, delimiter, 'UTF-8' AS encoding, count(*) AS rows, min(ts) AS start_epoch, max(ts) AS end_epoch, true AS clean "
+            f"FROM ({' UNION ALL '.join(parts)}) WHERE own GROUP BY family, delimiter")
+
+
+reg("ingest_files", _ingest_files, V(select=_ingest_files_sql()))
+
+
+def _ingest_rownums(s, d):
+    """Per family: rows, and rows whose number is not one of 1..n of their file exactly once."""
+    sg, u, _ = adapters.load_ingested(s, d)
+    both = sg.select(F.lit("signin").alias("family"), "file_id", "rownum").unionByName(
+        u.select(F.lit("ual").alias("family"), "file_id", "rownum"))
+    per = both.groupBy("family", "file_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rownum").alias("own"),
+                                                F.min("rownum").alias("low"), F.max("rownum").alias("high"))
+    return per.groupBy("family").agg(F.sum("n").alias("rows"), F.sum(
+        F.when((F.col("own") == F.col("n")) & (F.col("low") == 1) & (F.col("high") == F.col("n")), 0).otherwise(F.col("n"))).alias("misnumbered"))
+
+
+reg("ingest_row_provenance", _ingest_rownums, V(select="""SELECT 'signin' AS family, count(*) AS rows, CAST(0 AS BIGINT) AS misnumbered FROM signin
+UNION ALL SELECT 'ual', count(*), CAST(0 AS BIGINT) FROM ual"""))
+
+
+def _ingest_raw_json(s, d):
+    """Source columns of each audit row, from raw_json, by their names in the export."""
+    u = adapters.load_ingested(s, d)[1]
+    kv = F.from_json("raw_json", "map<string,string>")
+    return u.select(F.element_at(kv, "UserId").alias("user"), F.element_at(kv, "Operation").alias("raw_operation"),
+                    F.element_at(kv, "AuditData").alias("raw_auditdata"))
+
+
+reg("ingest_raw_json", _ingest_raw_json, V(select='SELECT "user", operation AS raw_operation, auditdata AS raw_auditdata FROM ual_raw'))

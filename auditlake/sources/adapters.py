@@ -10,23 +10,21 @@ is used by Spark and, in ``duckdb_views()``, by the DuckDB oracle.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsonfn import operation_fallback
-from ..functions.predicates import error_code
-from ..functions.text import nz
-from ..functions.timefmt import epoch_of, iso_from_epoch
+from ..functions.timefmt import epoch_of
 from ..session import checkpoint_dir
+from .normalize import normalize_signin, normalize_ual
 
 # Raw sign-in columns over base ``b`` (event_id, user_id, event_type, value, ts_epoch, k).
 SIGNIN_RAW = {
     "file_id": "CAST(event_id % 7 + 1 AS BIGINT)",
     "rownum": "event_id + 1",
-    "ts_epoch": "ts_epoch",
-    "user": "CASE WHEN event_id % 53 = 0 THEN '' ELSE concat('u', CAST(user_id % 40 AS VARCHAR(20)), '@corp.example') END",
+    # every 500th event starts a burst: seven failures of one user, a minute apart, then a success
+    "ts_epoch": "CASE WHEN event_id % 500 < 8 THEN 1735689600 + (event_id - event_id % 500) * 7 + event_id % 500 * 60 ELSE ts_epoch END",
+    "user": "CASE WHEN event_id % 500 < 8 THEN concat('burst', CAST((event_id - event_id % 500) % 7 AS VARCHAR(20)), '@corp.example') WHEN event_id % 53 = 0 THEN '' ELSE concat('u', CAST(user_id % 40 AS VARCHAR(20)), '@corp.example') END",
     "ip": "CASE WHEN event_id % 47 = 0 THEN '' ELSE concat('10.0.0.', CAST(event_id % 12 AS VARCHAR(20))) END",
     "app": "CASE k % 3 WHEN 0 THEN 'Exchange Online' WHEN 1 THEN 'Azure Portal' ELSE 'Microsoft Teams' END",
     "client_app": ("CASE k % 7 WHEN 0 THEN 'IMAP4' WHEN 1 THEN 'POP3' WHEN 2 THEN 'Exchange ActiveSync' "
@@ -34,10 +32,11 @@ SIGNIN_RAW = {
     "user_agent": "CASE k % 5 WHEN 0 THEN 'Mozilla/5.0' WHEN 1 THEN 'python-requests/2.31' ELSE '' END",
     "device_id": "CASE WHEN k % 4 = 0 THEN concat('dev-', CAST(user_id % 40 AS VARCHAR(20))) ELSE '' END",
     "correlation_id": "concat('corr-', CAST(event_id AS VARCHAR(20)))",
-    "result_type": ("CASE event_type WHEN 'error' THEN '50126' WHEN 'view' THEN '' WHEN 'click' THEN '50076 mfa' "
-                    "ELSE '0' END"),
+    "result_type": ("CASE WHEN event_id % 500 < 7 THEN '50126' WHEN event_id % 1000 = 7 THEN '0' WHEN event_id % 1000 = 507 "
+                    "THEN '50076 mfa' ELSE CASE event_type WHEN 'error' THEN '50126' WHEN 'view' THEN '' WHEN 'click' THEN '50076 mfa' "
+                    "ELSE '0' END END"),
     "failure_reason": "CASE WHEN event_type = 'error' THEN 'Invalid username or password.' ELSE '' END",
-    "status": ("CASE WHEN event_type = 'view' AND k % 2 = 0 THEN 'Sign-in was Blocked' "
+    "status": ("CASE WHEN event_id % 1000 = 507 THEN 'Success' WHEN event_type = 'view' AND k % 2 = 0 THEN 'Sign-in was Blocked' "
                "WHEN event_type = 'view' THEN 'Success' ELSE '' END"),
     "risk_level": "CASE k % 10 WHEN 0 THEN 'high' WHEN 1 THEN 'Medium' WHEN 2 THEN 'low' WHEN 3 THEN 'none' ELSE '' END",
     "risk_state": "CASE k % 11 WHEN 0 THEN 'atRisk' WHEN 1 THEN 'none' ELSE '' END",
@@ -56,7 +55,7 @@ UAL_RAW = {
     "user": ("CASE WHEN event_id % 59 = 0 THEN '' ELSE concat('u', CAST((user_id + event_id) % 40 AS VARCHAR(20)), "
              "'@corp.example') END"),
     "ip": "CASE WHEN event_id % 31 = 0 THEN '' ELSE concat('10.0.0.', CAST((event_id + user_id) % 12 AS VARCHAR(20))) END",
-    "operation": ("CASE WHEN event_id % 97 = 0 THEN '' ELSE CASE k % 8 WHEN 0 THEN 'New-InboxRule' "
+    "operation": ("CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 41 = 0 THEN 'Add-MailboxPermission' ELSE CASE k % 8 WHEN 0 THEN 'New-InboxRule' "
                   "WHEN 1 THEN 'Set-Mailbox' WHEN 2 THEN 'Add member to role.' WHEN 3 THEN 'MailItemsAccessed' "
                   "WHEN 4 THEN 'Consent to application' WHEN 5 THEN 'Folder permission viewed' WHEN 6 THEN 'Send' "
                   "ELSE 'FileAccessed' END END"),
@@ -86,27 +85,6 @@ def _project(base: DataFrame, exprs: dict) -> DataFrame:
     return base.select(*[F.expr(e).alias(name) for name, e in exprs.items()])
 
 
-def normalize_signin(raw: DataFrame) -> DataFrame:
-    """Canonical sign-in columns: '' for missing text, derived error code and ISO time."""
-    from ..schema import SIGNIN_COLUMNS
-    df = raw.withColumn("error_code", error_code("result_type")).withColumn("ts_iso", iso_from_epoch("ts_epoch"))
-    keep = []
-    for c in SIGNIN_COLUMNS:
-        keep.append(F.col(c) if c in ("file_id", "rownum", "ts_epoch") else nz(c).alias(c))
-    return df.select(*keep)
-
-
-def normalize_ual(raw: DataFrame) -> DataFrame:
-    """Canonical audit columns with the AuditData operation fallback."""
-    from ..schema import UAL_COLUMNS
-    df = (raw.withColumn("operation", operation_fallback("operation", "auditdata"))
-          .withColumn("ts_iso", iso_from_epoch("ts_epoch")))
-    keep = []
-    for c in UAL_COLUMNS:
-        keep.append(F.col(c) if c in ("file_id", "rownum", "ts_epoch") else nz(c).alias(c))
-    return df.select(*keep)
-
-
 def signin_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_signin(_project(events_base(spark, sf_dir), SIGNIN_RAW))
 
@@ -137,10 +115,8 @@ _MATERIALIZED: dict = {}
 
 
 def _table_dir(spark: SparkSession, sf_dir: str) -> str:
-    src = os.path.abspath(sf_dir)
-    st = os.stat(os.path.join(src, "events.parquet"))
-    tag = hashlib.sha1(f"{src}|{st.st_size}|{st.st_mtime_ns}".encode()).hexdigest()[:16]
-    return os.path.join(checkpoint_dir(spark), "auditlake-tables", spark.sparkContext.applicationId, tag)
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(spark).rstrip('/')}/auditlake-tables/{spark.sparkContext.applicationId}/{tag}"
 
 
 def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True
@@ -156,7 +132,7 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True
         signin = signin_from_events(spark, sf_dir)
         ual = ual_from_events(spark, sf_dir)
         return signin, ual, files_from_tables(signin, ual)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATERIALIZED:
         base = _table_dir(spark, sf_dir)
         signin_from_events(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/signin")
@@ -170,6 +146,65 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True
             spark.read.parquet(f"{base}/files"))
 
 
+# ---------------------------------------------------------------------------
+# Stand-in log folder: the same raw rows as exported CSV files.
+# ---------------------------------------------------------------------------
+
+_SIGNIN_HEADER = {"CreatedDateTime": "ts", "UserPrincipalName": "user", "IPAddress": "ip", "AppDisplayName": "app",
+                  "ClientAppUsed": "client_app", "UserAgent": "user_agent", "DeviceId": "device_id", "CorrelationId": "correlation_id",
+                  "ResultType": "result_type", "FailureReason": "failure_reason", "Status": "status",
+                  "RiskLevelDuringSignIn": "risk_level", "RiskState": "risk_state", "RiskDetail": "risk_detail",
+                  "Country": "country", "State": "state", "City": "city"}
+_UAL_HEADER = {"When (UTC, ISO)": "ts", "UserId": "user", "ClientIP": "ip", "Operation": "operation", "Workload": "workload",
+               "RecordType": "record_type", "ObjectId": "object_id", "AuditData": "auditdata"}
+#: (folder, file name pattern, delimiter, encoding, time format; None: epoch seconds)
+LOG_VARIANTS = {
+    "signin": [("s0", "InteractiveSignIns {i}.csv", ",", "UTF-8", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+               ("s1", "MSISignIns_100%25_{i}.csv", ";", "ISO-8859-1", "MM/dd/yyyy h:mm:ss a"),
+               ("s2", "ApplicationSignIns+{i}.csv", "\t", "UTF-8", None)],
+    "ual": [("u0", "ual export {i}.csv", ",", "UTF-8", "yyyy-MM-dd HH:mm:ss"),
+            ("u1", "audit[{i}].csv", ";", "UTF-8", "dd-MMM-yyyy HH:mm:ss"),
+            ("u2", "unified{i}.csv", "|", "ISO-8859-1", "MMM d, yyyy h:mm:ss a"),
+            ("u3", "ual_{i}.csv", "\t", "UTF-8", "yyyyMMdd'T'HHmmss'Z'")],
+}
+
+
+def write_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The raw stand-in rows as CSV exports under the shared folder: several delimiters, encodings, time formats and odd names."""
+    out = f"{_table_dir(spark, sf_dir)}/logs"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = events_base(spark, sf_dir)
+    for family, raw, header in (("signin", SIGNIN_RAW, _SIGNIN_HEADER), ("ual", UAL_RAW, _UAL_HEADER)):
+        rows = base.select("event_id", *[F.expr(e).alias(n) for n, e in raw.items()])
+        for i, (folder, name, sep, encoding, fmt) in enumerate(LOG_VARIANTS[family]):
+            ts = F.col("ts_epoch").cast("string") if fmt is None else F.date_format(F.timestamp_seconds("ts_epoch"), fmt)
+            part = rows.where(F.col("event_id") % len(LOG_VARIANTS[family]) == i).withColumn("ts", ts)
+            (part.select(*[F.col(c).alias(h) for h, c in header.items()]).write.mode("overwrite").option("header", True)
+             .option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding)
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{out}/{folder}"))
+            path = jvm.org.apache.hadoop.fs.Path(f"{out}/{folder}")
+            fs = path.getFileSystem(conf)
+            for k, st in enumerate(s for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")):
+                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(path, name.format(i=k)))
+    return out
+
+
+_INGESTED: dict = {}
+
+
+def load_ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signin, ual, files) of the stand-in log folder, read by the library's CSV ingest and written once."""
+    from .logs import ingest_logs
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INGESTED:
+        base = f"{_table_dir(spark, sf_dir)}/ingested"
+        got = ingest_logs(spark, write_log_folder(spark, sf_dir))
+        for name in ("signin", "ual", "files"):
+            got[name].write.mode("overwrite").parquet(f"{base}/{name}")
+        _INGESTED[key] = base
+    return tuple(spark.read.parquet(f"{_INGESTED[key]}/{name}") for name in ("signin", "ual", "files"))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB text of the same views (used by the oracle SQL).
 # ---------------------------------------------------------------------------

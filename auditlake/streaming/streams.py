@@ -9,14 +9,14 @@
                               exact distinct aggregates are not allowed in streaming.
 ``stream_success_after_failures``  per-user state with ``applyInPandasWithState``: events wait
                               in state until the watermark passes them, then are folded in
-                              event-time order (failures pruned to the window, cleared on emit).
+                              event-time order; what no later event can meet is dropped.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from ..functions.text import nz
 from ..operators import row_detectors
 from ..operators.campaigns import failure_rows
 from ..session import ship_package
-from ..sources.logs import normalize_group
+from ..sources.logs import normalize_group, plain_path
 
 
 # -- ingest ---------------------------------------------------------------------------------
@@ -44,11 +44,11 @@ def _number_rows(batch: DataFrame, skiprows: int) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, source_dir: str, columns: list[str], family: str, sink_dir: str,
                   checkpoint: str, delimiter: str = ",", skiprows: int = 0, encoding: str = "UTF-8",
-                  max_files_per_trigger: int | None = None, file_ids: DataFrame | None = None):
+                  max_files_per_trigger: int | None = None, *, file_ids: DataFrame):
     """Start an ``availableNow`` stream of CSV files sharing one header into ``sink_dir``.
 
-    ``file_ids`` (path, file_id) assigns ids; without it the id is a hash of the path.
-    Returns the StreamingQuery.
+    ``file_ids`` (path, file_id) assigns ids, as an inventory lists them; a file
+    that it lacks stops the query.  Returns the StreamingQuery.
     """
     n = len(columns)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
@@ -57,17 +57,16 @@ def stream_ingest(spark: SparkSession, source_dir: str, columns: list[str], fami
               .option("pathGlobFilter", "*.csv"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(source_dir).select("*", F.col("_metadata.file_path").alias("_path"),
+    raw = reader.csv(source_dir).select("*", plain_path("_metadata.file_path").alias("_path"),
                                         F.col("_metadata.file_block_start").alias("_blk"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         b = _number_rows(batch.withColumn("_id", F.monotonically_increasing_id()), skiprows)
         b = b.select("_path", "rownum", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
         norm = normalize_group(b, columns, family)
-        if file_ids is not None:
-            norm = norm.join(F.broadcast(file_ids.select(F.col("path").alias("_path"), "file_id")), "_path")
-        else:
-            norm = norm.withColumn("file_id", F.abs(F.xxhash64("_path")))
+        norm = norm.join(file_ids.select(F.col("path").alias("_path"), "file_id"), "_path", "left")
+        lost = F.raise_error(F.concat(F.lit("file without an id: "), F.col("_path"))).cast("long")
+        norm = norm.withColumn("file_id", F.coalesce("file_id", lost))
         norm.drop("_path").write.mode("append").parquet(sink_dir)
 
     return (raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
@@ -115,45 +114,62 @@ SAF_OUT = T.StructType([
     T.StructField("file_id", T.LongType()), T.StructField("rownum", T.LongType()),
     T.StructField("ip", T.StringType()), T.StructField("fail_count", T.LongType()),
 ])
-SAF_STATE = T.StructType([T.StructField("pending", T.StringType()), T.StructField("fails", T.StringType())])
+_PENDING = {"ts_epoch": "long", "file_id": "long", "rownum": "long", "f": "boolean", "ip": "string"}
+SAF_STATE = T.StructType([T.StructField(c, T.ArrayType({"long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType()}[t]))
+                          for c, t in {**_PENDING, "fails": "long"}.items()])
+
+
+def _emissions(fails: np.ndarray, at: np.ndarray, before: np.ndarray, window: int, min_fails: int) -> list[tuple[int, int]]:
+    """(index, failures) of the successes that end a run of failures.
+
+    ``fails`` are sorted failure times; success i happens at ``at[i]`` after
+    the first ``before[i]`` of them.  It counts those inside the window that no
+    earlier emission has used up.
+    """
+    out, used = [], 0
+    oldest = np.searchsorted(fails, at - window, side="left")
+    for i in np.flatnonzero(before - oldest >= min_fails):
+        n = int(before[i] - max(oldest[i], used))
+        if n >= min_fails:
+            out.append((int(i), n))
+            used = int(before[i])
+    return out
 
 
 def _saf_state_fn(window: int, min_fails: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        user = key[0]
-        if state.exists:
-            pend_s, fails_s = state.get
-            pending, fails = json.loads(pend_s), json.loads(fails_s)
-        else:
-            pending, fails = [], []
-        for pdf in pdfs:
-            pending.extend(pdf[["ts_epoch", "file_id", "rownum", "f", "ip"]].values.tolist())
-        wm = state.getCurrentWatermarkMs() // 1000
-        ready = sorted([e for e in pending if e[0] <= wm], key=lambda e: (e[0], e[1], e[2]))
-        pending = [e for e in pending if e[0] > wm]
-        out = []
-        for ts, fid, rn, is_f, ip in ready:
-            fails = [t for t in fails if ts - t <= window]
-            if is_f:
-                fails.append(ts)
-            elif len(fails) >= min_fails:
-                out.append((user, int(ts), int(fid), int(rn), ip, len(fails)))
-                fails = []
-        if pending or fails:
-            state.update((json.dumps(pending), json.dumps(fails)))
-            nxt = min([e[0] for e in pending], default=wm + window + 1)
-            state.setTimeoutTimestamp(int(max(nxt, wm + 1)) * 1000)
-        else:
+        kept = dict(zip(SAF_STATE.names, state.get)) if state.exists else {c: [] for c in SAF_STATE.names}
+        waiting = pd.concat([pd.DataFrame({c: kept[c] for c in _PENDING}), *(p[list(_PENDING)] for p in pdfs)])
+        passed = state.getCurrentWatermarkMs() // 1000
+        waiting = waiting[waiting["ts_epoch"].notna()].astype({"ts_epoch": "int64", "file_id": "int64", "rownum": "int64", "f": bool})
+        waiting = waiting.sort_values(["ts_epoch", "file_id", "rownum"], kind="stable", ignore_index=True)
+        due = waiting["ts_epoch"] <= passed
+        ready, waiting = waiting[due], waiting[~due]
+        failed = ready["f"].to_numpy(bool)
+        fails = np.concatenate([np.array(kept["fails"], np.int64), ready["ts_epoch"].to_numpy(np.int64)[failed]])
+        good = ready[~failed]
+        before = len(kept["fails"]) + np.cumsum(failed)[~failed]
+        found = _emissions(fails, good["ts_epoch"].to_numpy(np.int64), before, window, min_fails)
+        used = int(before[found[-1][0]]) if found else 0
+        fails = fails[used:][fails[used:] > passed - window]  # older ones can meet no later event
+        if len(waiting) or len(fails):
+            state.update((*(waiting[c].tolist() for c in _PENDING), fails.tolist()))
+            following = [waiting["ts_epoch"].min()] if len(waiting) else [fails.max() + window + 1]
+            state.setTimeoutTimestamp(int(max(following[0], passed + 1)) * 1000)
+        elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[f.name for f in SAF_OUT.fields])
+        rows = good.iloc[[i for i, _ in found]]
+        yield pd.DataFrame({"user": key[0], "ts_epoch": rows["ts_epoch"].astype("int64"), "file_id": rows["file_id"].astype("int64"),
+                            "rownum": rows["rownum"].astype("int64"), "ip": rows["ip"], "fail_count": [n for _, n in found]})
     return fn
 
 
-def stream_success_after_failures(signin_stream: DataFrame, max_minutes: int = 30, min_fails: int = 5,
-                                  watermark: str = "0 seconds") -> DataFrame:
+def stream_success_after_failures(signin_stream: DataFrame, max_minutes: int = 30, min_fails: int = 5, *,
+                                  watermark: str) -> DataFrame:
     """Streaming twin of ``det_success_after_failures`` (append mode).
 
-    State per user holds events not yet passed by the watermark and the live
+    ``watermark`` is how late a row may come; later ones are dropped and
+    counted by :func:`dropped_rows`.  State per user holds events not yet passed by the watermark and the live
     failure epochs, so memory is bounded by one window of failures plus the
     allowed lateness.  The batch twin also gates users on whole-history
     counts, which a stream cannot know in advance; results agree whenever a
@@ -190,12 +206,18 @@ def write_campaign_updates(campaign_stream: DataFrame, path: str, checkpoint: st
     return w.start()
 
 
+def dropped_rows(query) -> int:
+    """Rows that came later than the watermark allows, over the progress reports that the query still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def latest_campaigns(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Current campaign rows: the last update of each (key, bucket) (empty when nothing was logged)."""
-    try:
-        log = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no batch produced rows yet
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*")
+    logged = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    if not logged:
         return spark.createDataFrame([], f"{key} string, bucket long, fails long, n_other int, min_ts long, "
                                          "max_ts long")
+    log = spark.read.parquet(path)
     w = Window.partitionBy(key, "bucket").orderBy(F.desc("batch_id"))
     return log.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "batch_id")

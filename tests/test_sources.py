@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import bec, row_detectors
-from auditlake.sources.logs import find_col, ingest_logs
+from auditlake.functions.timefmt import parse_epoch
+from auditlake.sources.logs import ingest_logs, resolve_headers
 from conftest import SAMPLE_LOGS
 
 GOLD_SHA = {
@@ -30,7 +31,7 @@ def test_sample_goldens(spark):
            .groupBy("severity").count().collect()}
     assert sev == {"high": 13, "medium": 3}
     assert (bec.bec_forwarding_events(ual).count(), bec.bec_inbox_rule_events(ual).count(),
-            bec.bec_delegation_events(ual).count()) == (4, 1, 0)
+            bec.bec_delegation_events(ual, prefilter=True).count()) == (4, 1, 0)
     doms = {x["domain"]: x["count"] for x in bec.bec_external_domains(ual).collect()}
     assert doms == {"evilcorp.com": 8, "evil.example": 1}
     # 'Status' resolves to 'Status.errorCode' by substring when no exact column exists
@@ -92,12 +93,52 @@ def test_messy_files(spark):
     assert sg == [(1, 1735725600), (2, 1735725600), (3, 1735718400)]
 
 
-def test_find_col():
-    cols = ["Status.errorCode", "UserPrincipalName", "IpAddress"]
-    assert find_col(cols, ["Status", "ResultStatus"]) == "Status.errorCode"
-    assert find_col(cols, ["IPAddress", "ip"]) == "IpAddress"
-    assert find_col(["Client IP Address"], ["ClientIP", "Client IP Address"]) == "Client IP Address"
-    assert find_col(cols, ["nothing"]) is None
+def test_resolve_headers(spark):
+    cols = ["Status.errorCode", "UserPrincipalName", "IpAddress", "ipaddress"]
+    got, ual = resolve_headers(spark, [("signin", cols), ("ual", ["Client IP Address", "When", "My UserIds"])])
+    assert got["status"] == got["result_type"] == "Status.errorCode" and got["user"] == "UserPrincipalName"
+    assert got["ip"] == "ipaddress" and got["city"] is None and got["_time"] is None
+    assert ual["ip"] == "Client IP Address" and ual["user"] == "My UserIds"
+    assert resolve_headers(spark, []) == []
+
+
+UAL_HEADER = "CreationDate,UserId,ClientIP,Operation,Workload,AuditData\n"
+
+
+def test_no_file_loses_rows(spark):
+    """Odd names, headers over 8 KiB, accents across that border, a bad file, ids that look like epochs, wrong delimiters."""
+    d = Path(tempfile.mkdtemp(prefix="auditlake-odd-"))
+    row = "2025-01-01T10:00:00Z,u@x.com,1.1.1.1,Send,Exchange,{}\n"
+    names = ["ual export 1.csv", "ual_100%25.csv", "ual+plus.csv", "ual[1].csv"]
+    for n in names:
+        _write(d, n, (UAL_HEADER + row * 2).encode())
+    wide = ",".join(f"a rather long column name {i:04d}" for i in range(400))
+    _write(d, "audit_wide.csv", (wide + "," + UAL_HEADER + "v," * 400 + row).encode())
+    _write(d, "audit_accent.csv", (UAL_HEADER + "2025-01-01T10:00:00Z,u@x.com,1.1.1.1,Send,Exchange," + "a" * 8100 + "é" * 400 + "\n").encode())
+    (d / "audit_gone.csv").symlink_to(d / "nowhere.csv")
+    _write(d, "audit_ids.csv", ("AccountNo,When,UserId,Operation,AuditData\n" + "".join(
+        f"985000000{i},2025-01-05 10:00:0{i},u{i}@x,Send,x\n" for i in range(5))).encode())
+    _write(d, "audit_semi.csv", ("CreationDate (UTC, ISO);UserId;ClientIP;Operation;Workload;AuditData\n" + "".join(
+        f"2025-01-0{i}T00:00:00Z;u@x;1.1.1.1;Send;Exchange;a, b, c, d\n" for i in range(1, 6))).encode())
+    r = ingest_logs(spark, str(d))
+    files = {x["name"]: x for x in r["files"].collect()}
+    assert all(files[n]["rows"] == 2 for n in names), files
+    assert len(files["audit_wide.csv"]["columns"]) == 406 and files["audit_wide.csv"]["rows"] == 1
+    assert files["audit_accent.csv"]["rows"] == 1 and files["audit_semi.csv"]["delimiter"] == ";"
+    assert "audit_gone.csv" not in files or files["audit_gone.csv"]["error"]
+    ual = r["ual"].join(r["files"].select("file_id", "name"), "file_id")
+    wide_row = ual.filter("name = 'audit_wide.csv'").first()
+    assert (wide_row["user"], wide_row["ip"], wide_row["auditdata"]) == ("u@x.com", "1.1.1.1", "{}")
+    assert [x["ts_epoch"] for x in ual.filter("name = 'audit_ids.csv'").orderBy("rownum").collect()] == [1736071200 + i for i in range(5)]
+    assert ual.filter("name = 'audit_semi.csv' and operation = 'Send' and ts_epoch is not null").count() == 5
+
+
+def test_time_formats(spark):
+    texts = ["05-Jan-2025 10:00:00", "Jan 5, 2025 10:00:00 AM", "2025-01-05 10:00:00 AM", "20250105T100000Z", "2025-01-05T10:00:00Z",
+             "1/5/2025 10:00:00 AM", "2025-01-05 11:00:00+01:00", "1736071200", "10:00:00", "T10:00:00Z", "", "no time"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["e"] for r in df.select("i", parse_epoch(F.col("t")).alias("e")).orderBy("i").collect()]
+    assert got == [1736071200] * 8 + [None] * 4
 
 
 def test_unique_names():
