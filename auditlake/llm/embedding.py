@@ -31,7 +31,8 @@ def fit_rotation(x: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarra
     dim = x.shape[1]
     bits = min(dim, MAX_BITS)
     mean = x.mean(axis=0)
-    _, _, axes = np.linalg.svd(np.cov((x - mean).T.reshape(dim, -1)) + 1e-9 * np.eye(dim))
+    spread = (x - mean).T @ (x - mean) / max(1, len(x) - 1)
+    _, _, axes = np.linalg.svd(spread + 1e-9 * np.eye(dim))
     basis = axes[:bits].T
     v = (x - mean) @ basis
     turn, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((bits, bits)))
