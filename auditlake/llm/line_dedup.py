@@ -64,73 +64,97 @@ def within(a: str, b: str, k: int) -> bool:
     return bool(rows[k] >> (len(a) - len(b) + k) & 1)
 
 
-class _Lines:
-    """Many lines as one buffer of code points, with a sketch of each and hashes of any substrings."""
-
-    def __init__(self, lines: list[str]):
-        self.length = np.fromiter(map(len, lines), np.int64, len(lines))
-        self.raw = "".join(lines).encode("utf-32-le", "surrogatepass")
-        self.first = np.cumsum(self.length) - self.length
-        points = np.frombuffer(self.raw, "<u4")
-        one = np.uint32(1)
-        pairs = one << ((points[:-1] * np.uint32(31) + points[1:] * np.uint32(1009)) >> one & np.uint32(PAIR_BITS - 1))
-        pairs = np.append(pairs, np.uint32(0))
-        pairs[self.first[1:] - 1] = 0  # no pair spans two lines
-        chars = np.bitwise_xor.reduceat(one << (points & np.uint32(CHAR_BITS - 1)), self.first)
-        self.sketch = (chars.astype(np.uint64) | np.bitwise_xor.reduceat(pairs, self.first).astype(np.uint64) << np.uint64(CHAR_BITS)).view(np.int64)
-
-    def keys(self, rows: np.ndarray, at: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        raw, digest = self.raw, xxhash.xxh64_intdigest
-        begin = 4 * (self.first[rows] + at)
-        return np.fromiter((digest(raw[s:e], seed) for s, e, seed in zip(
-            begin.tolist(), (begin + 4 * size).tolist(), salt.tolist())), np.uint64, len(rows)).view(np.int64)
+def sketches(lines: list[str]) -> np.ndarray:
+    """64 bits per line: parities of its characters by kind, then those of its pairs of neighbours."""
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = np.cumsum(length) - length
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    one = np.uint32(1)
+    pairs = one << ((points[:-1] * np.uint32(31) + points[1:] * np.uint32(1009)) >> one & np.uint32(PAIR_BITS - 1))
+    pairs = np.append(pairs, np.uint32(0))
+    pairs[first[1:] - 1] = 0  # no pair spans two lines
+    chars = np.bitwise_xor.reduceat(one << (points & np.uint32(CHAR_BITS - 1)), first)
+    pairs = np.bitwise_xor.reduceat(pairs, first).astype(np.uint64)
+    return (chars.astype(np.uint64) | pairs << np.uint64(CHAR_BITS)).view(np.int64)
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    """(id, line, sketch) of lines that are not empty."""
+    python_ready(lines.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 4000):
+                part = b.iloc[at:at + 4000]
+                yield part.assign(sketch=sketches(part["line"].tolist()))
+
+    return lines.select("id", "line").mapInPandas(run, "id long, line string, sketch long")
 
 
 def _segments(length: np.ndarray, k: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, size) of segment i of lines cut evenly into k + 1 segments, the longer ones last."""
-    base, short = length // (k + 1), (k + 1) - length % (k + 1)
-    return i * base + np.maximum(0, i - short), base + (i >= short)
+    base, even = length // (k + 1), (k + 1) - length % (k + 1)
+    return i * base + np.maximum(0, i - even), base + (i >= even)
 
 
-def signatures(ids: np.ndarray, lines: list[str], probe: bool, most: int = MOST_EDITS):
-    """Frames (key, id, sketch): the segments of each line, or the substrings that it looks up (``probe``)."""
-    x = _Lines(lines)
+def keys(lines: list[str], i: int, probe: bool, most: int = MOST_EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): segment ``i`` of each line, or the substrings that the line looks up (``probe``).
+
+    A line meets segment i of one that is ``shorter`` by so many characters at
+    most i places from where it stands there, counted from the left, and at
+    most k - i places counted from the right.
+    """
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    raw, digest = "".join(lines).encode("utf-32-le", "surrogatepass"), xxhash.xxh64_intdigest
+    first = np.cumsum(n) - n
+    rows, found = [], []
     for shorter in range(most + 1) if probe else (0,):
-        length = x.length - shorter  # of the line looked for
+        length = n - shorter  # of the line looked for
         k = edits_allowed(length, most)
-        for i in range(most + 1):
-            start, size = _segments(length, k, i)
-            low = np.maximum(start - i, start + shorter - (k - i)) if probe else start
-            high = np.minimum(start + i, start + shorter + (k - i)) if probe else start
-            low, high = np.maximum(low, 0), np.minimum(high, x.length - size)
-            for step in range(2 * most + 1 if probe else 1):
-                rows = np.flatnonzero((k >= max(1, i, shorter)) & (low + step <= high))
-                if len(rows):
-                    key = x.keys(rows, low[rows] + step, size[rows], length[rows] * 8 + i)
-                    yield pd.DataFrame({"key": key, "id": ids[rows], "sketch": x.sketch[rows]})
-
-
-def _signed(lines: DataFrame, probe: bool, most: int) -> DataFrame:
+        start, size = _segments(length, k, i)
+        low = np.maximum(np.maximum(start - i, start + shorter - (k - i)), 0) if probe else start
+        high = np.minimum(np.minimum(start + i, start + shorter + (k - i)), n - size) if probe else start
+        for step in range(2 * most + 1 if probe else 1):
+            hit = np.flatnonzero((k >= max(1, i, shorter)) & (low + step <= high))
+            begin = 4 * (first[hit] + low[hit] + step)
+            found.append(np.fromiter((digest(raw[s:e], seed) for s, e, seed in zip(
+                begin.tolist(), (begin + 4 * size[hit]).tolist(), (length[hit] * 8 + i).tolist())), np.uint64, len(hit)))
+            rows.append(hit)
+    return np.concatenate(rows), np.concatenate(found).view(np.int64)
+
+
+def keyed(lines: DataFrame, i: int, probe: bool, most: int = MOST_EDITS) -> DataFrame:
+    """(key, id, sketch) of the lines (id, line, sketch), by :func:`keys`."""
     def run(batches):
         for b in batches:
-            for at in range(0, len(b), 4000):
-                part = b.iloc[at:at + 4000]
-                yield from signatures(part["id"].to_numpy(np.int64), part["line"].tolist(), probe, most)
+            ids, sketch, line = b["id"].to_numpy(np.int64), b["sketch"].to_numpy(np.int64), b["line"].tolist()
+            for at in range(0, len(line), 4000):
+                row, key = keys(line[at:at + 4000], i, probe, most)
+                yield pd.DataFrame({"key": key, "id": ids[at + row], "sketch": sketch[at + row]})
 
-    return lines.select("id", "line").where(F.length("line") >= CHARS_PER_EDIT).mapInPandas(run, "key long, id long, sketch long")
+    return lines.mapInPandas(run, "key long, id long, sketch long")
 
 
 def similar_lines(lines: DataFrame, most: int = MOST_EDITS) -> DataFrame:
-    """(a, b), a < b: ids of all pairs among distinct lines (id, line) within the allowed number of edits."""
+    """(a, b), a < b: ids of all pairs among distinct lines (id, line, sketch) within the allowed number of edits.
+
+    One join per segment, each written before the next, so that the keys of
+    one segment at a time lie in shuffle files.
+    """
     python_ready(lines.sparkSession)
-    index, look = _signed(lines, False, most).alias("i"), _signed(lines, True, most).alias("p")
-    differ = F.col("i.sketch").bitwiseXOR(F.col("p.sketch"))
-    chars = (1 << CHAR_BITS) - 1
-    near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")) & (
-        F.bit_count(differ.bitwiseAND(F.lit(chars).cast("long"))) <= 2 * most) & (
-        F.bit_count(F.shiftrightunsigned(differ, CHAR_BITS)) <= 4 * most)
-    pairs = materialise(index.hint("merge").join(look, near).select(
-        F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct(), "candidates")
+    long_enough = lines.select("id", "line", "sketch").where(F.length("line") >= CHARS_PER_EDIT)
+    found = None
+    for i in range(most + 1):
+        index, look = keyed(long_enough, i, False, most).alias("i"), keyed(long_enough, i, True, most).alias("p")
+        differ = F.col("i.sketch").bitwiseXOR(F.col("p.sketch"))
+        chars = (1 << CHAR_BITS) - 1
+        near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")) & (
+            F.bit_count(differ.bitwiseAND(F.lit(chars).cast("long"))) <= 2 * most) & (
+            F.bit_count(F.shiftrightunsigned(differ, CHAR_BITS)) <= 4 * most)
+        pairs = materialise(index.hint("merge").join(look, near).select(
+            F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct(), f"candidates-{i}")
+        found = pairs if found is None else found.union(pairs)
+    pairs = materialise(found.distinct(), "candidates")
     wanted = materialise(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct(), "candidate-ids")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = materialise(lines.join(wanted, F.col("id") == F.col("of")).select("of", "line"), "candidate-lines")
@@ -163,7 +187,7 @@ def removals(docs: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     first = materialise(every.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
     own = first.select(F.col("first.row").alias("r"), F.col("first.at").alias("t"), "id")
     distinct = materialise(_occurrences(docs).select("row", "at", "line").where(F.length("line") >= CHARS_PER_EDIT).join(
-        own, (F.col("row") == F.col("r")) & (F.col("at") == F.col("t"))).select("id", "line"), "distinct-lines")
+        own, (F.col("row") == F.col("r")) & (F.col("at") == F.col("t"))).select("id", "line").transform(sketched), "distinct-lines")
     pairs = materialise(similar_lines(distinct, most), "similar")
     discard(distinct)
     ordered = pairs.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(
@@ -190,8 +214,9 @@ def dedup_lines(docs: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     """
     gone = removals(docs, most).select(F.col("row").alias("of"), "exact", "near")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    joined = docs.select(own, F.col("text").alias("_text"), _row()).join(gone, F.col("row") == F.col("of"), "left")
-    joined = joined.select("_row", "_text", F.concat("exact", "near").alias("_gone"), F.split("_text", "\n", -1).alias("_lines"),
+    # the text goes through the shuffle once, inside the row
+    joined = docs.select(own, _row()).join(gone, F.col("row") == F.col("of"), "left")
+    joined = joined.select("_row", F.col("_row.text").alias("_text"), F.concat("exact", "near").alias("_gone"), F.split("_text", "\n", -1).alias("_lines"),
                            F.coalesce(F.size("exact"), F.lit(0)).alias("n_exact"), F.coalesce(F.size("near"), F.lit(0)).alias("n_near"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     return joined.select(
