@@ -1,36 +1,39 @@
 """Line dedup by a segment-partition edit join.
 
 Equal lines are found by their 128-bit hashes.  Among distinct lines, one of
-length n within k edits of another holds at least one of the k + 1 segments
-into which the shorter line is cut, at a place that the lengths and the number
-of the segment confine to a few.  Segments are index keys, those substrings
-are probes; equal keys join, sketches whose bits each edit can flip only so
-often leave out most chance pairs inside the join, and a banded bit-parallel
-edit distance verifies the rest.  A line goes if an equal line or one within k
-edits stands earlier in the corpus.
+length n within k edits of another, where k grows with n, holds at least one
+of the k + 1 segments into which the shorter line is cut, at a place that the
+lengths and the number of the segment confine.  The least gram of a segment is
+its index key, the least grams of all windows of a line are its probes, so
+that the work grows with the text and not with k; equal keys at places that
+fit join, and a banded edit distance verifies them.  A line goes if an equal
+line or one within k edits stands earlier in the corpus.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import discard, documents, materialise, python_ready
 
-#: Shorter lines always stay; a line may have MOST_EDITS edits, and one per so many characters of the shorter line.
-MIN_CHARS, CHARS_PER_EDIT, MOST_EDITS = 12, 24, 2
-#: Bits of the sketch for characters (an edit flips two at most) and for pairs of neighbours (four at most).
-CHAR_BITS, PAIR_BITS = 32, 32
+#: Shorter lines always stay; a line may have one edit per so many characters of the shorter line.
+MIN_CHARS, CHARS_PER_EDIT = 12, 24
+#: Characters whose hash is a key, and the multiplier of that hash.
+GRAM, FACTOR = 12, 0x2545F4914F6CDD1D
+#: Joins among which the keys are dealt; each holds so small a part of them in shuffle files.
+SHARES = 6
+#: Whether a candidate pair x, y is within the allowed number of edits; Spark's own band takes half the time of :func:`within`.
+VERIFIED = f"levenshtein(x, y, int(least(length(x), length(y)) div {CHARS_PER_EDIT})) >= 0"
 #: Texts of candidates are joined by broadcasting their ids only below this count (16 bytes each).
 BROADCAST_IDS = 500_000
 
 
-def edits_allowed(chars, most: int = MOST_EDITS):
-    """Edits within which a line of so many characters has near duplicates."""
-    return np.minimum(most, chars // CHARS_PER_EDIT)
+def edits_allowed(chars):
+    """Edits within which a line of so many characters has near duplicates; grows with the line, without a limit."""
+    return chars // CHARS_PER_EDIT
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -48,9 +51,10 @@ def within(a: str, b: str, k: int) -> bool:
     a, b = a[:len(a) - tail], b[:len(b) - tail]
     if not a or not b:
         return max(len(a), len(b)) <= k
-    full, where = (1 << (2 * k + 1)) - 1, {}
+    where = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | (1 << i)
+    full = (1 << (2 * k + 1)) - 1
     rows = [((1 << (d + 1)) - 1) << k & full for d in range(k + 1)]
     for j, c in enumerate(b):
         equal = where.get(c, 0)
@@ -64,109 +68,124 @@ def within(a: str, b: str, k: int) -> bool:
     return bool(rows[k] >> (len(a) - len(b) + k) & 1)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """64 bits per line: parities of its characters by kind, then those of its pairs of neighbours."""
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    first = np.cumsum(length) - length
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    one = np.uint32(1)
-    pairs = one << ((points[:-1] * np.uint32(31) + points[1:] * np.uint32(1009)) >> one & np.uint32(PAIR_BITS - 1))
-    pairs = np.append(pairs, np.uint32(0))
-    pairs[first[1:] - 1] = 0  # no pair spans two lines
-    chars = np.bitwise_xor.reduceat(one << (points & np.uint32(CHAR_BITS - 1)), first)
-    pairs = np.bitwise_xor.reduceat(pairs, first).astype(np.uint64)
-    return (chars.astype(np.uint64) | pairs << np.uint64(CHAR_BITS)).view(np.int64)
+def _group(k: np.ndarray) -> np.ndarray:
+    """Lines with k edits are keyed in groups of k: 1, 2, 3, 4 to 5, 6 to 7, 8 to 11, and so on."""
+    part, power = np.frexp(k)
+    return 2 * power + (part >= 0.75)
 
 
-def sketched(lines: DataFrame) -> DataFrame:
-    """(id, line, sketch) of lines that are not empty."""
-    python_ready(lines.sparkSession)
+def _window(group: int) -> int:
+    """Characters that each of the k + 1 segments of a line in this group has at least."""
+    k = int((0.75 if group % 2 else 0.5) * 2 ** (group // 2))
+    return CHARS_PER_EDIT * k // (k + 1)
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, len(b), 4000):
-                part = b.iloc[at:at + 4000]
-                yield part.assign(sketch=sketches(part["line"].tolist()))
 
-    return lines.select("id", "line").mapInPandas(run, "id long, line string, sketch long")
+def _grams(points: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM characters from each place on, of three times four."""
+    power = [np.uint64(pow(FACTOR, i, 1 << 64)) for i in range(5)]
+    h = points.astype(np.uint64)
+    for size in (1, 2):
+        h = h[:-size] * power[size] + h[size:]
+    h = (h[:-8] * power[4] + h[4:-4]) * power[4] + h[8:]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
 
 
-def _segments(length: np.ndarray, k: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of segment i of lines cut evenly into k + 1 segments, the longer ones last."""
-    base, even = length // (k + 1), (k + 1) - length % (k + 1)
-    return i * base + np.maximum(0, i - even), base + (i >= even)
+def _sliding(values: np.ndarray, size: int, best) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of the ``size`` values from each place on."""
+    step = 1
+    while 2 * step <= size:
+        values, step = best(values[:len(values) - step], values[step:]), 2 * step
+    return best(values[:len(values) - (size - step)], values[size - step:])
 
 
-def keys(lines: list[str], i: int, probe: bool, most: int = MOST_EDITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): segment ``i`` of each line, or the substrings that the line looks up (``probe``).
+def keys(lines: list[str], probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, at, segment): a gram of each segment of each line, or all grams that the line looks up (``probe``).
 
-    A line meets segment i of one that is ``shorter`` by so many characters at
-    most i places from where it stands there, counted from the left, and at
-    most k - i places counted from the right.
+    A segment's key is the least gram hash of its window.  A line that holds
+    the window anywhere has that gram as the least one of some window, and so
+    among those it looks up, which are the least of any of its windows.
     """
     n = np.fromiter(map(len, lines), np.int64, len(lines))
-    raw, digest = "".join(lines).encode("utf-32-le", "surrogatepass"), xxhash.xxh64_intdigest
-    first = np.cumsum(n) - n
-    rows, found = [], []
-    for shorter in range(most + 1) if probe else (0,):
-        length = n - shorter  # of the line looked for
-        k = edits_allowed(length, most)
-        start, size = _segments(length, k, i)
-        low = np.maximum(np.maximum(start - i, start + shorter - (k - i)), 0) if probe else start
-        high = np.minimum(np.minimum(start + i, start + shorter + (k - i)), n - size) if probe else start
-        for step in range(2 * most + 1 if probe else 1):
-            hit = np.flatnonzero((k >= max(1, i, shorter)) & (low + step <= high))
-            begin = 4 * (first[hit] + low[hit] + step)
-            found.append(np.fromiter((digest(raw[s:e], seed) for s, e, seed in zip(
-                begin.tolist(), (begin + 4 * size[hit]).tolist(), (length[hit] * 8 + i).tolist())), np.uint64, len(hit)))
-            rows.append(hit)
-    return np.concatenate(rows), np.concatenate(found).view(np.int64)
-
-
-def keyed(lines: DataFrame, i: int, probe: bool, most: int = MOST_EDITS) -> DataFrame:
-    """(key, id, sketch) of the lines (id, line, sketch), by :func:`keys`."""
+    first, k = np.cumsum(n) - n, edits_allowed(n)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    out = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    if len(points) >= GRAM:
+        grams = _grams(points)
+        # the shortest line that this one can be near to is so many edits shorter as that one may have
+        least = (n + 1) // (CHARS_PER_EDIT + 1) if probe else k
+        low, high = _group(np.maximum(least, 1)), _group(np.maximum(k, 1))
+        for group in np.unique(np.concatenate([low, high])).tolist():
+            wide, hit = _window(group) - GRAM + 1, np.flatnonzero((k > 0) & (low <= group) & (group <= high))
+            salt = np.uint64(group * 0xD6E8FEB86659FD93 % (1 << 64))
+            if probe:
+                size = n[hit] - GRAM + 1
+                row, gap = np.repeat(hit, size), wide - 1
+                place = np.arange(len(row)) + np.repeat(first[hit] - np.cumsum(size) + size, size)
+                # lines side by side with zeros between, so that the least gram of a window over an edge is none of theirs
+                own = np.arange(len(row)) + np.repeat(np.arange(1, len(hit) + 1) * gap, size)
+                side = np.zeros(len(row) + (len(hit) + 1) * gap, np.uint64)
+                side[own] = grams[place]
+                least_of = _sliding(_sliding(side, wide, np.minimum), wide, np.maximum)
+                chosen = np.flatnonzero(least_of[own - gap] == side[own])
+                pos, row = place[chosen], row[chosen]
+                out.append((row, grams[pos] ^ salt, pos - first[row], np.zeros(len(row), np.int64)))
+            else:
+                count = k[hit] + 1
+                row = np.repeat(hit, count)
+                segment = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                base, extra = n[row] // (k[row] + 1), (k[row] + 1) - n[row] % (k[row] + 1)
+                pos = first[row] + segment * base + np.maximum(0, segment - extra)
+                pos = pos + np.argmin(grams[pos[:, None] + np.arange(wide)], axis=1)
+                out.append((row, grams[pos] ^ salt, pos - first[row], segment))
+    row, key, at, segment = (np.concatenate(x) for x in zip(*out))
+    return row, key.view(np.int64), at, segment
+
+
+def keyed(lines: DataFrame, probe: bool, share: int) -> DataFrame:
+    """(key, id, n, at, segment) of the lines (id, line), by :func:`keys`; those keys that are ``share`` modulo SHARES."""
     def run(batches):
         for b in batches:
-            ids, sketch, line = b["id"].to_numpy(np.int64), b["sketch"].to_numpy(np.int64), b["line"].tolist()
-            for at in range(0, len(line), 4000):
-                row, key = keys(line[at:at + 4000], i, probe, most)
-                yield pd.DataFrame({"key": key, "id": ids[at + row], "sketch": sketch[at + row]})
-
-    return lines.mapInPandas(run, "key long, id long, sketch long")
-
-
-def similar_lines(lines: DataFrame, most: int = MOST_EDITS) -> DataFrame:
-    """(a, b), a < b: ids of all pairs among distinct lines (id, line, sketch) within the allowed number of edits.
-
-    One join per segment, each written before the next, so that the keys of
-    one segment at a time lie in shuffle files.
+            ids, line = b["id"].to_numpy(np.int64), b["line"].tolist()
+            n = np.fromiter(map(len, line), np.int64, len(line))
+            for begin in range(0, len(line), 1000):
+                row, key, at, segment = keys(line[begin:begin + 1000], probe)
+                mine = key % SHARES == share
+                row, key, at, segment = row[mine] + begin, key[mine], at[mine], segment[mine]
+                yield pd.DataFrame({"key": key, "id": ids[row], "n": n[row].astype(np.int32), "at": at.astype(np.int32),
+                                    "segment": segment.astype(np.int32)})
+
+    return lines.mapInPandas(run, "key long, id long, n int, at int, segment int")
+
+
+def similar_lines(lines: DataFrame) -> DataFrame:
+    """(a, b): ids of all pairs among distinct lines (id, line) within the allowed number of edits.
+
+    One join per share of the keys, each written before the next, so that the
+    keys of one share at a time lie in shuffle files.  Of the segments of the
+    shorter line at least one, say number i, stands whole in the other with at
+    most i edits before it and at most k - i behind, which bounds how far both
+    its place from the left and that from the right can differ.
     """
     python_ready(lines.sparkSession)
-    long_enough = lines.select("id", "line", "sketch").where(F.length("line") >= CHARS_PER_EDIT)
+    long_enough = lines.select("id", "line").where(F.length("line") >= CHARS_PER_EDIT)
     found = None
-    for i in range(most + 1):
-        index, look = keyed(long_enough, i, False, most).alias("i"), keyed(long_enough, i, True, most).alias("p")
-        differ = F.col("i.sketch").bitwiseXOR(F.col("p.sketch"))
-        chars = (1 << CHAR_BITS) - 1
-        near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")) & (
-            F.bit_count(differ.bitwiseAND(F.lit(chars).cast("long"))) <= 2 * most) & (
-            F.bit_count(F.shiftrightunsigned(differ, CHAR_BITS)) <= 4 * most)
+    for share in range(SHARES):
+        index, look = keyed(long_enough, False, share).alias("i"), keyed(long_enough, True, share).drop("segment").alias("p")
+        k, shift, longer = F.floor(F.col("i.n") / CHARS_PER_EDIT), F.col("p.at") - F.col("i.at"), F.col("p.n") - F.col("i.n")
+        near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")) & (longer >= 0) & (longer <= k) & (
+            F.abs(shift) <= F.col("i.segment")) & (F.abs(longer - shift) <= k - F.col("i.segment"))
         pairs = materialise(index.hint("merge").join(look, near).select(
-            F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct(), f"candidates-{i}")
+            F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct(), f"candidates-{share}")
         found = pairs if found is None else found.union(pairs)
     pairs = materialise(found.distinct(), "candidates")
     wanted = materialise(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct(), "candidate-ids")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = materialise(lines.join(wanted, F.col("id") == F.col("of")).select("of", "line"), "candidate-lines")
-
-    def verify(batches):
-        for b in batches:
-            ok = [within(x, y, int(edits_allowed(min(len(x), len(y)), most))) for x, y in zip(b["x"], b["y"])]
-            yield b.loc[ok, ["a", "b"]]
-
     left = pairs.join(texts.select(F.col("of").alias("a"), F.col("line").alias("x")), "a")
-    return left.join(texts.select(F.col("of").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y") \
-        .mapInPandas(verify, "a long, b long")
+    both = left.join(texts.select(F.col("of").alias("b"), F.col("line").alias("y")), "b")
+    return both.where(VERIFIED).select("a", "b")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -179,7 +198,7 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "text").alias("row")
 
 
-def removals(docs: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+def removals(docs: DataFrame) -> DataFrame:
     """(row, exact, near): per document with any, the numbers of the lines that go, equal to or near an earlier line."""
     hashed = [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("id2")]
     every = materialise(_occurrences(docs).select("doc_id", "row", "at", *hashed), "lines")
@@ -187,8 +206,8 @@ def removals(docs: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     first = materialise(every.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
     own = first.select(F.col("first.row").alias("r"), F.col("first.at").alias("t"), "id")
     distinct = materialise(_occurrences(docs).select("row", "at", "line").where(F.length("line") >= CHARS_PER_EDIT).join(
-        own, (F.col("row") == F.col("r")) & (F.col("at") == F.col("t"))).select("id", "line").transform(sketched), "distinct-lines")
-    pairs = materialise(similar_lines(distinct, most), "similar")
+        own, (F.col("row") == F.col("r")) & (F.col("at") == F.col("t"))).select("id", "line"), "distinct-lines")
+    pairs = materialise(similar_lines(distinct), "similar")
     discard(distinct)
     ordered = pairs.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(
         first.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
@@ -204,7 +223,7 @@ def removals(docs: DataFrame, most: int = MOST_EDITS) -> DataFrame:
         F.array_sort(F.collect_set(F.when(~later_copy, F.col("at")))).alias("near")), "removals")
 
 
-def dedup_lines(docs: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` rows in a struct ``_row`` with the text that stays, n_lines, n_exact and n_near (lines gone).
 
     Documents stand in the order of doc_id, null last, then of a hash.  Lines
@@ -212,7 +231,7 @@ def dedup_lines(docs: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     of which all lines go becomes empty, its row stays.  Rows that repeat both
     doc_id and text share their lines and so keep them alike.
     """
-    gone = removals(docs, most).select(F.col("row").alias("of"), "exact", "near")
+    gone = removals(docs).select(F.col("row").alias("of"), "exact", "near")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     # the text goes through the shuffle once, inside the row
     joined = docs.select(own, _row()).join(gone, F.col("row") == F.col("of"), "left")

@@ -373,6 +373,24 @@ def test_line_dedup_against_brute_force(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_threshold_grows_with_the_line(spark):
+    rng = random.Random(21)
+    lines = ["".join(rng.choice("abcdefgh    ") for _ in range(n)) for n in (47, 48, 71, 72, 96, 300, 300, 400) for _ in range(2)]
+    lines += [edited(rng, a, rng.randint(1, len(a) // 24 + 1)) for a in lines for _ in range(2)]
+    lines += [" ".join("replaced" if at == 9 else w for at, w in enumerate(a.split(" "))) for a in lines[10:16]]
+    lines = [*dict.fromkeys(lines)]
+    df = spark.createDataFrame([*enumerate(lines)], "doc_id long, text string")
+    near = set()
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            k = min(len(a), len(b)) // line_dedup.CHARS_PER_EDIT
+            if abs(len(a) - len(b)) <= k and distance(a, b) <= k:
+                near.add(i)
+    got = {r["_row"]["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert {i for i, r in got.items() if r["n_near"]} == near and len([i for i in near if len(lines[i]) > 250]) > 5
+    assert {i for i, r in got.items() if r["text"] == ""} >= near
+
+
 # -- 9 packing -----------------------------------------------------------------------------------
 
 def test_column_generation():
