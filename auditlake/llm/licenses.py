@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance by directory.
 
 Passages of a file that name a licence (sentences, lines and all such lines
-together; the whole text of a licence file) become sparse TF-IDF vectors;
+together; whole paragraphs and runs of comment lines, however they are
+wrapped; the whole text of a licence file) become sparse TF-IDF vectors;
 document frequencies are those of the template words over all files.  A join
 on words with the templates, a fixed small table, gives the cosines.  A file without
 a licence of its own takes the one of the nearest directory above it that has
@@ -65,9 +66,13 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
-CUE = "(?i)licen[cs]e|copyright|copyleft|spdx|redistribut|public domain|permission|all rights reserved|source code form|free software"
+CUE = "(?i)licen[cs]e|copyright|copyleft|spdx|redistribut|public\\W+domain|permission|all\\W+rights\\W+reserved" \
+      "|source\\W+code\\W+form|free\\W+software"
 LICENCE_FILE = "(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[._-].*)?$"
 SENTENCE = "(?<=[.!?;|])\\s+"
+#: Lines that are no comments; between paragraphs: lines without letters and digits; between runs of comment lines; within a block.
+NO_COMMENT = "(?md)^(?![ \\t]*(?:#|//|/\\*|\\*|;|--|%|!|'|\"|<!--|\\.\\.|(?i:rem|dnl)\\b)).*$"
+BETWEEN, APART, WRAP = "\n[^\\p{L}\\p{N}]*\n", "\n\\s*\n", "\\s*\n[^\\p{L}\\p{N}\n]*"
 NOT_TERM = "[^a-z0-9.+]+|\\.(?![0-9])"
 THRESHOLD = 0.6
 
@@ -111,15 +116,23 @@ def _log_counts(text: str) -> list[tuple[str, float]]:
     return [(t, math.log(c)) for t, c in sorted(Counter(_terms(text)).items())]
 
 
+def _blocks(text: Column) -> Column:
+    """Paragraphs, comment paragraphs and whole runs of comment lines that hold a cue, each on one line without comment marks."""
+    comments = F.regexp_replace(text, NO_COMMENT, "")
+    found = F.concat(F.split(text, BETWEEN, -1), F.split(comments, BETWEEN, -1), F.split(comments, APART, -1))
+    flat = F.transform(F.filter(found, lambda x: x.rlike(CUE)), lambda x: F.trim(F.regexp_replace(F.concat(F.lit("\n"), x), WRAP, " ")))
+    return F.array_distinct(flat)
+
+
 def passages(files: DataFrame) -> DataFrame:
     """(row, passage): what may state a licence in each whole text; equal passages of a file once."""
     named = files.where(F.col("text").rlike(CUE)).select("row", "text", "name")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(CUE))
-    cut = named.select("row", "text", "name", lines.alias("lines"))
+    cut = named.select("row", "text", "name", lines.alias("lines"), _blocks(F.col("text")).alias("blocks"))
     sentences = F.flatten(F.transform("lines", lambda x: F.filter(F.split(x, SENTENCE, -1), lambda s: s.rlike(CUE))))
     whole = F.when(F.col("name").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     return cut.select("row", F.explode(F.array_distinct(F.concat(
-        "lines", sentences, F.array(F.array_join("lines", "\n")), whole))).alias("passage"))
+        "lines", sentences, F.array(F.array_join("lines", "\n")), "blocks", whole))).alias("passage"))
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

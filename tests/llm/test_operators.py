@@ -1,7 +1,9 @@
 """Every training-data operator on small, awkward tables, against brute force or an exact round trip."""
 
+import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -245,6 +247,53 @@ def test_licences(spark, none):
     assert licenses.scan(none.select(F.col("lang").alias("path"), "text")).count() == 0
 
 
+def cosines(passages, texts):
+    """Per passage the best (score, license) over all templates, by hand."""
+    def split(text):
+        return [t for t in re.split(r"[^a-z0-9.+]+|\.(?![0-9])", text.lower()) if t]
+    held = [set(split(t or "")) for t in texts]
+    def vector(text):
+        found = split(text)
+        vec = {t: (1 + math.log(found.count(t))) * (math.log((1 + len(texts)) / (1 + (sum(t in h for h in held) if t in known else 0))) + 1)
+               for t in set(found)}
+        norm = math.sqrt(sum(w * w for w in vec.values()))
+        return {t: w / norm for t, w in vec.items()}
+    known = {t for _, text in licenses.TEMPLATES for t in split(text)}
+    vectors = [(name, vector(text)) for name, text in licenses.TEMPLATES]
+    out = []
+    for passage in passages:
+        mine = vector(passage)
+        out.append(min((-sum(w * mine.get(t, 0) for t, w in vec.items()), name) for name, vec in vectors))
+    return [(-s, name) for s, name in out]
+
+
+AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE AUTHORS BE "
+         "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY ARISING FROM THE USE OF THE SOFTWARE.")
+MIT_TEXT = licenses.TEMPLATES[5][1][:-1] + (", and to permit persons to whom the Software is furnished to do so, subject to the following "
+                                            "conditions: The above copyright notice and this permission notice shall be included in all "
+                                            "copies or substantial portions of the Software.")
+HEADERS = {"MIT": MIT_TEXT, "Apache-2.0": licenses.TEMPLATES[1][1], "BSD-3-Clause": licenses.TEMPLATES[7][1],
+           "GPL-3.0": licenses.TEMPLATES[12][1], "GPL-2.0": licenses.TEMPLATES[13][1]}
+
+
+def test_wrapped_headers_against_brute_force(spark):
+    files, want = [], {}
+    for name, notice in HEADERS.items():
+        for mark, width in (("# ", 60), ("// ", 78), (" * ", 70), ("", 66)):
+            header = "\n".join(mark + line for line in textwrap.wrap(notice, width))
+            warranty = "\n".join(mark + line for line in textwrap.wrap(AS_IS, width))
+            path = f"src/{name}{len(files)}.py"
+            files.append((path, f"{header}\n{mark.rstrip()}\n{warranty}\n\nimport os\nprint(1)\n"))
+            want[path] = (name, notice)
+    files.append(("src/near.py", "\n".join("# " + x for x in textwrap.wrap(HEADERS["MIT"], 64)) + "\nimport os\nimport re"))
+    want["src/near.py"] = ("MIT", HEADERS["MIT"])
+    got = {r["_row"]["path"]: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    scores = cosines([notice for _, notice in want.values()], [t for _, t in files])
+    for (path, (name, _)), (score, best) in zip(want.items(), scores):
+        assert best == name and got[path]["own_license"] == name, path
+        assert got[path]["own_score"] >= round(score, 9) - 1e-8, path
+
+
 # -- 6 token ids ---------------------------------------------------------------------------------
 
 def test_encoder_equals_library():
