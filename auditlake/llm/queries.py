@@ -22,7 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_license_scan": licenses.op5_license_scan,
-    "op6_token_binary": binary.op6_token_binary,
     "op7_quality_rules": quality_rules.oracle(),
 }

@@ -294,6 +294,46 @@ def test_wrapped_headers_against_brute_force(spark):
         assert got[path]["own_score"] >= round(score, 9) - 1e-8, path
 
 
+def test_oracle_sql_is_sql():
+    from auditlake.llm.queries import ORACLE_SQL
+    assert ORACLE_SQL and all(isinstance(sql, str) for sql in ORACLE_SQL.values())
+
+
+def test_licence_scan_against_brute_force(spark):
+    rng = random.Random(8)
+    files = {}
+    for _ in range(60):
+        folder = "/".join(["", "a", "a/b", "a/b/c", "a/b/c/d", "a/e", "f", "f/g/h"][rng.randrange(8)].split("/"))
+        name = rng.choice(["LICENSE", "COPYING.txt", *[f"x{i}.py" for i in range(9)]])
+        kept = [w for w in rng.choice(licenses.TEMPLATES)[1].split(" ") if rng.random() < 0.8]
+        notice = rng.choice(["", " ".join(kept), "\n".join(textwrap.wrap(" ".join(kept), 50))])
+        files[f"{folder}/{name}".lstrip("/")] = f"{sentence(rng, 5)}\n\n{notice}\n\n{sentence(rng, 5)}"
+
+    def passages(path, text):
+        cue = lambda parts: [p for p in parts if re.search(licenses.CUE, p)]
+        lines = cue(text.split("\n"))
+        whole = [text] if re.search(licenses.LICENCE_FILE, path.split("/")[-1]) else []
+        return lines and [*lines, *cue(s for x in lines for s in re.split(licenses.SENTENCE, x)), "\n".join(lines), *cue(text.split("\n\n")), *whole]
+
+    own, stated = {}, {}
+    for path, text in files.items():
+        found = [(-round(s, 9), name) for s, name in cosines(passages(path, text), files.values()) if round(s, 9) >= licenses.THRESHOLD]
+        own[path] = min(found, default=(None, None))
+        if found and re.search(licenses.LICENCE_FILE, path.split("/")[-1]):
+            folder = path.rpartition("/")[0]
+            stated[folder] = min(stated.get(folder, (0, "", "")), (own[path][0], path, own[path][1]))
+    got = {r["_row"]["path"]: r for r in licenses.scan(spark.createDataFrame([*files.items()], "path string, text string")).collect()}
+    assert len(got) == len(files) and stated and len({name for _, name in own.values()}) > 4
+    for path, (score, name) in own.items():
+        r, above, steps = got[path], path.rpartition("/")[0], 0
+        assert r["own_license"] == name and (r["own_score"] or 0) == pytest.approx(-(score or 0), abs=2e-9), path
+        while above and above not in stated:
+            above, steps = above.rpartition("/")[0], steps + 1
+        granted = stated[above][2] if above in stated else None
+        assert r["license"] == (name or granted), path
+        assert (r["inherited_from"], r["distance"]) == ((above, steps) if granted and not name else (None, None)), path
+
+
 # -- 6 token ids ---------------------------------------------------------------------------------
 
 def test_encoder_equals_library():
