@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import binary, conversation, embedding, licenses, line_dedup, mixing, packing, pii, quality_knn, quality_rules, simhash
+from auditlake.llm import binary, conversation, embedding, html_extract, licenses, line_dedup, mixing, packing, pii, quality_knn, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_embedding_near_dedup": embedding.op10_embedding_near_dedup,
+    "op11_html_extraction": html_extract.op11_html_extraction,
     "op12_conversation_repair": conversation.op12_conversation_repair,
 }
 
