@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import binary, conversation, embedding, html_extract, licenses, line_dedup, mixing, packing, pii, quality_knn, quality_rules, simhash
+from auditlake.llm import (alignment, binary, conversation, embedding, html_extract, licenses, line_dedup, mixing, packing, pii, quality_knn,
+                           quality_rules, simhash)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": embedding.op10_embedding_near_dedup,
     "op11_html_extraction": html_extract.op11_html_extraction,
     "op12_conversation_repair": conversation.op12_conversation_repair,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
