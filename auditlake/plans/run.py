@@ -17,13 +17,13 @@ from .triage import TriageParams, detect_all
 
 
 def run_triage(spark: SparkSession, logdir: str, outdir: str, mode: str = "deep", rules=None,
-               params: TriageParams | None = None, multiline: bool | None = None) -> dict:
+               params: TriageParams | None = None) -> dict:
     """Run the whole triage; returns the written tables as DataFrames read back from ``outdir``."""
     p = params or TriageParams(mode=mode)
     if p.mode != mode:
         from dataclasses import replace
         p = replace(p, mode=mode)
-    raw = ingest_logs(spark, logdir, multiline=multiline)
+    raw = ingest_logs(spark, logdir)
     sinks.write_normalized(raw["signin"], raw["ual"], raw["files"], f"{outdir}/tables")
     signin = spark.read.parquet(f"{outdir}/tables/signin").drop("event_date")
     ual = spark.read.parquet(f"{outdir}/tables/ual").drop("event_date")

@@ -1,8 +1,7 @@
 """Structured Streaming twins of the batch operators.
 
-``stream_ingest``            CSV file source -> normalised Parquet (``foreachBatch``; a file is
-                              always read whole inside one micro-batch, so in-file row numbers
-                              use the same split-offset method as the batch scan).
+``stream_ingest``            listing of CSV files -> normalised Parquet (``foreachBatch``; each
+                              micro-batch is one batch of ``sources.increments``).
 ``stream_row_findings``      stateless row detectors on a streaming table.
 ``stream_campaign``          password spray / brute force: watermark + epoch-aligned tumbling
                               windows; the exact distinct count is ``size(collect_set)`` because
@@ -28,48 +27,27 @@ from ..functions.text import nz
 from ..operators import row_detectors
 from ..operators.campaigns import failure_rows
 from ..session import ship_package
-from ..sources.logs import normalize_group, plain_path
+from ..sources.increments import append_batch, listed
 
 
 # -- ingest ---------------------------------------------------------------------------------
 
-def _number_rows(batch: DataFrame, skiprows: int) -> DataFrame:
-    splits = batch.groupBy("_path", "_blk").agg(F.min("_id").alias("_min_id"), F.count(F.lit(1)).alias("_n"))
-    wf = Window.partitionBy("_path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(wf), F.lit(0)))
-    rec = batch.join(splits, ["_path", "_blk"])
-    return (rec.withColumn("rownum", F.col("_off") + (F.col("_id") - F.col("_min_id")) - F.lit(skiprows))
-            .filter(F.col("rownum") >= 1))
+def stream_ingest(spark: SparkSession, source_dir: str, tables: str, checkpoint: str, max_files_per_trigger: int | None = None):
+    """Start an ``availableNow`` stream of the CSV files of a folder into ``tables``; returns the StreamingQuery.
 
-
-def stream_ingest(spark: SparkSession, source_dir: str, columns: list[str], family: str, sink_dir: str,
-                  checkpoint: str, delimiter: str = ",", skiprows: int = 0, encoding: str = "UTF-8",
-                  max_files_per_trigger: int | None = None, *, file_ids: DataFrame):
-    """Start an ``availableNow`` stream of CSV files sharing one header into ``sink_dir``.
-
-    ``file_ids`` (path, file_id) assigns ids, as an inventory lists them; a file
-    that it lacks stops the query.  Returns the StreamingQuery.
+    The stream lists files, whatever their headers and dialects; each
+    micro-batch is ingested as a batch of its own, and one that is replayed
+    replaces what it wrote before.  ``increments.current_tables`` reads the tables.
     """
-    n = len(columns)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
-    reader = (spark.readStream.schema(schema).option("header", "false").option("sep", delimiter)
-              .option("quote", '"').option("escape", '"').option("multiLine", "true").option("encoding", encoding)
-              .option("pathGlobFilter", "*.csv"))
+    listing = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv"))
     if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(source_dir).select("*", plain_path("_metadata.file_path").alias("_path"),
-                                        F.col("_metadata.file_block_start").alias("_blk"))
+        listing = listing.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        b = _number_rows(batch.withColumn("_id", F.monotonically_increasing_id()), skiprows)
-        b = b.select("_path", "rownum", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
-        norm = normalize_group(b, columns, family)
-        norm = norm.join(file_ids.select(F.col("path").alias("_path"), "file_id"), "_path", "left")
-        lost = F.raise_error(F.concat(F.lit("file without an id: "), F.col("_path"))).cast("long")
-        norm = norm.withColumn("file_id", F.coalesce("file_id", lost))
-        norm.drop("_path").write.mode("append").parquet(sink_dir)
-
-    return (raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+        append_batch(batch.sparkSession, batch, tables, origin=f"{checkpoint}#{batch_id}")
+
+    return (listed(listing.load(source_dir)).writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
