@@ -22,7 +22,9 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK, FAN_IN, PACKED_CHARS = 1 << 16, 16, 6_000_000
 #: Where a text may be cut so that both tokenizers treat the parts like the whole, see :class:`Pair`.
 _CUT = re.compile("(?<! ) (?=[!-~¡-ᙹᚁ-᠍])|(?<=[!-~¡-ᙹᚁ-᠍])\n(?=[!-~¡-ᙹᚁ-᠍])")
+_PLAIN = re.compile("[ \n][!-~¡-ᙹᚁ-᠍]++")
 _SAFE = re.compile("[!-~¡-ᙹᚁ-᠍]++(?:[ \n][!-~¡-ᙹᚁ-᠍]++)*+")
 
 
@@ -53,7 +56,7 @@ class Pair:
     (checked when the file is read).  Distinct parts are encoded once.
     """
 
-    def __init__(self, byte_level: str, pieces: str, remember: int = 200_000):
+    def __init__(self, byte_level: str, pieces: str, remember: int = 600_000):
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(byte_level)
@@ -70,76 +73,119 @@ class Pair:
         byte = re.compile("<0x([0-9A-F]{2})>")
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(n)) else n.replace("▁", " ").encode() for n in names]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.blank = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.blank, self.line_break = self.b.piece_to_id("▁"), vocabulary["Ċ"]
         self.remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        #: number of each known part, and by number: whether both tokenizers keep it, and where its ids begin and end (per tokenizer)
+        self.known: dict[str, int] = {}
+        self.sound = np.empty(0, bool)
+        self.ids = [np.empty(0, np.uint32), np.empty(0, np.uint32)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def _encode_a(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many of each part) by the byte-level tokenizer; plain parts many at a time, as lines."""
+        plain = np.fromiter((_PLAIN.fullmatch(p) is not None for p in parts), bool, len(parts))
+        lines = [p.removeprefix("\n") for p, yes in zip(parts, plain.tolist()) if yes]
+        texts = ["\n".join(lines[at:at + 1024]) for at in range(0, len(lines), 1024)]
+        found = [np.array([*e.ids, self.line_break], np.uint32) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.empty(0, np.uint32), *found])
+        breaks = np.flatnonzero(flat == self.line_break)
+        begins = np.append(0, breaks[:-1] + 1) if len(breaks) else breaks
+        # a part with a line break before it has one token more, the break itself
+        own = [e.ids for e in self.a.encode_batch_fast([p for p, yes in zip(parts, plain.tolist()) if not yes], add_special_tokens=False)]
+        size = np.zeros(len(parts), np.int64)
+        size[plain], size[~plain] = breaks - begins, [len(x) for x in own]
+        broken = np.fromiter((p[0] == "\n" for p in parts), bool, len(parts)) & plain
+        size += broken
+        out = np.empty(int(size.sum()), np.uint32)
+        ends = np.cumsum(size)
+        out[(ends - size)[broken]] = self.line_break
+        is_plain = np.repeat(plain, size)
+        is_plain_word = is_plain.copy()
+        is_plain_word[(ends - size)[broken]] = False
+        out[is_plain_word] = flat[flat != self.line_break]
+        out[~is_plain] = np.fromiter(itertools.chain.from_iterable(own), np.uint32)
+        return out, size
+
+    def _encode_b(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the other tokenizer, which puts a blank before what it encodes: it stands for the part's own."""
+        ids = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+        for i, p in enumerate(parts):
+            if p[0] != " ":  # taken away before a line break
+                ids[i] = ids[i][1:] if ids[i][:1] == [self.blank] else []
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
     def _learn(self, parts: list[str]) -> None:
-        """Remember both encodings of each part, None for one that they do not both keep byte by byte."""
-        if len(self.known) + len(parts) > self.remember:
-            self.known.clear()
-        for at in range(0, len(parts), 4096):
-            some = parts[at:at + 4096]
-            ids_a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            # the model puts a blank before what it encodes: it stands for the part's own, or is taken away before a line break
-            ids_b = self.b.encode([p[1:] if p[0] == " " else p for p in some], num_threads=1)
-            for part, x, y in zip(some, ids_a, ids_b):
-                if part[0] != " ":
-                    y = y[1:] if y and y[0] == self.blank else None
-                raw = part.encode()
-                same = y is not None and b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
-                self.known[part] = (np.array(x, np.uint32).tobytes(), np.array(y, np.uint32).tobytes()) if same else None
+        """Number new parts and remember both encodings of each, and whether both keep its bytes."""
+        raw = [p.encode() for p in parts]
+        whole, length = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        sound = np.ones(len(parts), bool)
+        for k, (encode, names, sizes) in enumerate(((self._encode_a, self.bytes_a, self.size_a), (self._encode_b, self.bytes_b, self.size_b))):
+            ids, size = encode(parts)
+            ends = np.cumsum(size)
+            same = np.append(0, np.cumsum(sizes[ids]))
+            kept = (same[ends] - same[ends - size]) == length
+            if not kept.all() or b"".join([names[i] for i in ids.tolist()]) != whole:
+                for i in range(len(parts)):
+                    kept[i] = b"".join([names[x] for x in ids[ends[i] - size[i]:ends[i]].tolist()]) == raw[i]
+            sound &= kept
+            self.ends[k] = np.concatenate([self.ends[k], len(self.ids[k]) + ends])
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.sound = np.concatenate([self.sound, sound])
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """Numbers of distinct parts; new ones are encoded."""
+        new = [p for p in parts if p not in self.known]
+        if len(self.known) + len(new) > self.remember:
+            self._forget()
+            new = parts
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """(ids, ids) of a blank and each text; None where the bytes of either differ from it, or the text is empty."""
-        cut = [self._parts(t) if t else [] for t in texts]
-        flat = [p for parts in cut for p in parts]
-        if not flat:
-            return [None] * len(texts)
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        # parts stand apart by zero characters; a text that holds one itself is a single part
+        cut = ["" if not t else self._cut(t) if "\x00" not in t else "" for t in texts]
+        with_zero = {i: " " + t for i, t in enumerate(texts) if t and "\x00" in t}
+        coded = pc.split_pattern(pa.array(["\x00".join(c for c in cut if c)], pa.large_string()), "\x00").flatten().dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        new = [n for n in names if n not in self.known]
-        old = {n: self.known[n] for n in names if n in self.known}
-        self._learn(new)
-        found = [old[n] if n in old else self.known[n] for n in names]
-        sound = np.array([f is not None for f in found])[code]
-        sides = [_gather([f[k] if f else b"" for f in found], code) for k in (0, 1)]
-        out, at = [], 0
-        for parts in cut:
-            end = at + len(parts)
-            whole = bool(parts) and bool(sound[at:end].all())
-            out.append(tuple(ids[ends[at]:ends[end]] for ids, ends in sides) if whole else None)
+        if names == [""]:
+            names, code = [], code[:0]
+        number = self._numbers(names + list(dict.fromkeys(with_zero.values())))
+        code = number[code]
+        sound = self.sound[code]
+        sides = [_gather(self.ids[k], self.ends[k], code) for k in (0, 1)]
+        out: list = []
+        at = 0
+        for i, c in enumerate(cut):
+            if i in with_zero:
+                n = self.known[with_zero[i]]
+                out.append(tuple(self.ids[k][self.ends[k][n]:self.ends[k][n + 1]] for k in (0, 1)) if self.sound[n] else None)
+                continue
+            end = at + (c.count("\x00") + 1 if c else 0)
+            out.append(tuple(ids[ends[at]:ends[end]] for ids, ends in sides) if c and sound[at:end].all() else None)
             at = end
         return out
 
     @staticmethod
-    def _parts(text: str) -> list[str]:
-        """The parts of a blank and the text."""
+    def _cut(text: str) -> str:
+        """The parts of a blank and the text, with zero characters between them."""
         if _SAFE.fullmatch(text):  # single blanks and breaks only
-            return [(" " + line if first else line) for i, words in enumerate(text.split("\n")) for first, line in
-                    _lines(i, words)]
-        whole = " " + text
-        edges = [0, *(m.start() for m in _CUT.finditer(whole) if m.start()), len(whole)]
-        return [whole[a:b] for a, b in itertools.pairwise(edges)]
-
-
-def _lines(number: int, words: str):
-    """(whether a blank comes before, part) of a line whose words stand apart by single blanks."""
-    first, *rest = words.split(" ")
-    yield (True, first) if not number else (False, "\n" + first)
-    for w in rest:
-        yield True, w
-
-
-def _gather(values: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of values[code] one after another, and where each begins (one more at the end)."""
-    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    flat = np.frombuffer(b"".join(values), np.uint32)
-    length = size[code]
+            return (" " + text.replace(" ", "\x00 ").replace("\n", "\x00\n"))
+        return _CUT.sub("\x00\\g<0>", " " + text).removeprefix("\x00")
+
+
+def _gather(ids: np.ndarray, edges: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the parts ``code`` one after another, and where each begins (one more at the end)."""
+    start, length = edges[code], edges[code + 1] - edges[code]
     ends = np.cumsum(length)
     total = int(ends[-1]) if len(ends) else 0
-    start = (np.cumsum(size) - size)[code]
-    return flat[np.repeat(start - ends + length, length) + np.arange(total)], np.concatenate([[0], ends])
+    return ids[np.repeat(start - ends + length, length) + np.arange(total)], np.concatenate([[0], ends])
 
 
 @functools.lru_cache(maxsize=2)
@@ -203,6 +249,11 @@ def fragment(tokens: Tokens) -> tuple[Fragment, Tokens]:
     return Fragment(low, tokens.part(-1, low), tokens.part(high, most)), tokens.part(low, high)
 
 
+def _ends_with(ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``ends`` are among the sorted ``other``."""
+    return other[np.minimum(np.searchsorted(other, ends), len(other) - 1)] == ends
+
+
 def links(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids) of all pairs of tokens whose bytes overlap.
 
@@ -210,36 +261,55 @@ def links(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     exactly one token of each kind lies, and every overlapping pair has one
     such stretch.
     """
-    ends = np.union1d(tokens.end_a, tokens.end_b)
-    return tokens.a[np.searchsorted(tokens.end_a, ends)], tokens.b[np.searchsorted(tokens.end_b, ends)]
+    both = np.concatenate([tokens.end_a, tokens.end_b])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    last = np.append(both[1:] != both[:-1], True)
+    # tokens that have ended before each end: those among the first of the two kinds, and the others
+    is_a = order < len(tokens.end_a)
+    done_a, done_b = np.cumsum(is_a)[last], np.cumsum(~is_a)[last]
+    return tokens.a[np.append(0, done_a[:-1])], tokens.b[np.append(0, done_b[:-1])]
+
+
+@functools.lru_cache(maxsize=1)
+def _written() -> list[str]:
+    """At 4 * id + 2 for B tokens + 1 for the last one of a group: the id and the mark behind it, for ids below 2 ** 16."""
+    return [f"{i}{mark}" for i in range(1 << 16) for mark in ",|,;"]
 
 
 def described(tokens: Tokens) -> tuple[int, str]:
     """(number of groups, their text ``a1,a2|b1;...``) of whole groups; the text ends with ``;``."""
-    is_end_a, is_end_b = np.isin(tokens.end_a, tokens.end_b, assume_unique=True), np.isin(tokens.end_b, tokens.end_a, assume_unique=True)
+    is_end_a, is_end_b = _ends_with(tokens.end_a, tokens.end_b), _ends_with(tokens.end_b, tokens.end_a)
     group_a, group_b = np.cumsum(is_end_a) - is_end_a, np.cumsum(is_end_b) - is_end_b
     groups = int(is_end_a.sum())
-    until_a, until_b = np.cumsum(np.bincount(group_a, minlength=groups)), np.cumsum(np.bincount(group_b, minlength=groups))
-    before_b = np.concatenate([[0], until_b])
+    until_a, until_b = np.flatnonzero(is_end_a) + 1, np.flatnonzero(is_end_b) + 1
+    before_b = np.append(0, until_b)
     out = np.empty(len(tokens.a) + len(tokens.b), np.int64)
     # a group's A tokens stand behind the B tokens of the groups before, its B tokens behind the A tokens up to and with its own
     out[np.arange(len(tokens.a)) + before_b[group_a]] = tokens.a.astype(np.int64) * 4 + is_end_a
     out[np.arange(len(tokens.b)) + until_a[group_b]] = tokens.b.astype(np.int64) * 4 + 2 + is_end_b
-    return groups, "".join([f"{x >> 2}{',|,;'[x & 3]}" for x in out.tolist()])
+    written = _written()
+    if len(out) and out.max() >= len(written):
+        return groups, "".join([f"{x >> 2}{',|,;'[x & 3]}" for x in out.tolist()])
+    return groups, "".join(map(written.__getitem__, out.tolist()))
 
 
 def _packed_pairs(rows: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, bytes]:
     """Links of several texts or pieces: distinct pairs, and per row the numbers of its pairs with how often each comes."""
     size = np.array([len(a) for a, _ in rows], np.int64)
     both = [np.concatenate([r[k] for r in rows]) if rows else np.empty(0, np.uint32) for k in (0, 1)]
-    names, code = np.unique(both[0].astype(np.int64) << 32 | both[1], return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), size)
-    own, count = np.unique(row * max(1, len(names)) + code, return_counts=True)
-    row, code = np.divmod(own, max(1, len(names)))
+    code, names = pd.factorize(both[0].astype(np.int64) << 32 | both[1])
+    counts = []
+    for row, (end, n) in enumerate(zip(np.cumsum(size).tolist(), size.tolist())):
+        own = np.sort(code[end - n:end])
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        counts.append((row, own[first], np.diff(first, append=n)))
+    number = np.concatenate([c for _, c, _ in counts]) if counts else np.empty(0, np.int64)
+    times = np.concatenate([t for _, _, t in counts]) if counts else np.empty(0, np.int64)
     return {"pa": (names >> 32).astype("<u4").tobytes(), "pb": (names & 0xFFFFFFFF).astype("<u4").tobytes(),
-            "held": np.bincount(code, minlength=len(names)).astype("<u4").tobytes(),
-            "sizes": np.bincount(row, minlength=len(rows)).astype("<u4").tobytes(),
-            "numbers": code.astype("<u4").tobytes(), "times": count.astype("<u4").tobytes()}
+            "held": np.bincount(number, minlength=len(names)).astype("<u4").tobytes(),
+            "sizes": np.array([len(c) for _, c, _ in counts], "<u4").tobytes(),
+            "numbers": number.astype("<u4").tobytes(), "times": times.astype("<u4").tobytes()}
 
 
 #: A row per text or closed piece of one: its row number, doc_id, place in the text, counts, digest (whole texts) or text of groups (pieces).
