@@ -11,6 +11,7 @@ from ..functions.jsonfn import compress_evidence
 from ..functions.text import compress_text, nz
 from ..functions.timefmt import parse_epoch
 from ..schema import FINDING_COLUMNS
+from .positions import with_position
 
 
 def union_findings(parts: list[tuple[int, DataFrame]]) -> DataFrame:
@@ -31,17 +32,30 @@ def with_order_keys(findings: DataFrame) -> DataFrame:
             .withColumn("_ts_epoch", parse_epoch(F.col("timestamp"))))
 
 
+def _csv_order() -> list:
+    """severity rank (high, medium, low, info, other), then time, unparseable last."""
+    return [F.col("_rank_csv"), F.col("_ts_epoch").asc_nulls_last(), F.col("finding_id")]
+
+
+def _report_order() -> list:
+    """severity rank (critical, high, medium, low, other), then timestamp text."""
+    return [F.col("_rank_rep"), F.col("timestamp"), F.col("finding_id")]
+
+
 def sort_findings(findings: DataFrame) -> DataFrame:
-    """``findings.csv`` order: severity rank (high, medium, low, info, other) then time (unparseable last)."""
-    f = with_order_keys(findings)
-    return f.orderBy(F.col("_rank_csv"), F.col("_ts_epoch").asc_nulls_last(), F.col("finding_id")).drop(
-        "_rank_csv", "_rank_rep", "_ts_epoch")
+    """``findings.csv`` order."""
+    return with_order_keys(findings).orderBy(*_csv_order()).drop("_rank_csv", "_rank_rep", "_ts_epoch")
 
 
 def sort_findings_report(findings: DataFrame) -> DataFrame:
-    """Report order: severity rank (critical, high, medium, low, other) then timestamp text."""
-    f = with_order_keys(findings)
-    return f.orderBy("_rank_rep", "timestamp", "finding_id").drop("_rank_csv", "_rank_rep", "_ts_epoch")
+    """Report order."""
+    return with_order_keys(findings).orderBy(*_report_order()).drop("_rank_csv", "_rank_rep", "_ts_epoch")
+
+
+def findings_with_position(findings: DataFrame, report: bool = False) -> DataFrame:
+    """Findings with their ``position`` from 1 on in the ``findings.csv`` or the report order."""
+    order = _report_order() if report else _csv_order()
+    return with_position(with_order_keys(findings), *order).drop("_rank_csv", "_rank_rep", "_ts_epoch")
 
 
 def topk_findings_embed(findings: DataFrame, top: int = K.REPORT_EMBED_TOP,

@@ -15,13 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.text import concat_str, nz, ref
 from ..schema import finding
-from ..session import cut_lineage
 from .lookup import with_file_sha
 
 DEFAULT_CHUNK_SECONDS = 6 * 3600
@@ -85,10 +83,6 @@ def det_impossible_travel(signin: DataFrame, files: DataFrame | None = None, max
 
 # -- success after failures ------------------------------------------------------
 
-_FAIL_T = T.StructType([T.StructField("ts", T.LongType()), T.StructField("ip", T.StringType()),
-                        T.StructField("ref", T.StringType())])
-
-
 def saf_candidate_users(signin: DataFrame, min_fails: int) -> DataFrame:
     """Users with >= ``min_fails`` failures and >= 1 success (SQL flavour): ``semi_saf_users``."""
     base = signin.filter((nz("user") != "") & F.col("ts_epoch").isNotNull())
@@ -99,84 +93,88 @@ def saf_candidate_users(signin: DataFrame, min_fails: int) -> DataFrame:
             .select("user"))
 
 
-def _carry(per_chunk: DataFrame, value: str, how: str) -> DataFrame:
-    """Carry-in per (user, chunk) from earlier chunks of the same user (small table: one row per chunk)."""
-    w = Window.partitionBy("user").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    agg = F.sum(value).over(w) if how == "sum" else F.last(value, ignorenulls=True).over(w)
-    return per_chunk.withColumn(f"_carry_{value}", agg)
+#: Segments whose tables one group composes, and levels of such groups below the last one.
+FAN_IN, LEVELS = 1024, 2
+
+
+def _entries(tables: DataFrame, m: int, levels: int) -> DataFrame:
+    """(user, _g, _entry): with which offset the emission threshold enters each segment.
+
+    ``tables`` has (user, _g, _tab): for each entry offset in [0, m) the one
+    with which the threshold leaves segment _g; segments without candidates
+    are absent, and an offset never outlives one.  FAN_IN neighbouring tables
+    compose to one, level by level; a user's tables of the last level, each
+    for FAN_IN ** levels segments, are followed from the first on, and the
+    offsets then handed down.
+    """
+    def run(blocks: DataFrame, first, entry):
+        """Array of (g, entry) over the sorted ``_tabs``, and the offset and number of the last one's exit."""
+        start = F.struct((first - 1).cast("long").alias("g"), entry.cast("long").alias("off"),
+                         F.array().cast("array<struct<g:bigint,entry:bigint>>").alias("seen"))
+
+        def step(acc, t):
+            enters = F.when(t["_g"] == acc["g"] + 1, acc["off"]).otherwise(F.lit(0).cast("long"))
+            return F.struct(t["_g"].alias("g"), F.element_at(t["_tab"], (enters + 1).cast("int")).alias("off"),
+                            F.concat(acc["seen"], F.array(F.struct(t["_g"].alias("g"), enters.alias("entry")))).alias("seen"))
+
+        return F.aggregate("_tabs", start, step)
+
+    group = F.floor(F.col("_g") / FAN_IN).cast("long") if levels else F.lit(0).cast("long")
+    blocks = tables.groupBy("user", group.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_g", "_tab"))).alias("_tabs"))
+    if levels:
+        first, last = F.col("_block") * FAN_IN, (F.col("_block") + 1) * FAN_IN - 1
+
+        def leaves(offset: int):
+            end = run(blocks, first, F.lit(offset))
+            return F.when(end["g"] == last, end["off"]).otherwise(F.lit(0).cast("long"))
+
+        above = blocks.select("user", F.col("_block").alias("_g"), F.array(*[leaves(o) for o in range(m)]).alias("_tab"))
+        blocks = blocks.join(_entries(above, m, levels - 1).withColumnRenamed("_g", "_block"), ["user", "_block"])
+        seen = run(blocks, first, F.col("_entry"))["seen"]
+    else:
+        seen = run(blocks, F.lit(-1), F.lit(0))["seen"]
+    return blocks.select("user", F.explode(seen).alias("_e")).select("user", F.col("_e.g").alias("_g"), F.col("_e.entry").alias("_entry"))
 
 
-def _segmented_chain(cands: DataFrame, m: int, blocks: int) -> DataFrame:
-    """Greedy emission chain over candidate failure counts, in parallel segments.
+def _emitting(cands: DataFrame, m: int, blocks: int) -> DataFrame:
+    """(user, s): the candidates (user, s) that emit, a greedy chain over their failure counts ``s.C``, in segments.
 
     Emissions are the chain x1 = min X, x_{k+1} = min{x in X : x >= x_k + m}
     over the distinct counts X of valid candidates (the first candidate with a
-    given count represents it).  Cut the count axis into segments of
-    ``blocks * m`` values: a segment's effect on the chain depends only on
-    the entry offset of the threshold in [0, m), so each segment is summarised
-    by an m-entry transition table computed from its own values (a bounded
-    array).  A fold over the user's tiny per-segment tables gives every
-    segment's entry offset; each segment then lists its emissions, and the
-    previous emission of a segment's first one comes from a per-segment carry.
+    given count represents it).  The count axis is cut into segments of
+    ``blocks * m`` values: what a segment does to the chain depends only on the
+    offset of the threshold at its begin, in [0, m), so a table of m entries
+    sums it up (:func:`_entries`).
     """
     seg_len = m * int(blocks)
     reps = cands.groupBy("user", F.col("s.C").alias("_C")).agg(F.min("s").alias("s"))
-    reps = reps.withColumn("_g", F.floor(F.col("_C") / F.lit(seg_len)).cast("long"))
-    # small table read by several branches below: written once so the windowed
-    # pipeline over all sign-ins is not re-run per consumer
-    reps = cut_lineage(reps)
-    segs = reps.groupBy("user", "_g").agg(F.array_sort(F.collect_list("_C")).alias("_xs"))
-    base = F.col("_g") * seg_len
-    nxt = (F.col("_g") + 1) * seg_len
-
-    def exit_threshold(theta):
-        return F.aggregate("_xs", theta.cast("long"), lambda th, x: F.when(x >= th, x + m).otherwise(th))
-
-    table = F.array(*[F.greatest(exit_threshold(base + o) - nxt, F.lit(0)).cast("long") for o in range(m)])
-    segs = segs.withColumn("_tab", table)
-
-    ent_t = "array<struct<g:bigint,entry:bigint>>"
-
-    def step(acc, sg):
-        entry = F.when(sg["_g"] == acc["g"] + 1, acc["off"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(sg["_g"].alias("g"), F.element_at(sg["_tab"], (entry + 1).cast("int")).alias("off"),
-                        F.concat(acc["ent"], F.array(F.struct(sg["_g"].alias("g"), entry.alias("entry"))))
-                        .alias("ent"))
-
-    init = F.struct(F.lit(-2).cast("long").alias("g"), F.lit(0).cast("long").alias("off"),
-                    F.array().cast(ent_t).alias("ent"))
-    per_user = segs.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("_g", "_tab"))).alias("_segs"))
-    entries = (per_user.select("user", F.explode(F.aggregate("_segs", init, step)["ent"]).alias("_e"))
-               .select("user", F.col("_e.g").alias("_g"), F.col("_e.entry").alias("_entry")))
-    em_init = F.struct((base + F.col("_entry")).cast("long").alias("th"), F.array().cast("array<bigint>").alias("em"))
-    em = F.aggregate("_xs", em_init, lambda acc, x: F.when(
-        x >= acc["th"], F.struct((x + m).alias("th"), F.concat(acc["em"], F.array(x)).alias("em"))).otherwise(acc))
-    segs = segs.join(entries, ["user", "_g"]).withColumn("_em", em["em"])
-    wseg = Window.partitionBy("user").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    segs = segs.withColumn("_prev_last", F.last(F.try_element_at("_em", F.lit(-1)), ignorenulls=True).over(wseg))
-    pairs = F.transform("_em", lambda x, i: F.struct(x.alias("_C"), F.when(i == 0, F.col("_prev_last"))
-                                                     .otherwise(F.element_at("_em", i)).alias("_prevC")))
-    emitted = segs.select("user", F.explode(pairs).alias("_p")).select("user", "_p._C", "_p._prevC")
-    out = emitted.join(reps.select("user", "_C", "s"), ["user", "_C"])
-    n = F.when(F.col("_prevC").isNull(), F.col("s.inwin")).otherwise(
-        F.least(F.col("_C") - F.col("_prevC"), F.col("s.inwin")))
-    return out.select("user", "s", n.cast("long").alias("n"))
-
-
-def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5,
-                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS, chain: str = "segments",
+    segs = reps.groupBy("user", F.floor(F.col("_C") / F.lit(seg_len)).cast("long").alias("_g")).agg(
+        F.array_sort(F.collect_list(F.struct("_C", "s"))).alias("_xs"))
+    base, following = F.col("_g") * seg_len, (F.col("_g") + 1) * seg_len
+
+    def leaves(offset: int):
+        end = F.aggregate("_xs", (base + offset).cast("long"), lambda th, x: F.when(x["_C"] >= th, x["_C"] + m).otherwise(th))
+        return F.greatest(end - following, F.lit(0)).cast("long")
+
+    tables = segs.select("user", "_g", F.array(*[leaves(o) for o in range(m)]).alias("_tab"))
+    entered = segs.join(_entries(tables, m, LEVELS), ["user", "_g"])
+    kept_t = entered.schema["_xs"].dataType.simpleString()
+    start = F.struct((base + F.col("_entry")).cast("long").alias("th"), F.array().cast(kept_t).alias("kept"))
+    chain = F.aggregate("_xs", start, lambda acc, x: F.when(x["_C"] >= acc["th"], F.struct(
+        (x["_C"] + m).alias("th"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))
+    return entered.select("user", F.explode(chain["kept"]).alias("_x")).select("user", "_x.s")
+
+
+def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
                   segment_blocks: int = 1024) -> DataFrame:
-    """One row per emitted success with its failure count ``n`` (exact reference semantics).
+    """(user, s): the successes that emit (exact reference semantics).
 
     Let C(r) be the number of failures before row r (user order) and inwin(s)
     the number of failures in the window before success s.  Success s emits
-    iff inwin(s) >= m and C(s) - C(E) >= m, where E is the previous emission;
-    it then reports min(C(s) - C(E), inwin(s)) failures.  C and inwin come from
-    windows over (user, time chunk) partitions with a halo of one window, plus
-    a carry-in from a per-chunk table, so a hot user is split by time.  The
-    greedy emission chain runs over segments of the failure-count axis
-    (``_segmented_chain``); ``chain="islands"`` folds the valid candidates of
-    each activity island instead (kept as a cross-check).
+    iff inwin(s) >= m and C(s) - C(E) >= m, where E is the previous emission.
+    C and inwin come from windows over (user, time chunk) partitions with a
+    halo of one window, plus the failures of earlier chunks from a table with
+    a row per chunk, so a hot user is split by time.
     """
     W = int(max_minutes) * 60
     m = int(min_fails)
@@ -190,109 +188,73 @@ def saf_emissions(signin: DataFrame, max_minutes: int = 30, min_fails: int = 5,
             .select("user", "ts_epoch", "file_id", "rownum", "_f", nz("ip").alias("ip"), nz("country").alias("country"),
                     nz("app").alias("app"), nz("client_app").alias("client_app"),
                     nz("error_code").alias("error_code"), nz("ts_iso").alias("ts_iso")))
+    per_chunk = rows.groupBy("user", chunk_of("ts_epoch", L).alias("_chunk")).agg(F.sum(F.col("_f").cast("long")).alias("_nf"))
+    earlier = Window.partitionBy("user").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    per_chunk = per_chunk.select("user", "_chunk", F.coalesce(F.sum("_nf").over(earlier), F.lit(0)).alias("_carried"))
     h = with_halo(rows, "ts_epoch", L, W)
     part = Window.partitionBy("user", "_chunk")
-    w = part.orderBy("ts_epoch", "file_id", "rownum")
-    own_f = (F.col("_f") & ~F.col("_halo")).cast("long")
-    gap = F.col("ts_epoch") - F.lag("ts_epoch").over(w)
-    key = F.struct("ts_epoch", "file_id", "rownum")
-    h = (h.withColumn("_start", gap.isNull() | (gap > W))
-         .withColumn("_c_own", F.coalesce(F.sum(own_f).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-         .withColumn("_halo_f", F.sum((F.col("_f") & F.col("_halo")).cast("long")).over(part))
-         .withColumn("_lt", F.coalesce(F.sum(F.col("_f").cast("long")).over(
-             part.orderBy("ts_epoch").rangeBetween(Window.unboundedPreceding, -(W + 1))), F.lit(0)))
-         .withColumn("_isl_local", F.last(F.when(F.col("_start"), key), ignorenulls=True).over(
-             w.rowsBetween(Window.unboundedPreceding, 0)))
-         .filter(~F.col("_halo")))
-    per_chunk = (h.groupBy("user", "_chunk")
-                 .agg(F.sum(F.col("_f").cast("long")).alias("nf"),
-                      F.max_by(F.when(F.col("_start"), key), F.when(F.col("_start"), key)).alias("last_start")))
-    per_chunk = _carry(_carry(per_chunk, "nf", "sum"), "last_start", "last")
-    cand = (h.filter(~F.col("_f"))
-            .withColumn("_inwin", F.col("_c_own") + F.col("_halo_f") - F.col("_lt"))
-            .filter(F.col("_inwin") >= m)
-            .join(per_chunk.select("user", "_chunk", "_carry_nf", "_carry_last_start"), ["user", "_chunk"])
-            .withColumn("_C", F.coalesce(F.col("_carry_nf"), F.lit(0)) + F.col("_c_own"))
-            .withColumn("_island", F.coalesce(F.col("_isl_local"), F.col("_carry_last_start"))))
-    ev = F.struct(F.col("ts_epoch").alias("ts"), "file_id", "rownum", F.col("_C").alias("C"),
-                  F.col("_inwin").alias("inwin"), "ip", "country", "app", "client_app", "error_code", "ts_iso")
-    if chain == "segments":
-        return _segmented_chain(cand.select("user", ev.alias("s")), m, segment_blocks)
-    groups = cand.groupBy("user", "_island").agg(F.array_sort(F.collect_list(ev)).alias("_cands"))
-
-    def step(acc, c):
-        emit = acc["last"].isNull() | (c["C"] - acc["last"] >= m)
-        n = F.when(acc["last"].isNull(), c["inwin"]).otherwise(F.least(c["C"] - acc["last"], c["inwin"]))
-        return F.struct(F.when(emit, c["C"]).otherwise(acc["last"]).alias("last"),
-                        F.when(emit, F.concat(acc["o"], F.array(F.struct(c.alias("s"), n.alias("n")))))
-                        .otherwise(acc["o"]).alias("o"))
-
-    el = groups.schema["_cands"].dataType.elementType
-    out_t = T.ArrayType(T.StructType([T.StructField("s", el), T.StructField("n", T.LongType())]))
-    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(out_t).alias("o"))
-    folded = groups.select("user", F.aggregate("_cands", init, step).alias("_st"))
-    return folded.select("user", F.explode("_st.o").alias("_em")).select("user", "_em.s", "_em.n")
-
-
-def saf_failures(signin: DataFrame, emissions: DataFrame, max_minutes: int = 30) -> DataFrame:
-    """The ``n`` failures held at each emission (evidence): band join of the emissions with the
-    failures of the same user inside the window, newest ``n`` kept."""
+    w = part.orderBy("ts_epoch", "file_id", "rownum").rowsBetween(Window.unboundedPreceding, -1)
+    older = part.orderBy("ts_epoch").rangeBetween(Window.unboundedPreceding, -(W + 1))
+    h = (h.withColumn("_before", F.coalesce(F.sum(F.col("_f").cast("long")).over(w), F.lit(0)))
+         .withColumn("_own", F.coalesce(F.sum((F.col("_f") & ~F.col("_halo")).cast("long")).over(w), F.lit(0)))
+         .withColumn("_inwin", F.col("_before") - F.coalesce(F.sum(F.col("_f").cast("long")).over(older), F.lit(0)))
+         .filter(~F.col("_halo") & ~F.col("_f") & (F.col("_inwin") >= m)))
+    cands = h.join(per_chunk, ["user", "_chunk"])
+    s = F.struct(F.col("ts_epoch").alias("ts"), "file_id", "rownum", (F.col("_carried") + F.col("_own")).alias("C"),
+                 "ip", "country", "app", "client_app", "error_code", "ts_iso")
+    return _emitting(cands.select("user", s.alias("s")), m, segment_blocks)
+
+
+def saf_evidence(signin: DataFrame, emissions: DataFrame, max_minutes: int = 30, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """(user, s, n, ips, refs) of each emission: the failures it used up, their commonest addresses, the first references.
+
+    A failure belongs to the user's next emission, if that follows within the
+    window; one window over (user, time chunk) with a halo tells which it is.
+    All later steps group within these partitions, and none holds more than
+    the references and addresses that are kept.
+    """
     W = int(max_minutes) * 60
-    f = (signin.filter((nz("user") != "") & F.col("ts_epoch").isNotNull() & P.signin_failure())
-         .select("user", F.col("ts_epoch").alias("f_ts"), F.col("file_id").alias("f_file"),
-                 F.col("rownum").alias("f_row"), nz("ip").alias("f_ip")))
-    e = emissions.select("user", F.col("s.ts").alias("e_ts"), F.col("s.file_id").alias("e_file"),
-                         F.col("s.rownum").alias("e_row"), "n")
-    # equi key (user, day bucket) on both sides keeps the band join local; the failure side is
-    # copied into the next bucket when it lies within the window of the boundary
-    L = max(86400, W)
-    fh = with_halo(f, "f_ts", L, W).drop("_halo")
-    e = e.withColumn("_chunk", chunk_of("e_ts", L))
-    j = (e.join(fh, ["user", "_chunk"])
-         .filter((F.col("f_ts") >= F.col("e_ts") - W)
-                 & (F.struct("f_ts", "f_file", "f_row") < F.struct("e_ts", "e_file", "e_row"))))
-    wr = Window.partitionBy("user", "e_file", "e_row").orderBy(F.desc("f_ts"), F.desc("f_file"), F.desc("f_row"))
-    return (j.withColumn("_k", F.row_number().over(wr)).filter(F.col("_k") <= F.col("n"))
-            .groupBy("user", "e_file", "e_row")
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("f_ts").alias("ts"), F.col("f_file").alias("file_id"),
-                                                      F.col("f_row").alias("rownum"), F.col("f_ip").alias("ip"))))
-                 .alias("fails")))
-
-
-def _top_ips(fails: Column, n: int = 10) -> Column:
-    """Most common non-empty failure IPs (count desc, first seen first), as [ip, count] pairs."""
-    ips = F.array_distinct(F.filter(F.transform(fails, lambda x: x["ip"]), lambda i: i != ""))
-    counted = F.transform(ips, lambda i, pos: F.struct(
-        (-F.size(F.filter(fails, lambda x: x["ip"] == i))).alias("neg"), pos.alias("pos"), i.alias("ip")))
-    top = F.slice(F.array_sort(counted), 1, n)
-    return F.transform(top, lambda t: F.struct(t["ip"].alias("ip"), (-t["neg"]).alias("count")))
+    L = max(int(chunk_seconds), W)
+    key = ["ts", "file_id", "rownum"]
+    fails = (signin.filter((nz("user") != "") & F.col("ts_epoch").isNotNull() & P.signin_failure())
+             .select("user", F.col("ts_epoch").alias("ts"), "file_id", "rownum", nz("ip").alias("_ip")))
+    em = emissions.select("user", "s.ts", "s.file_id", "s.rownum", "s")
+    both = fails.unionByName(em, allowMissingColumns=True)
+    # newest first, so that the running last one is the next in time
+    w = Window.partitionBy("user", "_chunk").orderBy(*[F.desc(c) for c in key]).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("s").isNotNull(), F.struct(*key, "_halo"))
+    rows = with_halo(both, "ts", L, W).withColumn("_e", F.last(own, ignorenulls=True).over(w))
+    rows = rows.filter(F.col("_e").isNotNull() & ~F.col("_e._halo") & F.when(F.col("s").isNull(), F.col("ts") >= F.col("_e.ts") - W).otherwise(
+        (F.col("s.ts") == F.col("_e.ts")) & (F.col("s.file_id") == F.col("_e.file_id")) & (F.col("s.rownum") == F.col("_e.rownum"))))
+    of = ["user", "_chunk", "_e"]
+    rank = F.row_number().over(Window.partitionBy(*of).orderBy(F.col("s").isNotNull(), *key))
+    ref_ = F.struct("ts", F.col("_ip").alias("ip"), ref("file_id", "rownum").alias("ref"), "file_id", "rownum")
+    rows = rows.withColumn("_ref", F.when(F.col("s").isNull() & (rank <= K.SAF_REFS), ref_))
+    per_ip = rows.groupBy(*of, "_ip").agg(F.count(F.when(F.col("s").isNull(), 1)).alias("_n"), F.min(F.struct(*key)).alias("_first"),
+                                          F.collect_list("_ref").alias("_refs"), F.max("s").alias("s"))
+    named = F.coalesce(F.col("_ip") != "", F.lit(False))
+    place = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc(named), F.desc("_n"), "_first"))
+    top = F.struct(place.alias("place"), F.col("_ip").alias("ip"), F.col("_n").alias("count"))
+    per_ip = per_ip.withColumn("_top", F.when(named & (place <= K.SAF_TOP_IPS), top))
+    out = per_ip.groupBy(*of).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list("_top")).alias("_tops"),
+                                  F.array_sort(F.flatten(F.collect_list("_refs"))).alias("_all"), F.max("s").alias("s"))
+    return out.select("user", "s", "n", F.transform("_tops", lambda t: F.struct(t["ip"].alias("ip"), t["count"].alias("count"))).alias("ips"),
+                      F.transform("_all", lambda x: F.struct(x["ts"].alias("ts"), x["ip"].alias("ip"), x["ref"].alias("ref"))).alias("refs"))
 
 
 def det_success_after_failures(signin: DataFrame, files: DataFrame | None = None, max_minutes: int = 30,
                                min_fails: int = 5, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
-                               with_evidence: bool = True, chain: str = "segments",
                                segment_blocks: int = 1024) -> DataFrame:
+    """Success after at least ``min_fails`` failures within ``max_minutes``; the failures count once."""
     cat, title = K.FINDING_META["success_after_failures"]
-    # one row per emission, read twice (findings and evidence): written once
-    em = cut_lineage(saf_emissions(signin, max_minutes, min_fails, chunk_seconds, chain, segment_blocks))
-    flat = em.select("user", "n", F.col("s.*"))
-    if with_evidence:
-        fl = saf_failures(signin, em, max_minutes)
-        flat = flat.join(fl, (flat["user"] == fl["user"]) & (flat["file_id"] == fl["e_file"])
-                         & (flat["rownum"] == fl["e_row"]), "left").drop(fl["user"]).drop("e_file", "e_row")
-        fails = F.transform(F.coalesce("fails", F.array()), lambda x: F.struct(
-            x["ts"].alias("ts"), x["ip"].alias("ip"),
-            F.concat_ws(":", x["file_id"].cast("string"), x["rownum"].cast("string")).alias("ref")))
-    else:
-        fails = F.array().cast(T.ArrayType(_FAIL_T))
-    flat = with_file_sha(flat.withColumn("_fails", fails), files)
+    em = saf_emissions(signin, max_minutes, min_fails, chunk_seconds, segment_blocks)
+    flat = with_file_sha(saf_evidence(signin, em, max_minutes, chunk_seconds).select("user", "n", "ips", "refs", "s.*"), files)
     hint = P.error_hint(F.col("error_code"))
     details = concat_str(F.col("n").cast("string"), f" failures then success within {max_minutes}m; success_ip=",
                          F.col("ip"), " app=", F.col("app"), " client=", F.col("client_app"),
                          F.when(hint.isNotNull(), F.concat(F.lit(" ("), hint, F.lit(")"))).otherwise(F.lit("")))
     evidence = F.struct(
-        F.col("n").alias("fail_count"), _top_ips(F.col("_fails")).alias("fail_ips_top"),
-        F.slice("_fails", 1, 50).alias("fail_refs"),
+        F.col("n").alias("fail_count"), F.col("ips").alias("fail_ips_top"), F.col("refs").alias("fail_refs"),
         F.struct(F.col("file_id"), F.col("rownum"), F.col("ip"), F.col("app"), F.col("client_app")).alias("success"),
         F.lit(int(max_minutes)).alias("window_minutes"))
     fid = concat_str("SAF-", F.col("user"), "-", F.col("file_id").cast("string"), "-",

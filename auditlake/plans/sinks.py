@@ -73,32 +73,15 @@ def write_cases(signin: DataFrame, ual: DataFrame, outdir: str, max_users: int =
 
 def report_tables(findings: DataFrame, signin: DataFrame, ual: DataFrame, files: DataFrame) -> dict:
     """Every pivot of the report as a named DataFrame (``sink_report_tables``)."""
-    from ..operators import bec
-    s_day, u_day, f_day = pivots.agg_by_day(signin), pivots.agg_by_day(ual), pivots.agg_findings_by_day(findings)
+    from ..operators import bec, report_counts
     return {
+        **report_counts.count_tables(findings, signin, ual, files),
         "coverage": pivots.agg_coverage(files),
-        "kpis": pivots.agg_kpis(findings, files, signin, ual),
-        "risk_score": pivots.agg_risk_score(findings),
-        "severity_counts": pivots.agg_severity_counts(findings),
-        "category_top": pivots.agg_category_counts(findings, K.TOP_CATEGORIES),
         "families": pivots.agg_family_counts(files),
         "files": pivots.list_files(files),
-        "impacted_users": pivots.agg_impacted(findings, "user"),
-        "impacted_ips": pivots.agg_impacted(findings, "ip"),
-        "impacted_countries_top": pivots.agg_impacted_countries(findings, K.TOP_COUNTRIES),
-        "top_signin_fail_ips": pivots.agg_dash_fail(signin, "ip", "user"),
-        "top_signin_fail_users": pivots.agg_dash_fail(signin, "user", "ip"),
-        "report_fail_ips": pivots.agg_top_fail(signin, "ip"),
-        "report_fail_users": pivots.agg_top_fail(signin, "user"),
-        "signin_by_day": s_day,
-        "ual_by_day": u_day,
-        "findings_by_day": f_day,
-        "daily": pivots.join_daily_series(s_day, u_day, f_day),
-        "signin_heatmap_dow_hour": pivots.agg_heatmap(signin),
         "findings": FN.topk_findings_embed(findings),
         "high_findings": FN.topk_high_findings(findings),
         "timeline": FN.findings_timeline(findings),
-        "categories": FN.list_findings_categories(findings),
         "bec_forwarding_events": bec.bec_forwarding_events(ual),
         "bec_inbox_rule_events": bec.bec_inbox_rule_events(ual),
         "bec_delegation_events": bec.bec_delegation_events(ual),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from . import registry_runs as runs
 from .functions import constants as K
 from .functions import predicates as P
 from .functions.jsonfn import oauth_scopes
@@ -454,10 +455,11 @@ reg("findings_timeline", lambda s, d: FN.findings_timeline(_fa(s, d)),
   CASE WHEN file != '' AND rownum != '' THEN concat(file, ':', rownum) ELSE '' END AS ref, finding_id
 FROM (SELECT * FROM f_all ORDER BY {_REP_RANK}, timestamp, finding_id LIMIT {K.REPORT_TIMELINE_TOP})
 WHERE timestamp != ''"""))
-reg("sort_findings", lambda s, d: FN.sort_findings(_fa(s, d)).select(*FINDING_OUT),
-    VR(_ALL, select=f"SELECT {FCOLS} FROM f_all"))
-reg("sort_findings_report", lambda s, d: FN.sort_findings_report(_fa(s, d)).select(*FINDING_OUT),
-    VR(_ALL, select=f"SELECT {FCOLS} FROM f_all ORDER BY {_REP_RANK}, timestamp, finding_id"))
+_CSV_RANK = "CASE lower(severity) WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 3 ELSE 9 END"
+reg("sort_findings", lambda s, d: FN.findings_with_position(_fa(s, d)).select(*FINDING_OUT, "position"),
+    VR(_ALL, select=f"""SELECT {FCOLS}, row_number() OVER (ORDER BY {_CSV_RANK}, nullif(timestamp, '') NULLS LAST, finding_id) AS position FROM f_all"""))
+reg("sort_findings_report", lambda s, d: FN.findings_with_position(_fa(s, d), report=True).select(*FINDING_OUT, "position"),
+    VR(_ALL, select=f"SELECT {FCOLS}, row_number() OVER (ORDER BY {_REP_RANK}, timestamp, finding_id) AS position FROM f_all"))
 reg("filter_findings_search",
     lambda s, d: FN.filter_findings_search(_fa(s, d), "high", None, "u1").select(*FINDING_OUT),
     VR(_ALL, select=f"""SELECT {FCOLS} FROM f_all WHERE lower(severity) = 'high' AND strpos(lower(concat_ws(' ',
@@ -466,6 +468,22 @@ reg("list_findings_categories", lambda s, d: FN.list_findings_categories(_fa(s,
     VR(_ALL, select="SELECT DISTINCT category FROM f_all WHERE category != ''"))
 
 
+# ---------------------------------------------------------------------------
+# 2.11, 2.12 streams and sinks: run over the tables, results read back
+# ---------------------------------------------------------------------------
+reg("stream_password_spray", runs.stream_campaign("ip", 360, 6, 4), runs.stream_campaign_sql("ip", 360, 6, 4))
+reg("stream_bruteforce", runs.stream_campaign("user", 1440, 4, 3), runs.stream_campaign_sql("user", 1440, 4, 3))
+reg("stream_success_after_failures", runs.stream_saf, VR(O.saf_findings(120, 3), select="""SELECT "user", ip, file, rownum,
+  CAST(split_part(details, ' ', 1) AS BIGINT) AS fail_count FROM f_saf"""))
+reg("stream_row_detectors", runs.stream_rows, V(O.risky_findings(), O.legacy_findings(), O.ual_findings(), select=" UNION ALL ".join(
+    f"SELECT {FCOLS} FROM {name}" for name in ("f_risky", "f_legacy", "f_ual"))))
+reg("stream_ingest", runs.stream_ingest(_SIGNIN_TEXT), V(select=f"SELECT {_duck_list(_SIGNIN_TEXT)} FROM signin"))
+reg("sink_normalized", runs.sink_normalized, V(select=f"""SELECT *, CASE WHEN ts_epoch IS NULL THEN 'unknown' ELSE {_DAY} END AS event_date FROM signin"""))
+reg("sink_file_ranges", runs.sink_file_ranges, V(select=f"""SELECT name, family, "rows", {duck_iso('start_epoch')} AS start, {duck_iso('end_epoch')} AS "end", sha256 FROM files"""))
+reg("sink_report_tables", runs.report_tables(_fa), runs.report_tables_sql(_ALL, _SCORE, _FDAY, _DAY, _DASH))
+reg("fn_compress_text", runs.compressed_texts, runs.COMPRESSED_SQL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.positions import with_position
 from ..schema import SIGNIN_SCHEMA, UAL_SCHEMA
 from ..session import cut_lineage
 from .logs import ingest_files
@@ -76,13 +77,8 @@ def append_batch(spark: SparkSession, listing: DataFrame, tables: str, origin: s
     newest = Window.partitionBy("path").orderBy(F.desc("batch"))
     seen = before.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("path", "length", "modified")
     fresh = listing.join(seen, ["path", "length", "modified"], "left_anti")
-    fresh = cut_lineage(fresh.orderBy("path").withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    sizes = fresh.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range of paths
-    sizes = sizes.select("_part", "_first", offset.alias("_offset"))
-    file_id = (F.lit(top["file_id"] or 0) + F.col("_offset") + F.col("_id") - F.col("_first") + 1).cast("long")
-    fresh = cut_lineage(fresh.join(sizes, part == F.col("_part")).select(file_id.alias("file_id"), "path", "name", "length", "modified"))
+    fresh = with_position(fresh, "path", name="_place").withColumn("file_id", F.col("_place") + F.lit(top["file_id"] or 0))
+    fresh = cut_lineage(fresh.select("file_id", "path", "name", "length", "modified"))
     if fresh.isEmpty():
         return None
     got = ingest_files(fresh.drop("modified"))

@@ -3,24 +3,17 @@
 ``stream_ingest``            listing of CSV files -> normalised Parquet (``foreachBatch``; each
                               micro-batch is one batch of ``sources.increments``).
 ``stream_row_findings``      stateless row detectors on a streaming table.
-``stream_campaign``          password spray / brute force: watermark + epoch-aligned tumbling
-                              windows; the exact distinct count is ``size(collect_set)`` because
-                              exact distinct aggregates are not allowed in streaming.
-``stream_success_after_failures``  per-user state with ``applyInPandasWithState``: events wait
-                              in state until the watermark passes them, then are folded in
-                              event-time order; what no later event can meet is dropped.
+``stream_campaign``          password spray / brute force: counters and an entry per distinct
+                              value for each (key, epoch-aligned bucket), in keyed state.
+``stream_success_after_failures``  events wait in keyed state by the minute until the watermark
+                              passes them, then follow each other in event-time order; what no
+                              later event can meet is dropped.  Both: ``stateful``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import predicates as P
 from ..functions.text import nz
@@ -28,6 +21,7 @@ from ..operators import row_detectors
 from ..operators.campaigns import failure_rows
 from ..session import ship_package
 from ..sources.increments import append_batch, listed
+from .stateful import CAMPAIGN_OUT, SAF_OUT, CampaignCounts, SuccessAfterFailures, use_keyed_state
 
 
 # -- ingest ---------------------------------------------------------------------------------
@@ -72,76 +66,26 @@ def stream_row_findings(signin_stream: DataFrame | None, ual_stream: DataFrame |
 
 def stream_campaign(signin_stream: DataFrame, key: str = "ip", window_minutes: int = 15, min_failures: int = 20,
                     min_other: int = 5, watermark: str = "30 minutes") -> DataFrame:
-    """Per (key, bucket) counts; use output mode ``update`` and keep the last row per (key, bucket)."""
+    """Per (key, bucket) counts; use output mode ``update`` and keep the last row per (key, bucket).
+
+    State is two counters and two times per (key, bucket) and an entry per
+    distinct other value, gone when the watermark passes the bucket.
+    """
+    spark = signin_stream.sparkSession
+    ship_package(spark)
+    use_keyed_state(spark)
     other = "user" if key == "ip" else "ip"
     win = int(window_minutes) * 60
-    rows = (failure_rows(signin_stream).withColumn("_ts", F.timestamp_seconds("ts_epoch"))
+    rows = (failure_rows(signin_stream).select(F.col(key).alias("key"), F.expr(f"ts_epoch div {win}").alias("bucket"),
+                                               F.col(other).alias("other"), "ts_epoch", F.timestamp_seconds("ts_epoch").alias("_ts"))
             .withWatermark("_ts", watermark))
-    agg = (rows.groupBy(F.window("_ts", f"{int(window_minutes)} minutes"), F.col(key))
-           .agg(F.count(F.lit(1)).alias("fails"), F.size(F.collect_set(other)).alias("n_other"),
-                F.min("ts_epoch").alias("min_ts"), F.max("ts_epoch").alias("max_ts")))
-    return (agg.withColumn("bucket", F.expr(f"unix_seconds(window.start) div {win}"))
-            .filter((F.col("fails") >= min_failures) & (F.col("n_other") >= min_other))
-            .select(key, "bucket", "fails", "n_other", "min_ts", "max_ts"))
+    counted = rows.groupBy("key", "bucket").transformWithStateInPandas(
+        CampaignCounts(win, int(min_failures), int(min_other)), CAMPAIGN_OUT, "Update", "EventTime")
+    return counted.withColumnRenamed("key", key)
 
 
 # -- success after failures (stateful) ---------------------------------------------------------
 
-SAF_OUT = T.StructType([
-    T.StructField("user", T.StringType()), T.StructField("ts_epoch", T.LongType()),
-    T.StructField("file_id", T.LongType()), T.StructField("rownum", T.LongType()),
-    T.StructField("ip", T.StringType()), T.StructField("fail_count", T.LongType()),
-])
-_PENDING = {"ts_epoch": "long", "file_id": "long", "rownum": "long", "f": "boolean", "ip": "string"}
-SAF_STATE = T.StructType([T.StructField(c, T.ArrayType({"long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType()}[t]))
-                          for c, t in {**_PENDING, "fails": "long"}.items()])
-
-
-def _emissions(fails: np.ndarray, at: np.ndarray, before: np.ndarray, window: int, min_fails: int) -> list[tuple[int, int]]:
-    """(index, failures) of the successes that end a run of failures.
-
-    ``fails`` are sorted failure times; success i happens at ``at[i]`` after
-    the first ``before[i]`` of them.  It counts those inside the window that no
-    earlier emission has used up.
-    """
-    out, used = [], 0
-    oldest = np.searchsorted(fails, at - window, side="left")
-    for i in np.flatnonzero(before - oldest >= min_fails):
-        n = int(before[i] - max(oldest[i], used))
-        if n >= min_fails:
-            out.append((int(i), n))
-            used = int(before[i])
-    return out
-
-
-def _saf_state_fn(window: int, min_fails: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = dict(zip(SAF_STATE.names, state.get)) if state.exists else {c: [] for c in SAF_STATE.names}
-        waiting = pd.concat([pd.DataFrame({c: kept[c] for c in _PENDING}), *(p[list(_PENDING)] for p in pdfs)])
-        passed = state.getCurrentWatermarkMs() // 1000
-        waiting = waiting[waiting["ts_epoch"].notna()].astype({"ts_epoch": "int64", "file_id": "int64", "rownum": "int64", "f": bool})
-        waiting = waiting.sort_values(["ts_epoch", "file_id", "rownum"], kind="stable", ignore_index=True)
-        due = waiting["ts_epoch"] <= passed
-        ready, waiting = waiting[due], waiting[~due]
-        failed = ready["f"].to_numpy(bool)
-        fails = np.concatenate([np.array(kept["fails"], np.int64), ready["ts_epoch"].to_numpy(np.int64)[failed]])
-        good = ready[~failed]
-        before = len(kept["fails"]) + np.cumsum(failed)[~failed]
-        found = _emissions(fails, good["ts_epoch"].to_numpy(np.int64), before, window, min_fails)
-        used = int(before[found[-1][0]]) if found else 0
-        fails = fails[used:][fails[used:] > passed - window]  # older ones can meet no later event
-        if len(waiting) or len(fails):
-            state.update((*(waiting[c].tolist() for c in _PENDING), fails.tolist()))
-            following = [waiting["ts_epoch"].min()] if len(waiting) else [fails.max() + window + 1]
-            state.setTimeoutTimestamp(int(max(following[0], passed + 1)) * 1000)
-        elif state.exists:
-            state.remove()
-        rows = good.iloc[[i for i, _ in found]]
-        yield pd.DataFrame({"user": key[0], "ts_epoch": rows["ts_epoch"].astype("int64"), "file_id": rows["file_id"].astype("int64"),
-                            "rownum": rows["rownum"].astype("int64"), "ip": rows["ip"], "fail_count": [n for _, n in found]})
-    return fn
-
-
 def stream_success_after_failures(signin_stream: DataFrame, max_minutes: int = 30, min_fails: int = 5, *,
                                   watermark: str) -> DataFrame:
     """Streaming twin of ``det_success_after_failures`` (append mode).
@@ -155,6 +99,7 @@ def stream_success_after_failures(signin_stream: DataFrame, max_minutes: int = 3
     flavours (result types that start with a digit or are empty).
     """
     ship_package(signin_stream.sparkSession)
+    use_keyed_state(signin_stream.sparkSession)
     W = int(max_minutes) * 60
     rows = (signin_stream.filter((nz("user") != "") & F.col("ts_epoch").isNotNull())
             .withColumn("f", P.signin_failure())
@@ -163,8 +108,7 @@ def stream_success_after_failures(signin_stream: DataFrame, max_minutes: int = 3
             .select("user", "ts_epoch", "file_id", "rownum", "f", nz("ip").alias("ip"),
                     F.timestamp_seconds("ts_epoch").alias("_ts"))
             .withWatermark("_ts", watermark))
-    return rows.groupBy("user").applyInPandasWithState(
-        _saf_state_fn(W, int(min_fails)), SAF_OUT, SAF_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("user").transformWithStateInPandas(SuccessAfterFailures(W, int(min_fails)), SAF_OUT, "Append", "EventTime")
 
 
 # -- durable campaign sink ---------------------------------------------------------------------
@@ -194,7 +138,7 @@ def latest_campaigns(spark: SparkSession, path: str, key: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*")
     logged = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
     if not logged:
-        return spark.createDataFrame([], f"{key} string, bucket long, fails long, n_other int, min_ts long, "
+        return spark.createDataFrame([], f"{key} string, bucket long, fails long, n_other long, min_ts long, "
                                          "max_ts long")
     log = spark.read.parquet(path)
     w = Window.partitionBy(key, "bucket").orderBy(F.desc("batch_id"))

@@ -49,5 +49,5 @@ def test_hot_key_partitioning(spark):
     # success-after-failures writes its small intermediates (checkpoints); its windowed
     # candidate stage is the (user, chunk)-partitioned part
     signin = adapters.load_tables(spark, SF001)[0]
-    p = _plan(sequence.saf_emissions(signin, 30, 5, chain="islands"))
+    p = _plan(sequence.saf_emissions(signin, 30, 5))
     assert "hashpartitioning(user" in p and "_chunk" in p

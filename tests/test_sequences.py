@@ -1,6 +1,7 @@
 """Sequence detectors and the as-of join against plain sequential loops (property tests)."""
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -70,18 +71,23 @@ RT = st.sampled_from([("50126", ""), ("0", ""), ("", "Success"), ("", "failed"),
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", ""]), st.integers(0, 20000), RT), min_size=1, max_size=60),
        st.integers(1, 4), st.sampled_from([1800, 2500, 21600]),
-       st.sampled_from([("segments", 1), ("segments", 2), ("segments", 1024), ("islands", 1)]))
-def test_saf_matches_loop(spark, evs, m, chunk, chain):
-    rows = [(u, ts, rt, s, "10.0.0.1", "ES", "app", "cli") for u, ts, (rt, s) in evs]
+       st.sampled_from([(1, 2, 2), (1, 2, 4), (2, 3, 1), (1024, 1024, 2)]))
+def test_saf_matches_loop(spark, evs, m, chunk, size):
+    rows = [(u, ts, rt, s, ("10.0.0.1", "10.0.0.2", "")[ts % 3], "ES", "app", "cli") for u, ts, (rt, s) in evs]
     df = events(spark, rows)
-    res = sequence.det_success_after_failures(df, None, 30, m, chunk_seconds=chunk, chain=chain[0],
-                                              segment_blocks=chain[1]).collect()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sequence, "FAN_IN", size[1])
+        patch.setattr(sequence, "LEVELS", size[2])
+        res = sequence.det_success_after_failures(df, None, 30, m, chunk_seconds=chunk, segment_blocks=size[0]).collect()
     got = sorted((r["user"], int(r["rownum"]), int(r["details"].split(" ")[0])) for r in res)
     assert got == saf_loop(rows, 1800, m)
     import json
+    from collections import Counter
     for r in res:  # evidence holds exactly the counted failures
-        assert json.loads(r["evidence_json"])["fail_count"] == len(json.loads(r["evidence_json"])["fail_refs"][:50]) \
-            or json.loads(r["evidence_json"])["fail_count"] > 50
+        e = json.loads(r["evidence_json"])
+        assert len(e["fail_refs"]) == min(50, e["fail_count"]) and [x["ts"] for x in e["fail_refs"]] == sorted(x["ts"] for x in e["fail_refs"])
+        counts = Counter(x["ip"] for x in e["fail_refs"] if x["ip"])
+        assert [(x["ip"], x["count"]) for x in e["fail_ips_top"]] == counts.most_common(10)
 
 
 def travel_loop(rows, window):
@@ -150,6 +156,28 @@ def test_hot_user_chunks_equal(spark):
     assert a == b and len(a) > 0
 
 
+def test_building_saf_starts_no_job(spark):
+    df = events(spark, [("a", 1, "0", "", "1.1.1.1", "ES", "a", "c")])
+    spark.sparkContext.setJobGroup("saf", "building")
+    sequence.det_success_after_failures(df, None, 30, 2)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("saf")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_saf_hot_user_is_split(spark, monkeypatch):
+    """One user with all rows, many levels of tables: the same findings as the loop, over many tasks."""
+    monkeypatch.setattr(sequence, "FAN_IN", 4)
+    monkeypatch.setattr(sequence, "LEVELS", 5)
+    rnd = random.Random(3)
+    rows = [("hot", 1000 + 11 * i, rnd.choice(["50126", "50126", "0"]), "", f"1.1.1.{i % 4}", "ES", "a", "c") for i in range(4000)]
+    df = events(spark, rows)
+    got = sorted((r["user"], int(r["rownum"]), int(r["details"].split(" ")[0])) for r in
+                 sequence.det_success_after_failures(df, None, 30, 3, chunk_seconds=1800, segment_blocks=2).collect())
+    assert got == saf_loop(rows, 1800, 3) and len(got) > 300
+    early = sequence.saf_evidence(df, sequence.saf_emissions(df, 30, 3, 1800, 2), 30, 1800)
+    assert early.select("n").agg({"n": "max"}).first()[0] <= 1800 // 11 + 1
+
+
 def test_saf_storm_segments(spark):
     """Dense alternating storm (every success a candidate): segment chain equals the loop."""
     rows = []

@@ -87,43 +87,49 @@ def test_stream_campaign_update_log(spark):
     assert got == sorted(tuple(r) for r in exp.collect()) and len(got) > 5
 
 
-class _State:
-    """What the stateful function sees of Spark's group state."""
-
-    def __init__(self):
-        self.value, self.timeout, self.watermark = None, None, 0
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def getCurrentWatermarkMs(self):
-        return self.watermark * 1000
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutTimestamp(self, ms):
-        self.timeout = ms
+def _parts(spark, batches):
+    """A folder with one Parquet file per batch of sign-in rows, in their order."""
+    from conftest import events
+    d = tempfile.mkdtemp(prefix="auditlake-parts-")
+    os.makedirs(f"{d}/in")
+    for i, rows in enumerate(batches):
+        df = events(spark, rows)
+        df.withColumn("rownum", F.col("rownum") + 100 * i).coalesce(1).write.parquet(f"{d}/part{i}")
+        name = next(n for n in os.listdir(f"{d}/part{i}") if n.endswith(".parquet"))
+        os.rename(f"{d}/part{i}/{name}", f"{d}/in/{i}.parquet")
+        os.utime(f"{d}/in/{i}.parquet", (1000 + i, 1000 + i))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in"), d
 
 
-def _events(*rows):
-    import pandas as pd
-    return pd.DataFrame([(ts, 1, n, f, "1.1.1.1") for n, (ts, f) in enumerate(rows)], columns=["ts_epoch", "file_id", "rownum", "f", "ip"])
+def _state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
 
 
-def test_stream_saf_state_goes_to_zero():
-    fn, state = streams._saf_state_fn(1800, 2), _State()
-    assert not len(next(fn(("a",), iter([_events((100, True))]), state))) and state.exists
-    state.watermark = 200
-    assert not len(next(fn(("a",), iter([]), state))) and state.value[-1] == [100]
-    state.watermark = 5000  # nothing that comes now can meet the failure
-    assert not len(next(fn(("a",), iter([]), state))) and not state.exists
-    state.watermark = 5000
-    out = next(fn(("a",), iter([_events((4000, True), (4100, True), (4200, False), (4300, False), (4400, True))]), state))
-    assert out[["ts_epoch", "fail_count"]].values.tolist() == [[4200, 2]] and state.value[-1] == [4400]
+def test_stream_saf_state_goes_to_zero(spark):
+    fail, good = "50126", "0"
+    batches = [[("a@x", 100, fail, ""), ("b@x", 160, fail, "")], [("a@x", 4000, fail, ""), ("a@x", 4100, fail, ""), ("a@x", 4200, good, ""),
+                                                                  ("a@x", 4300, good, "")], [("c@x", 90000, good, "")], [("c@x", 200000, good, "")]]
+    st, _ = _parts(spark, batches)
+    q = (streams.stream_success_after_failures(st, 30, 2, watermark="10 minutes").writeStream.outputMode("append").format("memory")
+         .queryName("saf_zero").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.sql("SELECT user, ts_epoch, fail_count FROM saf_zero").collect()
+    assert [tuple(r) for r in out] == [("a@x", 4200, 2)]
+    rows = _state_rows(q)
+    assert max(rows) < 30 and rows[-1] <= 4  # the last success waits, with its timer
+
+
+def test_stream_campaign_state_is_small_entries(spark):
+    """A bucket of one address with many users over several batches: right counts, and state that ends with the bucket."""
+    batches = [[(f"u{i}@x", 1000 + i, "50126", "", "9.9.9.9") for i in range(k, k + 40)] for k in (0, 20, 60)] + [[("z@x", 900000, "50126", "", "1.1.1.1")]] * 2
+    st, _ = _parts(spark, batches)
+    got = streams.stream_campaign(st, "ip", 15, 5, 5, watermark="1 minute")
+    q = got.writeStream.outputMode("update").format("memory").queryName("camp_small").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = [tuple(r) for r in spark.sql("SELECT * FROM camp_small").collect()]
+    assert last[-1] == ("9.9.9.9", 1, 120, 100, 1000, 1099) and [r[3] for r in last] == [40, 60, 100]
+    rows = _state_rows(q)
+    assert max(rows) >= 100 and rows[-1] < 10
 
 
 def test_stream_saf_counts_late_rows(spark):
