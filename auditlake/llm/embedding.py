@@ -27,7 +27,11 @@ MAX_BITS, SUBSTRING, PROBE_BITS = 64, 16, 2
 
 
 def fit_rotation(x: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): signs of (v - mean) @ projection are the code bits of a unit vector v."""
+    """(mean, projection): signs of (v - mean) @ projection are the code bits of a unit vector v.
+
+    Vectors of fewer dimensions than MAX_BITS get several rotations, learned
+    from different starts, so that every code has MAX_BITS bits.
+    """
     dim = x.shape[1]
     bits = min(dim, MAX_BITS)
     mean = x.mean(axis=0)
@@ -35,12 +39,15 @@ def fit_rotation(x: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarra
     _, _, axes = np.linalg.svd(spread + 1e-9 * np.eye(dim))
     basis = axes[:bits].T
     v = (x - mean) @ basis
-    turn, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((bits, bits)))
-    for _ in range(rounds):
-        signs = np.where(v @ turn >= 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(signs.T @ v)
-        turn = (left @ right).T
-    return mean, basis @ turn
+    turns = []
+    for start in range(-(-MAX_BITS // bits)):
+        turn, _ = np.linalg.qr(np.random.default_rng(7 + start).standard_normal((bits, bits)))
+        for _ in range(rounds):
+            signs = np.where(v @ turn >= 0, 1.0, -1.0)
+            left, _, right = np.linalg.svd(signs.T @ v)
+            turn = (left @ right).T
+        turns.append(basis @ turn)
+    return mean, np.concatenate(turns, axis=1)[:, :MAX_BITS]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -79,11 +86,14 @@ def _keyed(codes: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataF
     return codes.mapInPandas(run, "key int, id long, code long")
 
 
-def _candidates(codes: DataFrame, bits: int, threshold: float) -> DataFrame:
-    """(src, dst), src < dst, each once: vectors that share a key and whose codes are near enough."""
+def _candidates(codes: DataFrame, bits: int, dim: int, threshold: float) -> DataFrame:
+    """(src, dst), src < dst, each once: vectors that share a key and whose codes are near enough.
+
+    No more bits than there are dimensions count as independent in what is near enough.
+    """
     parts = _substrings(bits)
     p = math.acos(threshold) / math.pi
-    most = math.ceil(bits * p + 3.5 * math.sqrt(bits * p * (1 - p)))
+    most = math.ceil(bits * (p + 3.5 * math.sqrt(p * (1 - p) / min(bits, dim))))
     index, look = _keyed(codes, parts, 0).alias("i"), _keyed(codes, parts, PROBE_BITS).alias("p")
     differ = F.col("i.code").bitwiseXOR(F.col("p.code"))
     near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") < F.col("p.id")) & (F.bit_count(differ) <= most)
@@ -112,26 +122,27 @@ def _reranked(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
 
 
 def similar_classes(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links) of the vectors (vec_id, embedding).
-
-    members: (vec_id, id) of every usable row, id the smallest vec_id with the
-    very same vector; classes: (id, n, v); links: (src, dst, cosine) between
-    classes.  Null or zero vectors and those with null or non-finite
-    components are not usable and appear nowhere.  Vectors of different
-    dimension never link.  Each dimension has its own rotation.
+    """(members, classes, links) of the vectors (row, vec_id, embedding); ``row`` is a row's own number.
+
+    members: (row, id) of every usable row; classes: (id, least, n, v), a row
+    per distinct vector, id the smallest row and least the smallest vec_id with
+    it; links: (src, dst, cosine) between classes.  Null or zero vectors and
+    those with null or non-finite components are not usable and appear
+    nowhere.  Vectors of different dimension never link.  Each dimension has
+    its own rotations.
     """
     spark = vectors.sparkSession
     python_ready(spark)
-    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
+    usable = vectors.select("row", "vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & F.expr("v is not null and exists(v, c -> c != 0) and forall(v, c -> c is not null "
                                              "and not isnan(c) and abs(c) < double('infinity'))"))
-    classes = materialise(usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    classes = materialise(usable.groupBy("v").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
                           .withColumn("dim", F.size("v")), "classes")
-    members = usable.join(classes.select(F.col("v").alias("of"), "id"), F.col("v") == F.col("of")).select("vec_id", "id")
+    members = usable.join(classes.select(F.col("v").alias("of"), "id"), F.col("v") == F.col("of")).select("row", "id")
     found = None
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
         own = classes.where(F.col("dim") == dim)
-        sample = own.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("v").toPandas()["v"]
+        sample = own.orderBy(F.xxhash64("least"), "least", "id").limit(TRAIN_ROWS).select("v").toPandas()["v"]
         mean, projection = fit_rotation(_unit(np.stack(sample.to_numpy())))
         bits = projection.shape[1]
 
@@ -145,7 +156,7 @@ def similar_classes(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFra
                     yield pa.RecordBatch.from_pydict({"id": b.column("id"), "code": code})
 
         codes = materialise(own.select("id", "v").mapInArrow(encode, "id long, code long"), "codes")
-        near = materialise(_candidates(codes, bits, threshold), "candidates")
+        near = materialise(_candidates(codes, bits, dim, threshold), "candidates")
         linked = _reranked(near, own.select("id", "v"), threshold)
         found = linked if found is None else found.union(linked)
     if found is None:
@@ -157,23 +168,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
 
     Copies of a vector form one class; its links count with the sizes of both
-    classes and are never expanded.  Unusable vectors have no links and are
-    their own component; rows with a null vec_id get null and are not kept.
+    classes and are never expanded.  Rows that repeat a vec_id, with the same
+    or another vector, are rows of their own.  Unusable vectors have no links
+    and are their own component; rows with a null vec_id get null and are not
+    kept.
     """
-    members, classes, links = similar_classes(vectors, threshold)
+    rows = materialise(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"), "rows")
+    members, classes, links = similar_classes(rows, threshold)
     comp = materialise(connected_components(links), "components")
+    least = comp.join(classes.select("id", "least"), F.col("node") == F.col("id")).groupBy("component").agg(F.min("least").alias("first"))
+    comp = comp.join(least, "component").select("node", "first")
     ends = links.select("src", "dst").union(links.select("dst", "src"))
     degree = ends.join(classes.select(F.col("id").alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("others"))
     per_class = materialise(
-        classes.select("id", "n").join(degree, F.col("id") == F.col("src"), "left")
+        classes.select("id", "least", "n").join(degree, F.col("id") == F.col("src"), "left")
         .join(comp, F.col("id") == F.col("node"), "left")
         .select(F.col("id").alias("of"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                F.coalesce("component", "id").alias("component_id")), "per_class")
-    known = materialise(members.select("vec_id", "id").distinct(), "members")
-    placed = known.join(per_class, F.col("id") == F.col("of")).select(F.col("vec_id").alias("member"), "n_links", "component_id")
-    return vectors.select("vec_id", F.expr("embedding is not null and exists(embedding, c -> c != 0) and forall(embedding, "
-                                           "c -> c is not null and not isnan(c) and abs(c) < double('infinity'))").alias("ok")
-                          ).join(placed, (F.col("vec_id") == F.col("member")) & F.col("ok"), "left").select(
+                F.coalesce("first", "least").alias("component_id")), "per_class")
+    placed = members.join(per_class, F.col("id") == F.col("of")).select(F.col("row").alias("member"), "n_links", "component_id")
+    return rows.select("row", "vec_id").join(placed, F.col("row") == F.col("member"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
