@@ -3,7 +3,8 @@
 A rotation of the principal axes is learned on a bounded sample so that signs
 of the rotated coordinates are balanced and lose little; every vector becomes
 a code of up to 64 such bits.  The code is cut into substrings; each is an
-index key, and each vector looks up all keys within two bits of its own.
+index key, and each vector looks up all keys within some bits of its own, as
+many as pairs at the threshold differ by in the sample.
 Candidates that agree are cut by their whole code inside the join and then
 reranked with the original vectors in double precision.
 """
@@ -23,7 +24,9 @@ from auditlake.llm.common import connected_components, materialise, python_ready
 
 #: The rotation is fitted on at most so many distinct vectors of a dimension, chosen by hash.
 TRAIN_ROWS = 8192
-MAX_BITS, SUBSTRING, PROBE_BITS = 64, 16, 2
+MAX_BITS, SUBSTRING = 64, 16
+#: Least and most bits of a substring that a probe flips, and the share of pairs at the threshold that the probes must find.
+PROBE_BITS, MOST_PROBE_BITS, FOUND = 2, 6, 0.97
 
 
 def fit_rotation(x: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -86,21 +89,46 @@ def _keyed(codes: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataF
     return codes.mapInPandas(run, "key int, id long, code long")
 
 
-def _candidates(codes: DataFrame, bits: int, dim: int, threshold: float) -> DataFrame:
-    """(src, dst), src < dst, each once: vectors that share a key and whose codes are near enough.
+def measured(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float) -> tuple[int, int]:
+    """(bits that a probe flips, most bits in which the codes of a candidate differ) for pairs at the threshold.
 
-    No more bits than there are dimensions count as independent in what is near enough.
+    Each unit vector of the sample ``x`` is paired with one at just that
+    cosine, in a random direction, and the near pairs among the first 2,000
+    are measured too, as off the centre they differ more; the harder kind
+    decides.
     """
+    rng = np.random.default_rng(11)
+    across = rng.standard_normal(x.shape)
+    across -= (across * x).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(across, axis=1, keepdims=True)
+    across = np.divide(across, length, out=np.zeros_like(across), where=length > 1e-9)
+    other = threshold * x + math.sqrt(max(0.0, 1 - threshold ** 2)) * across
+    code = (x - mean) @ projection >= 0
+    some = x[:2000]
+    cosine = some @ some.T
+    i, j = np.nonzero(np.triu((cosine >= threshold) & (cosine < threshold + (1 - threshold) / 3), 1))
+    kinds = [code != ((other - mean) @ projection >= 0)]
+    if len(i) >= 30:
+        kinds.append(code[i] != code[j])
+    bits, p = code.shape[1], math.acos(threshold) / math.pi
+    radius, most = PROBE_BITS, math.ceil(bits * p + 3.5 * math.sqrt(bits * p * (1 - p)))
+    for flips in kinds:
+        least = np.stack([flips[:, low:low + width].sum(axis=1) for low, width in _substrings(bits)], axis=1).min(axis=1)
+        radius = max(radius, next((r for r in range(PROBE_BITS, MOST_PROBE_BITS) if (least <= r).mean() >= FOUND), MOST_PROBE_BITS))
+        most = max(most, math.ceil(np.quantile(flips.sum(axis=1), 0.999)))
+    return radius, most
+
+
+def _candidates(codes: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
+    """(src, dst), src < dst, each once: vectors that share a key and whose codes differ in at most ``most`` bits."""
     parts = _substrings(bits)
-    p = math.acos(threshold) / math.pi
-    most = math.ceil(bits * (p + 3.5 * math.sqrt(p * (1 - p) / min(bits, dim))))
-    index, look = _keyed(codes, parts, 0).alias("i"), _keyed(codes, parts, PROBE_BITS).alias("p")
+    index, look = _keyed(codes, parts, 0).alias("i"), _keyed(codes, parts, radius).alias("p")
     differ = F.col("i.code").bitwiseXOR(F.col("p.code"))
     near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") < F.col("p.id")) & (F.bit_count(differ) <= most)
     for t, (low, width) in enumerate(parts[:-1]):  # only the first table that finds a pair emits it
         mask = ((1 << width) - 1) << low
         mask -= (1 << 64) if mask >= 1 << 63 else 0
-        near &= (F.shiftright("i.key", SUBSTRING) <= t) | (F.bit_count(differ.bitwiseAND(F.lit(mask).cast("long"))) > PROBE_BITS)
+        near &= (F.shiftright("i.key", SUBSTRING) <= t) | (F.bit_count(differ.bitwiseAND(F.lit(mask).cast("long"))) > radius)
     return index.hint("merge").join(look, near).select(F.col("i.id").alias("src"), F.col("p.id").alias("dst"))
 
 
@@ -143,8 +171,9 @@ def similar_classes(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFra
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
         own = classes.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("least"), "least", "id").limit(TRAIN_ROWS).select("v").toPandas()["v"]
-        mean, projection = fit_rotation(_unit(np.stack(sample.to_numpy())))
-        bits = projection.shape[1]
+        sample = _unit(np.stack(sample.to_numpy()))
+        mean, projection = fit_rotation(sample)
+        bits, (radius, most) = projection.shape[1], measured(sample, mean, projection, threshold)
 
         def encode(batches, mean=mean, projection=projection):
             for b in batches:
@@ -156,7 +185,7 @@ def similar_classes(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFra
                     yield pa.RecordBatch.from_pydict({"id": b.column("id"), "code": code})
 
         codes = materialise(own.select("id", "v").mapInArrow(encode, "id long, code long"), "codes")
-        near = materialise(_candidates(codes, bits, dim, threshold), "candidates")
+        near = materialise(_candidates(codes, bits, radius, most), "candidates")
         linked = _reranked(near, own.select("id", "v"), threshold)
         found = linked if found is None else found.union(linked)
     if found is None:

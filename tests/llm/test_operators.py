@@ -534,3 +534,30 @@ def test_embeddings(spark):
     assert got[b]["component_id"] == a and got[b]["n_links"] == 1 and not got[b]["kept"]
     assert got[360]["component_id"] == 0 and got[360]["n_links"] >= 1
     assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("dim, shift", [(8, 0), (16, 0), (16, 1.5), (32, 0), (64, 1.5), (128, 0)])
+def test_embedding_recall_in_any_dimension(spark, dim, shift):
+    """Pairs just above the threshold, centred and off centre."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((600, dim)) + shift * np.ones(dim)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    across = rng.standard_normal(x.shape)
+    across -= (across * x).sum(axis=1)[:, None] * x
+    across /= np.linalg.norm(across, axis=1)[:, None]
+    cos = rng.uniform(0.9, 0.93, 600)[:, None]
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos ** 2) * across])
+    table = [(i, [float(c) for c in v]) for i, v in enumerate(both)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()}
+    both /= np.linalg.norm(both, axis=1)[:, None]
+    links = (both @ both.T >= 0.9).sum(axis=1) - 1
+    mine = np.array([got[i] for i in range(len(both))])
+    assert (mine <= links).all() and mine.sum() >= 0.9 * links.sum() > 0
+
+
+def test_embedding_rows_that_repeat_an_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.05]
+    table = [(5, a), (5, b), (5, b), (3, c), (None, a), (7, None), (7, a)]
+    got = sorted(map(tuple, embedding.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(5, 1, 5, True), (5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (None, 0, None, False), (7, 0, 7, True),
+                          (7, 1, 5, False)], key=str)
