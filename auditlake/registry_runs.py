@@ -11,6 +11,7 @@ from . import oracle as O
 from .functions import constants as K
 from .functions.text import compress_text
 from .operators import report_counts
+from .operators.sequence import saf_candidate_users
 from .plans import sinks
 from .session import checkpoint_dir
 from .sources import adapters, increments
@@ -47,8 +48,10 @@ GROUP BY 1, 2 HAVING count(*) >= {failures} AND count(DISTINCT {other}) >= {othe
 
 
 def stream_saf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of the users that the batch detector looks at: it asks for counts over all time, which a stream cannot know."""
     at = scratch(spark, "saf")
-    rows = _stream_of(spark, adapters.load_tables(spark, sf_dir)[0], at)
+    signin = adapters.load_tables(spark, sf_dir)[0]
+    rows = _stream_of(spark, signin.join(saf_candidate_users(signin, 3), "user", "left_semi").select(*signin.columns), at)
     found = streams.stream_success_after_failures(rows, 120, 3, watermark="0 seconds")
     found.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{at}/out").select(

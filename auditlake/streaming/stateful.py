@@ -26,6 +26,11 @@ def use_keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _campaign_rows(rows: list[tuple]) -> pd.DataFrame:
+    names = [f.split()[0] for f in CAMPAIGN_OUT.split(", ")]
+    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype="int64" if i else object) for i, n in enumerate(names)})
+
+
 class CampaignCounts(StatefulProcessor):
     """Failures and distinct other values of each (key, bucket): counters, and an entry per distinct value."""
 
@@ -51,12 +56,12 @@ class CampaignCounts(StatefulProcessor):
         self.counts.update((fails, n_other, low, high))
         self.handle.registerTimer((int(key[1]) + 1) * self.window * 1000)
         hit = fails >= self.min_failures and n_other >= self.min_other
-        yield pd.DataFrame([(key[0], int(key[1]), fails, n_other, low, high)][:hit], columns=["key", "bucket", "fails", "n_other", "min_ts", "max_ts"])
+        yield _campaign_rows([(key[0], int(key[1]), fails, n_other, low, high)][:hit])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.counts.clear()
         self.others.clear()
-        yield pd.DataFrame({c: [] for c in ("key", "bucket", "fails", "n_other", "min_ts", "max_ts")})
+        yield _campaign_rows([])
 
     def close(self) -> None:
         pass
@@ -146,8 +151,9 @@ class SuccessAfterFailures(StatefulProcessor):
         yield self._out(key, good.iloc[[i for i, _ in found]], [n for _, n in found])
 
     def _out(self, key, rows: pd.DataFrame, counts: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"user": [key[0]] * len(rows), "ts_epoch": rows["ts_epoch"].astype("int64"), "file_id": rows["file_id"].astype("int64"),
-                             "rownum": rows["rownum"].astype("int64"), "ip": rows["ip"], "fail_count": counts})
+        out = {c: pd.Series(rows[c].tolist(), dtype="int64") for c in ("ts_epoch", "file_id", "rownum")}
+        return pd.DataFrame({"user": pd.Series([key[0]] * len(rows), dtype=object), **out, "ip": pd.Series(rows["ip"].tolist(), dtype=object),
+                             "fail_count": pd.Series(counts, dtype="int64")})
 
     def close(self) -> None:
         pass
