@@ -94,7 +94,7 @@ def saf_candidate_users(signin: DataFrame, min_fails: int) -> DataFrame:
 
 
 #: Segments whose tables one group composes, and levels of such groups below the last one.
-FAN_IN, LEVELS = 1024, 2
+FAN_IN, LEVELS = 1024, 1
 
 
 def _entries(tables: DataFrame, m: int, levels: int) -> DataFrame:
