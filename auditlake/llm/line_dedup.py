@@ -6,8 +6,14 @@ of the k + 1 segments into which the shorter line is cut, at a place that the
 lengths and the number of the segment confine.  The least gram of a segment is
 its index key, the least grams of all windows of a line are its probes, so
 that the work grows with the text and not with k; equal keys at places that
-fit join, and a banded edit distance verifies them.  A line goes if an equal
-line or one within k edits stands earlier in the corpus.
+fit join, and a banded edit distance, its deltas held in bits, verifies them.
+A line goes if an equal line or one within k edits stands earlier in the corpus.
+
+Lines are numbered in the order of the corpus.  Most near ones are settled
+first, each against the earliest line with which it shares a least gram, so
+that a dense group costs its size; the join of all segments then looks only for
+pairs whose later line is open.  Counts of characters in eight classes, which
+an edit moves by two at most, refuse most candidates inside the join.
 """
 
 from __future__ import annotations
@@ -25,8 +31,12 @@ MIN_CHARS, CHARS_PER_EDIT = 12, 24
 GRAM, FACTOR = 12, 0x2545F4914F6CDD1D
 #: Joins among which the keys are dealt; each holds so small a part of them in shuffle files.
 SHARES = 6
-#: Whether a candidate pair x, y is within the allowed number of edits; Spark's own band takes half the time of :func:`within`.
-VERIFIED = f"levenshtein(x, y, int(least(length(x), length(y)) div {CHARS_PER_EDIT})) >= 0"
+#: Least grams of a line by which it meets the earliest line that has one of them, before the join of all segments.
+SETTLING = 4
+#: Classes of characters that are counted, 8 bits each.
+CLASSES = 8
+#: Pairs of lines verified together, and steps after which those decided are left out.
+PAIRS, STEPS = 1024, 16
 #: Texts of candidates are joined by broadcasting their ids only below this count (16 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -37,35 +47,109 @@ def edits_allowed(chars):
 
 
 def within(a: str, b: str, k: int) -> bool:
-    """Whether the edit distance is at most k: one bit set per number of errors, moved along the diagonal band.
-
-    Bit t of a set after j characters of b stands for j - k + t characters of a.
-    """
-    if abs(len(a) - len(b)) > k:
+    """Whether the edit distance is at most k, for bands of any width; see :func:`within_all`."""
+    if len(a) < len(b):
+        a, b = b, a
+    gap = len(a) - len(b)
+    if gap > k:
         return False
-    n = min(len(a), len(b))
-    head = next((i for i in range(n) if a[i] != b[i]), n)
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
-    tail = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
-    a, b = a[:len(a) - tail], b[:len(b) - tail]
-    if not a or not b:
-        return max(len(a), len(b)) <= k
     where = {}
     for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << i)
+        where[c] = where.get(c, 0) | 1 << i
     full = (1 << (2 * k + 1)) - 1
-    rows = [((1 << (d + 1)) - 1) << k & full for d in range(k + 1)]
+    plus, minus, edits = full >> k << k, 0, gap
     for j, c in enumerate(b):
         equal = where.get(c, 0)
         equal = (equal >> (j - k) if j >= k else equal << (k - j)) & full
-        last, rows[0] = rows[0], rows[0] & equal
-        for d in range(1, k + 1):
-            now = (rows[d] & equal) | last | (last >> 1) | (rows[d - 1] << 1 & full)
-            last, rows[d] = rows[d], now
-        if not rows[k]:
+        zero = ((((equal & plus) + plus) ^ plus) | equal | minus) & full
+        edits += not zero >> (k + gap) & 1
+        if edits > k:
             return False
-    return bool(rows[k] >> (len(a) - len(b) + k) & 1)
+        more, less = minus | ~(zero | plus) & full, zero & plus
+        plus, minus = less | ~(zero >> 1 | more) & full, zero >> 1 & more
+    return True
+
+
+def _matrix(lines: list[str], before: int, width: int, fill: int) -> np.ndarray:
+    """Code points of the lines as rows, ``before`` places from the left, ``fill`` elsewhere."""
+    out = np.full((len(lines), width), fill, np.uint32)
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    row = np.repeat(np.arange(len(lines)), n)
+    out[row, before + np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n)] = points
+    return out
+
+
+def _band(a: list[str], b: list[str], k: np.ndarray, bits: int) -> np.ndarray:
+    """:func:`within_all` of pairs whose 2 k + 1 diagonals fit in so many bits; no b is longer than its a.
+
+    Bit t of a word after j characters of b stands for j - half + t characters
+    of a.  ``plus`` and ``minus`` mark where the distance grows or falls by one
+    from the bit below, ``zero`` where it does not grow along the diagonal; the
+    edits are counted along the diagonal on which both lines end.
+    """
+    word, half = np.dtype(f"<u{bits // 8}").type, bits // 2 - 1
+    n = np.fromiter(map(len, b), np.int64, len(b))
+    gap = np.fromiter(map(len, a), np.int64, len(a)) - n
+    steps = int(n.max(initial=0))
+    left, right = _matrix(a, half, half + max(map(len, a)) + bits + steps, 0xFFFFFFFF), _matrix(b, 0, steps, 0xFFFFFFFE)
+    out, alive, edits = gap <= k, np.arange(len(a)), gap.copy()
+    plus, minus = np.full(len(a), (1 << bits) - (1 << half), word), np.zeros(len(a), word)
+    diagonal, one = (gap + half).clip(0, bits - 1).astype(word), word(1)
+    for j in range(steps):
+        if j % STEPS == 0:
+            over = edits > k[alive]
+            out[alive[over]] = False
+            stays = ~over & (n[alive] > j)
+            if not stays.all():
+                alive, edits, plus, minus, diagonal = alive[stays], edits[stays], plus[stays], minus[stays], diagonal[stays]
+                left, right = left[stays], right[stays]
+            if not len(alive):
+                return out
+        same = left[:, j:j + bits] == right[:, j:j + 1]
+        equal = np.packbits(same, axis=1, bitorder="little").view(word)[:, 0]
+        zero = (((equal & plus) + plus) ^ plus) | equal | minus
+        edits += ((zero >> diagonal & one) == 0) & (n[alive] > j)
+        more, less = minus | ~(zero | plus), zero & plus
+        plus, minus = less | ~(zero >> one | more), zero >> one & more
+    out[alive[edits > k[alive]]] = False
+    return out
+
+
+def within_all(a: list[str], b: list[str], k: np.ndarray) -> np.ndarray:
+    """Whether each pair is within its k edits: the diagonal band of the distance table kept as bits, all pairs a step at a time."""
+    a, b = map(list, zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b)))) if len(a) else ([], [])
+    out = np.zeros(len(a), bool)
+    size = np.fromiter(map(len, a), np.int64, len(a))
+    wide = np.select([k <= 3, k <= 7, k <= 15, k <= 31], [8, 16, 32, 64], 0)
+    for bits in (8, 16, 32, 64):
+        mine = np.flatnonzero(wide == bits)
+        mine = mine[np.argsort(size[mine], kind="stable")]
+        for begin in range(0, len(mine), PAIRS):
+            at = mine[begin:begin + PAIRS]
+            out[at] = _band([a[i] for i in at], [b[i] for i in at], k[at], bits)
+    for i in np.flatnonzero(wide == 0):
+        out[i] = within(a[i], b[i], int(k[i]))
+    return out
+
+
+def bags(lines: list[str]) -> np.ndarray:
+    """Per line the numbers of characters of each class modulo 256, side by side in a long."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    kind = (points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(61)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(lines)), n) * CLASSES + kind, minlength=len(lines) * CLASSES)
+    return (counts % 256).astype(np.uint8).view("<i8")
+
+
+def _fits(x: str, y: str, k: Column) -> Column:
+    """Whether the counts of two lines allow k edits between them; differences wrap around like the counts."""
+    apart = F.lit(0)
+    for c in range(CLASSES):
+        byte = [F.shiftrightunsigned(F.col(v), 8 * c).bitwiseAND(255) for v in (x, y)]
+        far = F.abs(byte[0] - byte[1])
+        apart = apart + F.least(far, 256 - far)
+    return apart <= 2 * k
 
 
 def _group(k: np.ndarray) -> np.ndarray:
@@ -144,23 +228,85 @@ def keys(lines: list[str], probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def keyed(lines: DataFrame, probe: bool, share: int) -> DataFrame:
-    """(key, id, n, at, segment) of the lines (id, line), by :func:`keys`; those keys that are ``share`` modulo SHARES."""
+    """(key, id, span, mark, bag) of the lines (id, line, open), by :func:`keys`; those keys that are ``share`` modulo SHARES.
+
+    ``span`` holds length and place, 32 bits each, ``mark`` the segment and, in its last bit, whether the line is open.
+    """
     def run(batches):
         for b in batches:
-            ids, line = b["id"].to_numpy(np.int64), b["line"].tolist()
+            ids, line, free = b["id"].to_numpy(np.int64), b["line"].tolist(), b["open"].to_numpy(np.int64)
             n = np.fromiter(map(len, line), np.int64, len(line))
             for begin in range(0, len(line), 1000):
-                row, key, at, segment = keys(line[begin:begin + 1000], probe)
+                part = line[begin:begin + 1000]
+                row, key, at, segment = keys(part, probe)
                 mine = key % SHARES == share
-                row, key, at, segment = row[mine] + begin, key[mine], at[mine], segment[mine]
-                yield pd.DataFrame({"key": key, "id": ids[row], "n": n[row].astype(np.int32), "at": at.astype(np.int32),
-                                    "segment": segment.astype(np.int32)})
+                row, key, at, segment = row[mine], key[mine], at[mine], segment[mine]
+                bag = bags(part)[row]
+                row = row + begin
+                yield pd.DataFrame({"key": key, "id": ids[row], "span": n[row] << 32 | at,
+                                    "mark": (segment * 2 + free[row]).astype(np.int32), "bag": bag})
 
-    return lines.mapInPandas(run, "key long, id long, n int, at int, segment int")
+    return lines.mapInPandas(run, "key long, id long, span long, mark int, bag long")
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """(a, b): ids of all pairs among distinct lines (id, line) within the allowed number of edits.
+def least_grams(lines: DataFrame) -> DataFrame:
+    """(key, id, n, bag): the SETTLING least different gram hashes of each line (id, line), apart for each range of lengths."""
+    def run(batches):
+        for b in batches:
+            ids, line = b["id"].to_numpy(np.int64), b["line"].tolist()
+            bag, key, row = bags(line), [], []
+            for i, x in enumerate(line):
+                if len(x) >= GRAM:
+                    grams = _grams(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4"))
+                    if len(grams) > 64:
+                        # repeats of a gram may take places of others here, never add any
+                        grams = np.partition(grams, 4 * SETTLING)[:4 * SETTLING]
+                    grams = np.unique(grams)[:SETTLING] ^ np.uint64(len(x).bit_length() * 0xD6E8FEB86659FD93 % (1 << 64))
+                    key.append(grams)
+                    row.append(np.full(len(grams), i))
+            if key:
+                row = np.concatenate(row)
+                n = np.fromiter(map(len, line), np.int64, len(line))
+                yield pd.DataFrame({"key": np.concatenate(key).view(np.int64), "id": ids[row], "n": n[row], "bag": bag[row]})
+
+    return lines.mapInPandas(run, "key long, id long, n long, bag long")
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The different ``b`` of pairs (a, b) of ids whose lines (id, line) are within the allowed number of edits."""
+    def run(batches):
+        for batch in batches:
+            x, y = batch["x"].tolist(), batch["y"].tolist()
+            k = edits_allowed(np.fromiter((min(len(v), len(w)) for v, w in zip(x, y)), np.int64, len(x)))
+            yield pd.DataFrame({"b": batch["b"].to_numpy(np.int64)[within_all(x, y, k)]})
+
+    wanted = materialise(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct(), "candidate-ids")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = materialise(lines.join(few, F.col("id") == F.col("of")).select("of", "line"), "candidate-lines")
+    left = pairs.join(texts.select(F.col("of").alias("a"), F.col("line").alias("x")), "a")
+    both = left.join(texts.select(F.col("of").alias("b"), F.col("line").alias("y")), "b")
+    later = materialise(both.select("b", "x", "y").mapInPandas(run, "b long").distinct(), "near")
+    discard(wanted)
+    discard(texts)
+    return later
+
+
+def settled(lines: DataFrame) -> DataFrame:
+    """(b): ids of lines (id, line) near the earliest line that has one of their least grams; each meets SETTLING lines at most."""
+    own = materialise(least_grams(lines), "least-grams")
+    first = own.groupBy(F.col("key").alias("of")).agg(F.min(F.struct("id", "n", "bag")).alias("first")).select(
+        "of", F.col("first.id").alias("a"), F.col("first.n").alias("m"), F.col("first.bag").alias("seen"))
+    k = F.floor(F.least("n", "m") / CHARS_PER_EDIT)
+    near = (F.col("key") == F.col("of")) & (F.col("a") < F.col("id")) & (F.abs(F.col("n") - F.col("m")) <= k) & _fits("bag", "seen", k)
+    pairs = materialise(own.join(first, near).select("a", F.col("id").alias("b")).distinct(), "settling")
+    later = verified(pairs, lines)
+    discard(own)
+    discard(pairs)
+    return later
+
+
+def near_earlier(lines: DataFrame) -> DataFrame:
+    """(b): ids of the distinct lines (id, line) that have one of a smaller id within the allowed number of edits.
 
     One join per share of the keys, each written before the next, so that the
     keys of one share at a time lie in shuffle files.  Of the segments of the
@@ -169,23 +315,26 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     its place from the left and that from the right can differ.
     """
     python_ready(lines.sparkSession)
-    long_enough = lines.select("id", "line").where(F.length("line") >= CHARS_PER_EDIT)
+    lines = lines.where(F.length("line") >= CHARS_PER_EDIT)
+    done = settled(lines)
+    marked = materialise(lines.join(done, F.col("id") == F.col("b"), "left").select(
+        "id", "line", F.col("b").isNull().cast("int").alias("open")), "marked-lines")
     found = None
     for share in range(SHARES):
-        index, look = keyed(long_enough, False, share).alias("i"), keyed(long_enough, True, share).drop("segment").alias("p")
-        k, shift, longer = F.floor(F.col("i.n") / CHARS_PER_EDIT), F.col("p.at") - F.col("i.at"), F.col("p.n") - F.col("i.n")
+        index, look = keyed(marked, False, share).alias("i"), keyed(marked, True, share).alias("p")
+        n, m = F.shiftright("i.span", 32), F.shiftright("p.span", 32)
+        k, segment, longer = F.floor(n / CHARS_PER_EDIT), F.shiftright("i.mark", 1), m - n
+        shift = F.col("p.span").bitwiseAND(0x7FFFFFFF) - F.col("i.span").bitwiseAND(0x7FFFFFFF)
+        open_later = F.when(F.col("i.id") < F.col("p.id"), F.col("p.mark")).otherwise(F.col("i.mark")).bitwiseAND(1) == 1
         near = (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")) & (longer >= 0) & (longer <= k) & (
-            F.abs(shift) <= F.col("i.segment")) & (F.abs(longer - shift) <= k - F.col("i.segment"))
+            F.abs(shift) <= segment) & (F.abs(longer - shift) <= k - segment) & open_later & _fits("i.bag", "p.bag", k)
         pairs = materialise(index.hint("merge").join(look, near).select(
             F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct(), f"candidates-{share}")
         found = pairs if found is None else found.union(pairs)
     pairs = materialise(found.distinct(), "candidates")
-    wanted = materialise(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct(), "candidate-ids")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = materialise(lines.join(wanted, F.col("id") == F.col("of")).select("of", "line"), "candidate-lines")
-    left = pairs.join(texts.select(F.col("of").alias("a"), F.col("line").alias("x")), "a")
-    both = left.join(texts.select(F.col("of").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(VERIFIED).select("a", "b")
+    later = verified(pairs, marked)
+    discard(marked)
+    return done.union(later)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -203,16 +352,17 @@ def removals(docs: DataFrame) -> DataFrame:
     hashed = [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("id2")]
     every = materialise(_occurrences(docs).select("doc_id", "row", "at", *hashed), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    first = materialise(every.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
-    own = first.select(F.col("first.row").alias("r"), F.col("first.at").alias("t"), "id")
+    first = every.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # numbers that grow with the place; written before anything reads them, as they depend on how rows were dealt
+    first = materialise(materialise(first, "places").repartitionByRange("first").sortWithinPartitions("first").withColumn(
+        "rank", F.monotonically_increasing_id()), "first")
+    own = first.select(F.col("first.row").alias("r"), F.col("first.at").alias("t"), F.col("rank").alias("id"))
     distinct = materialise(_occurrences(docs).select("row", "at", "line").where(F.length("line") >= CHARS_PER_EDIT).join(
-        own, (F.col("row") == F.col("r")) & (F.col("at") == F.col("t"))).select("id", "line"), "distinct-lines")
-    pairs = materialise(similar_lines(distinct), "similar")
+        own, (F.col("row") == F.col("r")) & (F.col("at") == F.col("t"))).groupBy("row", "at").agg(
+        F.first("id").alias("id"), F.first("line").alias("line")).select("id", "line"), "distinct-lines")
+    later = materialise(near_earlier(distinct).withColumnRenamed("b", "later"), "later")
     discard(distinct)
-    ordered = pairs.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(
-        first.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    later = ordered.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("later")).distinct()
-    touched = materialise(first.join(later, F.col("id") == F.col("later"), "left").where(
+    touched = materialise(first.join(later, F.col("rank") == F.col("later"), "left").where(
         (F.col("n") > 1) | F.col("later").isNotNull()).select(
         F.col("id").alias("i"), F.col("id2").alias("i2"), F.col("first.row").alias("r"), F.col("first.at").alias("t"),
         F.col("later").isNotNull().alias("near")), "touched")

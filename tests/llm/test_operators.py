@@ -434,6 +434,31 @@ def test_edit_distance():
             assert line_dedup.within(a, b, k) == (distance(a, b) <= k)
 
 
+def test_edit_distance_of_many_pairs():
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(500):
+        a = "".join(rng.choice("abcdé😀") for _ in range(rng.choice((0, 1, 5, 30, 100, 260, 900))))
+        pairs.append((a, edited(rng, a, rng.randint(0, 2 + len(a) // 20)) if len(a) > 4 else a[:3] + "x"))
+    pairs += [(b, a[::-1]) for a, b in pairs[:50]] + [("a" * 40, "a" * 30), ("", "")]
+    k = np.array([max(0, min(len(a), len(b)) // 24 + rng.randint(-1, 1)) for a, b in pairs])
+    want = [distance(a, b) <= x for (a, b), x in zip(pairs, k)]
+    assert line_dedup.within_all([a for a, _ in pairs], [b for _, b in pairs], k).tolist() == want
+    assert [line_dedup.within(a, b, int(x)) for (a, b), x in zip(pairs, k)] == want and 100 < sum(want) < 500
+    assert line_dedup.within_all([], [], k[:0]).tolist() == []
+
+
+def test_counts_of_characters_move_by_two_with_an_edit(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(200):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice((30, 300, 3000))))
+        b = edited(rng, a, rng.randint(0, 6))
+        rows.append((*line_dedup.bags([a, b]).tolist(), distance(a, b) if len(a) < 400 else 6))
+    df = spark.createDataFrame(rows, "x long, y long, k int")
+    assert df.where(line_dedup._fits("x", "y", line_dedup.F.col("k"))).count() == len(rows)
+
+
 def test_line_dedup_against_brute_force(spark, none):
     rng = random.Random(12)
     lines = [sentence(rng, rng.randint(3, 16)) for _ in range(50)] + ["short", "é" * 30, ""]
