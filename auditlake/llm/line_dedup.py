@@ -30,8 +30,8 @@ MIN_CHARS, CHARS_PER_EDIT = 12, 24
 #: Characters whose hash is a key, and the multiplier of that hash.
 GRAM, FACTOR = 12, 0x2545F4914F6CDD1D
 #: Joins among which the keys are dealt; each holds so small a part of them in shuffle files.
-SHARES = 6
-#: Least grams of a line by which it meets the earliest line that has one of them, before the join of all segments.
+SHARES = 8
+#: Hashes whose least gram in a line lets it meet the earliest line with the same one, before the join of all segments.
 SETTLING = 4
 #: Classes of characters that are counted, 8 bits each.
 CLASSES = 8
@@ -227,49 +227,63 @@ def keys(lines: list[str], probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, key.view(np.int64), at, segment
 
 
+def counted(lines: DataFrame) -> DataFrame:
+    """(id, line, bag) of (id, line), by :func:`bags`."""
+    def run(batches):
+        for b in batches:
+            yield b.assign(bag=bags(b["line"].tolist()))
+
+    return lines.select("id", "line").mapInPandas(run, "id long, line string, bag long")
+
+
 def keyed(lines: DataFrame, probe: bool, share: int) -> DataFrame:
-    """(key, id, span, mark, bag) of the lines (id, line, open), by :func:`keys`; those keys that are ``share`` modulo SHARES.
+    """(key, id, span, mark, bag) of the lines (id, line, bag, open), by :func:`keys`; those keys that are ``share`` modulo SHARES.
 
     ``span`` holds length and place, 32 bits each, ``mark`` the segment and, in its last bit, whether the line is open.
     """
     def run(batches):
         for b in batches:
-            ids, line, free = b["id"].to_numpy(np.int64), b["line"].tolist(), b["open"].to_numpy(np.int64)
+            ids, line, bag, free = b["id"].to_numpy(np.int64), b["line"].tolist(), b["bag"].to_numpy(np.int64), b["open"].to_numpy(np.int64)
             n = np.fromiter(map(len, line), np.int64, len(line))
             for begin in range(0, len(line), 1000):
-                part = line[begin:begin + 1000]
-                row, key, at, segment = keys(part, probe)
+                row, key, at, segment = keys(line[begin:begin + 1000], probe)
                 mine = key % SHARES == share
-                row, key, at, segment = row[mine], key[mine], at[mine], segment[mine]
-                bag = bags(part)[row]
-                row = row + begin
+                row, key, at, segment = row[mine] + begin, key[mine], at[mine], segment[mine]
                 yield pd.DataFrame({"key": key, "id": ids[row], "span": n[row] << 32 | at,
-                                    "mark": (segment * 2 + free[row]).astype(np.int32), "bag": bag})
+                                    "mark": (segment * 2 + free[row]).astype(np.int32), "bag": bag[row]})
+
+    return lines.select("id", "line", "bag", "open").mapInPandas(run, "key long, id long, span long, mark int, bag long")
 
-    return lines.mapInPandas(run, "key long, id long, span long, mark int, bag long")
+
+def least(lines: list[str]) -> np.ndarray:
+    """A row per line of at least GRAM characters, a column per hash: the least gram, apart for each range of lengths."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    grams = _grams(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"))
+    end = np.cumsum(n)
+    # grams that reach into the next line count for none
+    over = (end[:-1, None] - np.arange(1, GRAM)).ravel()
+    out = np.empty((len(lines), SETTLING), np.uint64)
+    for c in range(SETTLING):
+        mixed = (grams ^ grams >> np.uint64(13 + c)) * np.uint64(0x9E3779B97F4A7C15 + 2 * c)
+        mixed[over] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        out[:, c] = np.minimum.reduceat(mixed, end - n)
+    size = np.frexp(n)[1].astype(np.uint64)[:, None] * np.uint64(SETTLING) + np.arange(SETTLING, dtype=np.uint64)
+    return out ^ size * np.uint64(0xD6E8FEB86659FD93)
 
 
 def least_grams(lines: DataFrame) -> DataFrame:
-    """(key, id, n, bag): the SETTLING least different gram hashes of each line (id, line), apart for each range of lengths."""
+    """(key, id, n, bag): the keys of :func:`least` of each line (id, line, bag)."""
     def run(batches):
         for b in batches:
-            ids, line = b["id"].to_numpy(np.int64), b["line"].tolist()
-            bag, key, row = bags(line), [], []
-            for i, x in enumerate(line):
-                if len(x) >= GRAM:
-                    grams = _grams(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4"))
-                    if len(grams) > 64:
-                        # repeats of a gram may take places of others here, never add any
-                        grams = np.partition(grams, 4 * SETTLING)[:4 * SETTLING]
-                    grams = np.unique(grams)[:SETTLING] ^ np.uint64(len(x).bit_length() * 0xD6E8FEB86659FD93 % (1 << 64))
-                    key.append(grams)
-                    row.append(np.full(len(grams), i))
-            if key:
-                row = np.concatenate(row)
+            b = b[b["line"].str.len() >= GRAM]
+            for begin in range(0, len(b), 1000):
+                part = b.iloc[begin:begin + 1000]
+                line = part["line"].tolist()
                 n = np.fromiter(map(len, line), np.int64, len(line))
-                yield pd.DataFrame({"key": np.concatenate(key).view(np.int64), "id": ids[row], "n": n[row], "bag": bag[row]})
+                yield pd.DataFrame({"key": least(line).view(np.int64).ravel(), "id": part["id"].to_numpy(np.int64).repeat(SETTLING),
+                                    "n": n.repeat(SETTLING), "bag": part["bag"].to_numpy(np.int64).repeat(SETTLING)})
 
-    return lines.mapInPandas(run, "key long, id long, n long, bag long")
+    return lines.select("id", "line", "bag").mapInPandas(run, "key long, id long, n long, bag long")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -292,7 +306,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def settled(lines: DataFrame) -> DataFrame:
-    """(b): ids of lines (id, line) near the earliest line that has one of their least grams; each meets SETTLING lines at most."""
+    """(b): ids of lines (id, line, bag) near the earliest line that has one of their least grams; each meets SETTLING lines at most."""
     own = materialise(least_grams(lines), "least-grams")
     first = own.groupBy(F.col("key").alias("of")).agg(F.min(F.struct("id", "n", "bag")).alias("first")).select(
         "of", F.col("first.id").alias("a"), F.col("first.n").alias("m"), F.col("first.bag").alias("seen"))
@@ -315,10 +329,11 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     its place from the left and that from the right can differ.
     """
     python_ready(lines.sparkSession)
-    lines = lines.where(F.length("line") >= CHARS_PER_EDIT)
+    lines = materialise(counted(lines.where(F.length("line") >= CHARS_PER_EDIT)), "distinct-lines")
     done = settled(lines)
     marked = materialise(lines.join(done, F.col("id") == F.col("b"), "left").select(
-        "id", "line", F.col("b").isNull().cast("int").alias("open")), "marked-lines")
+        "id", "line", "bag", F.col("b").isNull().cast("int").alias("open")), "marked-lines")
+    discard(lines)
     found = None
     for share in range(SHARES):
         index, look = keyed(marked, False, share).alias("i"), keyed(marked, True, share).alias("p")
@@ -354,14 +369,15 @@ def removals(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
     first = every.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # numbers that grow with the place; written before anything reads them, as they depend on how rows were dealt
-    first = materialise(materialise(first, "places").repartitionByRange("first").sortWithinPartitions("first").withColumn(
+    places = materialise(first, "places")
+    first = materialise(places.repartitionByRange("first").sortWithinPartitions("first").withColumn(
         "rank", F.monotonically_increasing_id()), "first")
+    discard(places)
     own = first.select(F.col("first.row").alias("r"), F.col("first.at").alias("t"), F.col("rank").alias("id"))
-    distinct = materialise(_occurrences(docs).select("row", "at", "line").where(F.length("line") >= CHARS_PER_EDIT).join(
+    distinct = _occurrences(docs).select("row", "at", "line").where(F.length("line") >= CHARS_PER_EDIT).join(
         own, (F.col("row") == F.col("r")) & (F.col("at") == F.col("t"))).groupBy("row", "at").agg(
-        F.first("id").alias("id"), F.first("line").alias("line")).select("id", "line"), "distinct-lines")
+        F.first("id").alias("id"), F.first("line").alias("line"))
     later = materialise(near_earlier(distinct).withColumnRenamed("b", "later"), "later")
-    discard(distinct)
     touched = materialise(first.join(later, F.col("rank") == F.col("later"), "left").where(
         (F.col("n") > 1) | F.col("later").isNotNull()).select(
         F.col("id").alias("i"), F.col("id2").alias("i2"), F.col("first.row").alias("r"), F.col("first.at").alias("t"),

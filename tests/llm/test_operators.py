@@ -459,6 +459,13 @@ def test_counts_of_characters_move_by_two_with_an_edit(spark):
     assert df.where(line_dedup._fits("x", "y", line_dedup.F.col("k"))).count() == len(rows)
 
 
+def test_least_grams_are_those_of_each_line_alone():
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abc ") for _ in range(rng.choice((12, 13, 24, 80, 700)))) for _ in range(60)]
+    together = line_dedup.least(lines)
+    assert all((together[i] == line_dedup.least([line])[0]).all() for i, line in enumerate(lines))
+
+
 def test_line_dedup_against_brute_force(spark, none):
     rng = random.Random(12)
     lines = [sentence(rng, rng.randint(3, 16)) for _ in range(50)] + ["short", "é" * 30, ""]
