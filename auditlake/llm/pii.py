@@ -1,11 +1,13 @@
 """Personal data: base patterns, and bootstrapped contextual extraction that grows from what they find.
 
-Validated base matches are seed entities.  The words around an entity, left,
-right or both, are lexical patterns; patterns and the identifier-like strings
-that they surround form a bipartite graph.  Scores go back and forth over it:
-a pattern is trusted as far as its instances are, an instance as far as its
-patterns.  Instances that no base pattern accepts, but trusted patterns
-surround, become further spans.  All of it is DataFrame and SQL functions.
+Validated base matches are seed entities.  The words around an entity, one or
+two to the left or right or one on both sides, are lexical patterns; patterns
+and the identifier-like strings that they surround form a bipartite graph.
+Scores go back and forth over it: a pattern is trusted as far as its instances
+are, an instance as far as its patterns.  Instances that no base pattern
+accepts, but trusted patterns surround, become further spans and support
+further patterns, until a round finds nothing new.  All of it is DataFrame and
+SQL functions.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, materialise
+from auditlake.llm.common import discard, documents, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 _GAP = "\\x20\\x09-\\x0D"
@@ -32,9 +34,10 @@ HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "(?:[0-9][\\x20-]?){13}",
 _NUMBER = "(?<![^" + _GAP + "])[(+]?[0-9](?:[().-]|\\x20(?=[(0-9])|[0-9]){5,}+(?![^" + _GAP + ".,;:!?])"
 _WORD = "(?:\\G|(?<![^" + _GAP + "]))[^" + _GAP + "0-9@]*+[0-9@][^" + _GAP + "]*+"
 TOKEN = "|".join(f"(?:{p})" for p in (*(PATTERNS[k] for k in ("email", "phone", "ip", "card")), _NUMBER, _WORD))
-CONTEXT_CHARS = 64
-#: A pattern needs so many distinct seeds; trust at which patterns and instances count.
-MIN_SEEDS, TRUST, ROUNDS = 3, 0.8, 3
+#: A pattern needs so many distinct believed instances, and this score to be trusted.
+MIN_SEEDS, TRUST = 3, 0.5
+#: Scores are whole numbers of this part, so that the order of adding does not matter.
+GRAIN = 1 << 20
 _STEP = 64
 
 
@@ -64,8 +67,25 @@ def accepted(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _around(i: Column) -> list[Column]:
+    """(left, left2, right, right2): the word and the two words on either side of token ``i``, lower case, empty where there are none.
+
+    Words are whole, however long.  A neighbouring token ends them: it counts
+    as one word, its digits as 0, an address as @.
+    """
+    gap, word, marks = f"[{_GAP}]", f"[^{_GAP}]", "[.,;:!?)\\]]"
+    plain = lambda m: F.when(m.contains("@"), F.lit("@")).otherwise(F.regexp_replace(m, "[0-9]+", "0"))
+    before = F.concat(F.when(i > 0, plain(F.get("m_tokens", i - 1))).otherwise(F.lit("")), F.get("p_tokens", i))
+    after = F.concat(F.get("p_tokens", i + 1), F.coalesce(plain(F.get("m_tokens", i + 1)), F.lit("")))
+    tidy = lambda x: F.lower(F.regexp_replace(x, f"{gap}+", " "))
+    return [tidy(F.regexp_extract(before, f"(?<!{word})({word}++){gap}*+\\z", 1)).alias("left"),
+            tidy(F.regexp_extract(before, f"(?<!{word})({word}++{gap}++{word}++){gap}*+\\z", 1)).alias("left2"),
+            tidy(F.regexp_extract(after, f"\\A{marks}*+{gap}*+({word}++)", 1)).alias("right"),
+            tidy(F.regexp_extract(after, f"\\A{marks}*+{gap}*+({word}++{gap}++{word}++)", 1)).alias("right2")]
+
+
 def _located(text: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
-    """Adds, per name, an array of (at, match, before, after): code point start, match, and the text on either side.
+    """Adds, per name, an array of (at, match), code point start and match; for ``tokens`` also the words on either side.
 
     Pieces between matches come from ``split``; starts are prefix sums over
     pieces and matches, formed in steps so that a text with very many matches
@@ -78,7 +98,6 @@ def _located(text: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame
         F.when(has[n], F.regexp_extract_all("_text", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{n}"),
         F.when(has[n], F.split("_text", p, -1)).otherwise(none).alias(f"p_{n}"))])
     whole = lambda a: F.aggregate(a, F.lit(0), lambda total, x: total + x)
-    tail = lambda x: F.substr(x, -F.least(F.length(x), F.lit(CONTEXT_CHARS)), F.lit(CONTEXT_CHARS))
     step = lambda i: F.floor(i / _STEP).cast("int")
 
     def lengths(n):
@@ -95,8 +114,7 @@ def _located(text: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame
     def located(n):
         return F.transform(f"m_{n}", lambda x, i: F.struct(
             (F.get(f"b_{n}", step(i)) + whole(F.slice(f"l_{n}", step(i) * _STEP + 1, i % _STEP)) + F.length(F.get(f"p_{n}", i))).alias("at"),
-            x.alias("match"), tail(F.get(f"p_{n}", i)).alias("before"),
-            F.substr(F.get(f"p_{n}", i + 1), F.lit(1), F.lit(CONTEXT_CHARS)).alias("after"))).alias(n)
+            x.alias("match"), *(_around(i) if n == "tokens" else []))).alias(n)
 
     for part in (lengths, chunks, before):
         df = df.select("*", *map(part, patterns))
@@ -111,17 +129,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     named = {k: (PATTERNS[k], HINTS[k]) for k in KINDS} | {"tokens": (TOKEN, "[0-9@]")}
     found = _located(text, named)
-    gap = f"[{_GAP}]"
     place = lambda m: F.struct(m["at"].alias("start"), (m["at"] + F.length(m["match"])).alias("end"))
 
     def passed(kind):
         return F.transform(F.filter(kind, lambda m: accepted(kind, m["match"])), place).alias(kind)
 
-    left = lambda s: F.lower(F.regexp_extract(s, f"(?<![^{_GAP}])([^{_GAP}]+){gap}+$", 1))
-    right = lambda s: F.lower(F.regexp_extract(s, f"^{gap}+([^{_GAP}]+)(?![^{_GAP}])", 1))
     tokens = F.transform("tokens", lambda m: F.struct(
         m["at"].alias("start"), (m["at"] + F.length(m["match"])).alias("end"), m["match"].alias("entity"),
-        left(m["before"]).alias("left"), right(m["after"]).alias("right")))
+        m["left"].alias("left"), m["left2"].alias("left2"), m["right"].alias("right"), m["right2"].alias("right2")))
     return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *map(passed, KINDS), tokens.alias("tokens"))
 
 
@@ -141,44 +156,54 @@ def plausible(kind: Column, entity: Column) -> Column:
         .when(kind == "card", (n >= 12) & (n <= 19)).otherwise((n >= 7) & (n <= 15))
 
 
-def induce(mentions: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(side, context, kind): the patterns trusted after scoring the graph of (entity, left, right, seed) mentions.
+def contexts() -> Column:
+    """The patterns (side, context) around a mention: one and two words on either side, and one on both."""
+    both = F.when((F.col("left") != "") & (F.col("right") != ""), F.concat_ws(" ", "left", "right")).otherwise(F.lit(""))
+    sides = (("l", F.col("left")), ("ll", F.col("left2")), ("r", F.col("right")), ("rr", F.col("right2")), ("b", both))
+    return F.filter(F.array(*[F.struct(F.lit(n).alias("side"), c.alias("context")) for n, c in sides]), lambda p: p["context"] != "")
+
+
+def induce(mentions: DataFrame, trust: float = TRUST, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(side, context, kind): the patterns trusted at the end of the bootstrap over (entity, seed, left, left2, right, right2).
 
-    A pattern's score is the share of trust among its distinct instances,
-    smoothed by one untrusted instance; an instance's score is the best of its
-    patterns; seeds keep score 1.  Only patterns with ``min_seeds`` distinct
-    seeds of a kind are scored, which leaves out the many chance neighbours.
+    Seeds are believed with score 1.  A round scores each pattern by the sum of
+    its believed distinct instances over all its distinct instances and one
+    more, where those that could be of the kind but are not believed count
+    half, and trusts it from ``trust`` on if ``min_seeds`` of them are believed;
+    then each plausible instance of a trusted pattern is believed with the best
+    score of its patterns.  What is believed stays so with the score that it
+    began with, so no pattern lifts itself.  Rounds end when one finds nobody
+    new; every round but the last believes at least one more string.
     """
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("context")),
-                              F.struct(F.lit("r").alias("side"), F.col("right").alias("context")),
-                              F.struct(F.lit("b").alias("side"), F.concat_ws(" ", "left", "right").alias("context"))))
-    usable = mentions.select("entity", "seed", "left", "right", sides.alias("p")).where(
-        ((F.col("p.side") == "l") & (F.col("left") != "")) | ((F.col("p.side") == "r") & (F.col("right") != ""))
-        | ((F.col("left") != "") & (F.col("right") != "")))
-    edges = materialise(usable.select("p.side", "p.context", "entity", "seed").distinct(), "edges")
-    seeds = edges.where(F.col("seed").isNotNull()).groupBy("side", "context", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds"))
-    strong = materialise(seeds.where(F.col("seeds") >= min_seeds).select(
-        F.col("side").alias("s"), F.col("context").alias("c"), "kind"), "strong")
+    edges = materialise(mentions.select("entity", "seed", F.explode(contexts()).alias("p")).select(
+        "p.side", "p.context", "entity", "seed").distinct(), "edges")
     here = (F.col("side") == F.col("s")) & (F.col("context") == F.col("c"))
-    graph = materialise(edges.join(strong, here).select("side", "context", "kind", "entity", (F.col("seed") == F.col("kind")).alias("own"),
-                                                        F.col("seed").isNotNull().alias("any")), "graph")
-    scores = None
-    for _ in range(rounds):
-        if scores is None:
-            believed = graph.withColumn("believed", F.lit(0.0))
-        else:
-            believed = graph.join(scores, (F.col("entity") == F.col("e")) & (F.col("kind") == F.col("k")), "left").withColumn(
-                "believed", F.coalesce("score", F.lit(0.0))).drop("e", "k", "score")
-        weight = F.when(F.coalesce("own", F.lit(False)), F.lit(1.0)).when(F.col("any"), F.lit(0.0)).otherwise(F.col("believed"))
-        # sums of multiples of 2^-20, so that the order of adding does not matter
-        grain = float(1 << 20)
-        patterns = materialise(believed.groupBy("side", "context", "kind").agg(
-            (F.sum(F.floor(weight * grain)) / grain / (F.count("*") + 1)).alias("score")), "patterns")
-        best = graph.where(~F.col("any")).join(
-            patterns.select(F.col("side").alias("s"), F.col("context").alias("c"), F.col("kind").alias("k"), "score"),
-            here & (F.col("kind") == F.col("k"))).groupBy("entity", "kind").agg(F.max("score").alias("score"))
-        scores = materialise(best.select(F.col("entity").alias("e"), F.col("kind").alias("k"), "score"), "scores")
-    return patterns.where(F.col("score") >= trust).select("side", "context", "kind")
+    # a pattern with fewer instances can never have enough that are believed
+    wide = edges.groupBy(F.col("side").alias("s"), F.col("context").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
+    kinds = F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.filter(
+        F.array(*map(F.lit, KINDS)), lambda k: F.coalesce(plausible(k, F.col("entity")), F.lit(False))))
+    graph = materialise(edges.join(wide, here).select(
+        "side", "context", "n", "entity", F.col("seed").isNotNull().alias("own"), F.explode(kinds).alias("kind")), "graph")
+    believed = materialise(graph.where("own").select(F.col("entity").alias("e"), F.col("kind").alias("k"), F.lit(GRAIN).cast("long").alias("score")).distinct(), "believed")
+    discard(edges)
+    known = (F.col("entity") == F.col("e")) & (F.col("kind") == F.col("k"))
+    while True:
+        patterns = materialise(graph.join(believed, known, "left").groupBy("side", "context", "kind").agg(
+            F.sum("score").alias("total"), F.count("score").alias("instances"), F.count("*").alias("possible"), F.first("n").alias("n")).select(
+            F.col("side").alias("s"), F.col("context").alias("c"), F.col("kind").alias("of"), "instances",
+            F.floor(2 * F.col("total") / (2 * (F.col("n") + 1) - (F.col("possible") - F.col("instances")))).alias("worth")).where(
+            (F.col("instances") >= min_seeds) & (F.col("worth") >= trust * GRAIN)), "patterns")
+        found = graph.where(~F.col("own")).join(patterns, here & (F.col("kind") == F.col("of"))).groupBy("entity", "kind").agg(
+            F.max("worth").alias("score"))
+        new = materialise(found.join(believed.select("e", "k"), known, "left_anti").select(
+            F.col("entity").alias("e"), F.col("kind").alias("k"), "score"), "new")
+        if new.isEmpty():
+            discard(graph)
+            return patterns.select(F.col("s").alias("side"), F.col("c").alias("context"), F.col("of").alias("kind"))
+        before, believed = believed, materialise(believed.union(new), "believed")
+        discard(before)
+        discard(new)
+        discard(patterns)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -192,10 +217,7 @@ def find(docs: DataFrame) -> DataFrame:
     mention = spans.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
     mention = materialise(mention.withColumn("seed", seed_kind(F.col("entity"))), "mentions")
     trusted = materialise(induce(mention), "trusted")
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("context")),
-                              F.struct(F.lit("r").alias("side"), F.col("right").alias("context")),
-                              F.struct(F.lit("b").alias("side"), F.concat_ws(" ", "left", "right").alias("context"))))
-    around = mention.where(F.col("seed").isNull()).select("row", "start", "end", "entity", sides.alias("p")).select(
+    around = mention.where(F.col("seed").isNull()).select("row", "start", "end", "entity", F.explode(contexts()).alias("p")).select(
         "row", "start", "end", "entity", "p.side", "p.context")
     hits = around.join(trusted.select(F.col("side").alias("s"), F.col("context").alias("c"), "kind"),
                        (F.col("side") == F.col("s")) & (F.col("context") == F.col("c"))).where(
