@@ -34,7 +34,7 @@ def shape(word: str) -> str:
         s = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 def _bucket(name: str, low: int) -> int:
@@ -83,7 +83,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 c = count(t or "")
                 hit = np.flatnonzero(c)
                 at.append(hit.astype("<u2").tobytes())
-                n.append(np.minimum(c[hit], 65535).astype("<u2").tobytes())
+                n.append(c[hit].astype("<u4").tobytes())
             yield pd.DataFrame({"doc_id": b["doc_id"], "has_id": b["has_id"], "at": at, "n": n})
 
     return split_id(docs, "text").mapInPandas(run, "doc_id long, has_id boolean, at binary, n binary")
@@ -107,7 +107,7 @@ def weighted(at: list[bytes], n: list[bytes], idf: np.ndarray) -> np.ndarray:
     """Rows of TF-IDF weights; words and shapes each have length 1."""
     x = np.zeros((len(at), 2 * BUCKETS), np.float32)
     for row, a, c in zip(x, at, n):
-        row[np.frombuffer(a, "<u2")] = 1 + np.log(np.frombuffer(c, "<u2"))
+        row[np.frombuffer(a, "<u2")] = 1 + np.log(np.frombuffer(c, "<u4"))
     x *= idf
     for half in (x[:, :BUCKETS], x[:, BUCKETS:]):
         half /= np.maximum(np.linalg.norm(half, axis=1, keepdims=True), 1e-12)
@@ -134,15 +134,16 @@ def score(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS,
     The score is the vote of the nearest labelled vectors, weighted by cosine,
     between 0 and 1; 0.5 where there is nothing to learn from.  Null and empty
     texts are scored by their layout marks like any other; repeated rows get
-    the same score; documents never vote by their id, source or language.
+    the same score, and of a labelled id with several texts the one with the
+    least counts votes; documents never vote by their id, source or language.
     """
     spark = docs.sparkSession
     counts = materialise(counted(docs), "counts")
     chosen = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = materialise(chosen.select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label")), "chosen")
-    sample = counts.where("has_id").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).dropDuplicates(["of"]) \
-        .select("of", "label", "at", "n").toPandas().sort_values("of")  # at most sample_rows rows
+    sample = counts.where("has_id").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("of", "label").agg(
+        F.min(F.struct("at", "n")).alias("least")).select("of", "label", "least.at", "least.n").toPandas().sort_values("of")  # at most sample_rows rows
     idf = np.log((1 + counts.count()) / (1 + document_frequencies(counts))).astype(np.float32) + 1
     if len(sample):
         x = weighted(sample["at"], sample["n"], idf)
