@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import discard, documents, materialise, python_ready
+from auditlake.llm.common import WORD_PATTERN, discard, documents, materialise, python_ready
 
-#: Shorter lines always stay; a line may have one edit per so many characters of the shorter line.
-MIN_CHARS, CHARS_PER_EDIT = 12, 24
+#: A line may have one edit per so many characters of the shorter line.
+CHARS_PER_EDIT = 24
 #: Characters whose hash is a key, and the multiplier of that hash.
 GRAM, FACTOR = 12, 0x2545F4914F6CDD1D
 #: Joins among which the keys are dealt; each holds so small a part of them in shuffle files.
@@ -37,8 +37,6 @@ SETTLING = 4
 CLASSES = 8
 #: Pairs of lines verified together, and steps after which those decided are left out.
 PAIRS, STEPS = 1024, 16
-#: Texts of candidates are joined by broadcasting their ids only below this count (16 bytes each).
-BROADCAST_IDS = 500_000
 
 
 def edits_allowed(chars):
@@ -295,8 +293,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             yield pd.DataFrame({"b": batch["b"].to_numpy(np.int64)[within_all(x, y, k)]})
 
     wanted = materialise(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct(), "candidate-ids")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = materialise(lines.join(few, F.col("id") == F.col("of")).select("of", "line"), "candidate-lines")
+    texts = materialise(lines.join(wanted, F.col("id") == F.col("of")).select("of", "line"), "candidate-lines")
     left = pairs.join(texts.select(F.col("of").alias("a"), F.col("line").alias("x")), "a")
     both = left.join(texts.select(F.col("of").alias("b"), F.col("line").alias("y")), "b")
     later = materialise(both.select("b", "x", "y").mapInPandas(run, "b long").distinct(), "near")
@@ -353,9 +350,9 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, at, line): lines long enough to be compared; row finds the document again."""
+    """(doc_id, row, at, line): lines with a word, of any length; row finds the document again."""
     return docs.where(F.col("text").isNotNull()).select(
-        "doc_id", _row(), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.length("line") >= MIN_CHARS)
+        "doc_id", _row(), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(WORD_PATTERN))
 
 
 def _row() -> Column:
@@ -393,8 +390,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` rows in a struct ``_row`` with the text that stays, n_lines, n_exact and n_near (lines gone).
 
     Documents stand in the order of doc_id, null last, then of a hash.  Lines
-    under MIN_CHARS characters, null and empty texts stay as they are; a text
-    of which all lines go becomes empty, its row stays.  Rows that repeat both
+    without a word, null and empty texts stay as they are; shorter lines than
+    CHARS_PER_EDIT are compared for equality only; a text of which all lines go becomes empty, its row stays.  Rows that repeat both
     doc_id and text share their lines and so keep them alike.
     """
     gone = removals(docs).select(F.col("row").alias("of"), "exact", "near")
