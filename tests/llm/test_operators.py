@@ -104,6 +104,62 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert not got[13]["found"] and len(got[14]["phone"]) == 1
 
 
+def test_pii_found_identifiers_induce_patterns(spark):
+    """Seeds trust Tel:, what stands there trusts Ring:, and so a number that no seed's pattern surrounds is found."""
+    rng = random.Random(3)
+    far = lambda: "".join(rng.choice("abcdefghijklmnopq") for _ in range(9))
+    texts = [f"{far()} Tel: +1 (301) 555-0{i:03d} {far()}" for i in range(20)]
+    texts += [f"{far()} Tel: 301-555-70{i:02d} {far()}" for i in range(6)] + [f"{far()} Ring: 301-555-70{i:02d} {far()}" for i in range(6)]
+    texts += [f"{far()} Ring: 301-555-9999 {far()}", f"{far()} Lot: 301-555-8888 {far()}"]
+    # a neighbour that holds a digit, one longer than any bound, and a list of addresses
+    texts += [f"{far()} Tel2: +1 (301) 555-1{i:03d} {far()}" for i in range(20)] + [f"{far()} Tel2: 301-555-6666 {far()}"]
+    texts += [f"{far()} {'w' * 200}: +1 (301) 555-2{i:03d} {far()}" for i in range(20)] + [f"{far()} {'w' * 200}: 301-555-5555 {far()}"]
+    texts += [f"{far()} {'w' * 199}: 301-555-4444 {far()}", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {texts[r["doc_id"]][s["start"]:s["end"]] for r in pii.find(clash(df)).collect() for s in r["found"]}
+    assert found == {f"301-555-70{i:02d}" for i in range(6)} | {"301-555-9999", "301-555-6666", "301-555-5555"}
+
+
+def test_pii_bootstrap_against_brute_force(spark):
+    """Trusted patterns of random mentions equal those of plain loops over sets."""
+    rng = random.Random(17)
+    seeds = {f"s{i}@x.org": "email" for i in range(12)} | {f"+1 301 555 0{i:03d}": "phone" for i in range(12)}
+    unseen = [f"u{i}@x" for i in range(12)] + [f"301-555-1{i:03d}" for i in range(12)] + [f"v{i}" for i in range(6)]
+    left, right = [f"l{i}" for i in range(9)] + [""], [f"r{i}" for i in range(9)] + [""]
+    for spread in (2, 4, 9):
+        rows_ = []
+        for n, e in enumerate([*seeds, *unseen]):
+            for _ in range(3):
+                at = (n // 6 + rng.randint(0, spread)) % 10
+                rows_.append((e, seeds.get(e), left[at], f"a {left[at]}" if left[at] else "", right[(at + rng.randint(0, 2)) % 10], ""))
+        groups = {}
+        for e, _, l, ll, r, _ in rows_:
+            for p in (("l", l), ("ll", ll), ("r", r), ("b", f"{l} {r}" if l and r else "")):
+                if p[1]:
+                    groups.setdefault(p, set()).add(e)
+        may = lambda e, k: seeds[e] == k if e in seeds else "@" in e if k == "email" else k == "phone" and e.startswith("301-")
+        belief = {(e, k): pii.GRAIN for e, k in seeds.items()}
+        while True:
+            worth = {}
+            for p, held in groups.items():
+                for k in ("email", "phone"):
+                    known = [belief[e, k] for e in held if (e, k) in belief]
+                    open_ = sum(may(e, k) for e in held) - len(known)
+                    score = int(2 * sum(known) / (2 * (len(held) + 1) - open_))
+                    if len(known) >= pii.MIN_SEEDS and score >= pii.TRUST * pii.GRAIN:
+                        worth[p, k] = score
+            new = {}
+            for (p, k), score in worth.items():
+                for e in groups[p]:
+                    if e not in seeds and may(e, k) and (e, k) not in belief:
+                        new[e, k] = max(new.get((e, k), 0), score)
+            if not new:
+                break
+            belief |= new
+        df = spark.createDataFrame(rows_, "entity string, seed string, left string, left2 string, right string, right2 string")
+        assert {((r["side"], r["context"]), r["kind"]) for r in pii.induce(df).collect()} == set(worth) and worth
+
+
 # -- 2 quality classifier ------------------------------------------------------------------------
 
 def test_quality_classifier(spark, docs, none):
@@ -111,7 +167,8 @@ def test_quality_classifier(spark, docs, none):
     good = [(i, sentence(rng, 60) + ".") for i in range(120)]
     bad = [(1000 + i, " ".join(w + rng.choice(["###", "$$$"]) for w in sentence(rng, 60).split())) for i in range(60)]
     table = spark.createDataFrame(good + bad + [(5000, None), (5001, ""), (None, "the house")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1) for i, _ in good[:60]] + [(i, 0) for i, _ in bad[:30]] + [(None, 1), (7, None)],
+    assert quality_knn.shape("a1" * 20 + "B") != quality_knn.shape("a1" * 20 + "#")
+    labels = spark.createDataFrame([(5000, 0), (5001, 0)] + [(i, 1) for i, _ in good[:60]] + [(i, 0) for i, _ in bad[:30]] + [(None, 1), (7, None)],
                                    "doc_id long, label int")
     got = {r["doc_id"]: r["score"] for r in quality_knn.score(clash(table), labels).collect()}
     assert len(got) == 183 and all(0 <= s <= 1 for s in got.values())
@@ -468,7 +525,7 @@ def test_least_grams_are_those_of_each_line_alone():
 
 def test_line_dedup_against_brute_force(spark, none):
     rng = random.Random(12)
-    lines = [sentence(rng, rng.randint(3, 16)) for _ in range(50)] + ["short", "é" * 30, ""]
+    lines = [sentence(rng, rng.randint(3, 16)) for _ in range(50)] + ["short", "é" * 30, "", " \t", "}", "é"]
     lines += [edited(rng, line, rng.randint(1, 3)) for line in lines[:40]]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 8))) for _ in range(60)]
     table = [*enumerate(texts), (60, None), (61, ""), (None, texts[0]), (5, texts[5])]
@@ -476,7 +533,7 @@ def test_line_dedup_against_brute_force(spark, none):
     first, near = {}, set()
     for i, t in [*enumerate(texts), (10 ** 9, texts[0])]:
         for at, line in enumerate(t.split("\n")):
-            if len(line) >= line_dedup.MIN_CHARS:
+            if words(line):
                 first.setdefault(line, (i, at))
     for a in first:
         for b in first:
@@ -488,7 +545,7 @@ def test_line_dedup_against_brute_force(spark, none):
     for r in got:
         i, t = r["_row"]["doc_id"], r["_row"]["text"]
         place = 10 ** 9 if i is None else i
-        want = t if t is None else "\n".join(line for at, line in enumerate(t.split("\n")) if len(line) < line_dedup.MIN_CHARS
+        want = t if t is None else "\n".join(line for at, line in enumerate(t.split("\n")) if not words(line)
                                              or first[line] == (place, at) and line not in near)
         assert r["text"] == want
     assert line_dedup.dedup_lines(none).count() == 0
