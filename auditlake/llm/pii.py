@@ -35,7 +35,7 @@ _NUMBER = "(?<![^" + _GAP + "])[(+]?[0-9](?:[().-]|\\x20(?=[(0-9])|[0-9]){5,}+(?
 _WORD = "(?:\\G|(?<![^" + _GAP + "]))[^" + _GAP + "0-9@]*+[0-9@][^" + _GAP + "]*+"
 TOKEN = "|".join(f"(?:{p})" for p in (*(PATTERNS[k] for k in ("email", "phone", "ip", "card")), _NUMBER, _WORD))
 #: A pattern needs so many distinct believed instances, and this score to be trusted.
-MIN_SEEDS, TRUST = 3, 0.5
+MIN_SEEDS, TRUST = 5, 0.5
 #: Scores are whole numbers of this part, so that the order of adding does not matter.
 GRAIN = 1 << 20
 _STEP = 64
@@ -157,10 +157,13 @@ def plausible(kind: Column, entity: Column) -> Column:
 
 
 def contexts() -> Column:
-    """The patterns (side, context) around a mention: one and two words on either side, and one on both."""
+    """The patterns (side, context) around a mention: one and two words on either side, and one on both.
+
+    A pattern holds a letter; marks and numbers alone are next to anything.
+    """
     both = F.when((F.col("left") != "") & (F.col("right") != ""), F.concat_ws(" ", "left", "right")).otherwise(F.lit(""))
     sides = (("l", F.col("left")), ("ll", F.col("left2")), ("r", F.col("right")), ("rr", F.col("right2")), ("b", both))
-    return F.filter(F.array(*[F.struct(F.lit(n).alias("side"), c.alias("context")) for n, c in sides]), lambda p: p["context"] != "")
+    return F.filter(F.array(*[F.struct(F.lit(n).alias("side"), c.alias("context")) for n, c in sides]), lambda p: p["context"].rlike("\\p{L}"))
 
 
 def induce(mentions: DataFrame, trust: float = TRUST, min_seeds: int = MIN_SEEDS) -> DataFrame:
