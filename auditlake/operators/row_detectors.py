@@ -118,24 +118,28 @@ def _explode_items(rows: DataFrame, items: list) -> DataFrame:
 
 def fused_signin_findings(signin: DataFrame, files: DataFrame | None = None, rules=None) -> DataFrame:
     """Risky sign-ins (1), legacy auth (2) and sign-in rules (10) in one pass over ``signin``."""
-    from .rules import rule_items, validate_rules, SIGNIN_TEXT
+    from .rules import indexed_findings, rule_items, split_rules, validate_rules, SIGNIN_TEXT
     rows = with_file_sha(signin, files).withColumn("_ok", P.signin_success())
     items = [F.when(P.risk_flagged(), F.struct(F.lit(1).alias("no"), risky_struct().alias("f"))),
              F.when(P.legacy_client(), F.struct(F.lit(2).alias("no"), legacy_struct(F.col("_ok")).alias("f")))]
-    rs = [r for r in validate_rules(rules) if r.family == "signin"] if rules else []
+    rs, looked_up = split_rules([r for r in validate_rules(rules) if r.family == "signin"] if rules else [])
     if rs:
         rows, extra = rule_items(rows, rs, SIGNIN_TEXT, ["app", "client_app"], 10)
         items += extra
-    return _explode_items(rows, items)
+    found = _explode_items(rows, items)
+    return found.unionByName(indexed_findings(signin, looked_up, SIGNIN_TEXT, ["app", "client_app"], files).withColumn(
+        "detector_no", F.lit(10))) if looked_up else found
 
 
 def fused_ual_findings(ual: DataFrame, files: DataFrame | None = None, rules=None) -> DataFrame:
     """Suspicious audit operations (7) and audit rules (10) in one pass over ``ual``."""
-    from .rules import rule_items, validate_rules, UAL_TEXT
-    rs = [r for r in validate_rules(rules) if r.family == "ual"] if rules else []
+    from .rules import indexed_findings, rule_items, split_rules, validate_rules, UAL_TEXT
+    rs, looked_up = split_rules([r for r in validate_rules(rules) if r.family == "ual"] if rules else [])
     rows = with_file_sha(ual_suspicious_rows(ual, keep_all=bool(rs)), files)
     items = [F.when(F.col("_susp"), F.struct(F.lit(7).alias("no"), ual_struct().alias("f")))]
     if rs:
         rows, extra = rule_items(rows, rs, UAL_TEXT, ["operation"], 10)
         items += extra
-    return _explode_items(rows, items)
+    found = _explode_items(rows, items)
+    return found.unionByName(indexed_findings(ual, looked_up, UAL_TEXT, ["operation"], files).withColumn("detector_no", F.lit(10))) \
+        if looked_up else found

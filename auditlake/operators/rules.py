@@ -1,15 +1,18 @@
 """User-defined rules: ``contains_any`` AND ``contains_all`` AND ``regex`` over a row text.
 
-Rules are configuration (a short list given by the analyst), so they are
+Rules are configuration (a list given by the analyst).  A short one is
 compiled into Column expressions: one pass over the events evaluates every
-rule, builds the array of matching rule indexes and explodes it.  No join
-between rules and events is needed, and the literal ``contains`` tests run
-before any regex.
+rule, builds the array of matching rule indexes and explodes it, without a join,
+and the literal ``contains`` tests run before any regex.  Of a long one, the
+rules that cannot match without some literal go through an inverted index: the
+rarest gram of each such literal is joined with the grams of the row texts, and
+only the rules that a row meets there are evaluated on it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +23,12 @@ from ..functions.text import contains_all, contains_any, nz
 from ..schema import finding_struct
 from .lookup import with_file_sha
 
-MAX_RULES = 10_000
+#: Rules that a DataFrame may bring to the driver; more are an error.
+MAX_RULES = 1_000_000
+#: More rules with literals than this are looked up by their grams.
+COMPILED_RULES = 64
+#: Characters of a gram.
+GRAM = 3
 
 
 @dataclass
@@ -99,30 +107,104 @@ SIGNIN_TEXT = ["app", "client_app", "status", "result_type", "error_code", "fail
 UAL_TEXT = ["operation", "auditdata"]
 
 
-def _rule_struct(r: Rule, ev_cols: list[str]) -> Column:
-    rule_json = json.dumps(r.source, ensure_ascii=False, default=str)
-    ev = F.struct(F.parse_json(F.lit(rule_json)).alias("rule"), *[nz(c).alias(c) for c in ev_cols])
+def _rule_struct(name, severity, category, title, description, source, ev_cols: list[str]) -> Column:
+    ev = F.struct(F.parse_json(source).alias("rule"), *[nz(c).alias(c) for c in ev_cols])
     return finding_struct(
-        finding_id=F.concat(F.lit(f"RULE-{r.name}-"), F.col("file_id").cast("string"), F.lit("-"),
+        finding_id=F.concat(F.lit("RULE-"), name, F.lit("-"), F.col("file_id").cast("string"), F.lit("-"),
                             F.col("rownum").cast("string")),
-        severity=r.severity, category=r.category, title=r.title, timestamp=nz("ts_iso"), user=nz("user"),
+        severity=severity, category=category, title=title, timestamp=nz("ts_iso"), user=nz("user"),
         ip=nz("ip"), country="", file=F.col("file_id").cast("string"), rownum=F.col("rownum").cast("string"),
-        sha256=nz("sha256"), details=r.description, evidence=ev)
+        sha256=nz("sha256"), details=description, evidence=ev)
+
+
+def _fields(r: Rule) -> tuple:
+    return r.name, r.severity, r.category, r.title, r.description, json.dumps(r.source, ensure_ascii=False, default=str)
+
+
+def with_rule_text(rows: DataFrame, text_cols: list[str]) -> DataFrame:
+    """Add the text that rules see (``_t``) and its lower case (``_tl``)."""
+    return (rows.withColumn("_t", F.concat_ws("\n", *[nz(c) for c in text_cols]))
+            .withColumn("_tl", F.lower(F.col("_t"))))
 
 
 def rule_items(rows: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list[str], no: int):
     """Add the rule text columns to ``rows``; return (rows, [when(match, struct(no, finding))])."""
-    rows = (rows.withColumn("_t", F.concat_ws("\n", *[nz(c) for c in text_cols]))
-            .withColumn("_tl", F.lower(F.col("_t"))))
+    rows = with_rule_text(rows, text_cols)
     items = [F.when(rule_predicate(r, F.col("_t"), F.col("_tl")),
-                    F.struct(F.lit(no).alias("no"), _rule_struct(r, ev_cols).alias("f"))) for r in rules]
+                    F.struct(F.lit(no).alias("no"), _rule_struct(*map(F.lit, _fields(r)), ev_cols).alias("f"))) for r in rules]
     return rows, items
 
 
+def required_runs(regex: str) -> list[str]:
+    """Lower-case ASCII runs that any match of the regex holds; none where groups, classes or choices leave that open."""
+    if not regex.isascii() or re.search(r"[|()\[\]{}\\]", regex):
+        return []
+    runs = re.finditer(r"[A-Za-z0-9 _@:=,;/-]+", regex)
+    return [(m.group()[:-1] if regex[m.end():m.end() + 1] in ("?", "*") else m.group()).lower() for m in runs]
+
+
+def anchors(rule: Rule) -> list[str]:
+    """Lower-case literals of GRAM characters or more, one of which every matching text holds; empty where none are sure."""
+    choices = [[w.lower()] for w in rule.contains_all] + [[w] for w in required_runs(rule.regex or "")]
+    if rule.contains_any:
+        choices.append([w.lower() for w in rule.contains_any])
+    usable = [c for c in choices if min(map(len, c)) >= GRAM]
+    return max(usable, key=lambda c: (min(map(len, c)), -len(c)), default=[])
+
+
+def split_rules(rules: list[Rule]) -> tuple[list[Rule], list[Rule]]:
+    """(compiled, looked up): few rules are all compiled, of many those without anchors."""
+    anchored = [r for r in rules if anchors(r)]
+    if len(anchored) <= COMPILED_RULES:
+        return rules, []
+    return [r for r in rules if not anchors(r)], anchored
+
+
+def indexed_findings(df: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list[str], files) -> DataFrame:
+    """Findings of rules that have anchors, by an inverted index of the anchors' rarest grams.
+
+    A gram's frequency is the number of rows that hold it, among the grams of
+    the anchors.  Rows travel as (file_id, rownum) until the rules that share a
+    gram with them are known, at most one number per rule; equal keys share
+    their candidates, each row is then verified on its own text.
+    """
+    spark = df.sparkSession
+    table = spark.createDataFrame(
+        [(i, *_fields(r), [w.lower() for w in r.contains_any], [w.lower() for w in r.contains_all], "(?i)" + r.regex if r.regex else None)
+         for i, r in enumerate(rules)],
+        "_no int, _name string, _severity string, _category string, _title string, _description string, _source string, "
+        "_any array<string>, _all array<string>, _regex string")
+    grams = spark.createDataFrame(
+        sorted({(i, w, w[at:at + GRAM]) for i, r in enumerate(rules) for w in anchors(r) for at in range(len(w) - GRAM + 1)}),
+        "rule int, word string, gram string")
+    rows = with_rule_text(df, text_cols)
+    held = rows.select("file_id", "rownum", F.explode(F.array_distinct(
+        F.regexp_extract_all("_tl", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("held"))
+    wanted = grams.select(F.col("gram").alias("wanted")).distinct()
+    common = held.join(wanted, F.col("held") == F.col("wanted")).groupBy("wanted").agg(F.count("*").alias("n"))
+    rarest = grams.join(common, F.col("gram") == F.col("wanted"), "left").groupBy("rule", "word").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).select("rule", F.col("least.gram").alias("key")).distinct()
+    met = held.join(rarest, F.col("held") == F.col("key")).groupBy(
+        F.col("file_id").alias("_file"), F.col("rownum").alias("_rownum")).agg(F.collect_set("rule").alias("_met"))
+    same = F.col("file_id").eqNullSafe(F.col("_file")) & F.col("rownum").eqNullSafe(F.col("_rownum"))
+    pairs = rows.join(met, same).withColumn("_rule", F.explode("_met")).join(table, F.col("_rule") == F.col("_no"))
+    matches = pairs.where(
+        ((F.size("_any") == 0) | F.exists("_any", lambda w: F.col("_tl").contains(w)))
+        & F.forall("_all", lambda w: F.col("_tl").contains(w))
+        & (F.col("_regex").isNull() | F.regexp_like("_t", F.col("_regex"))))
+    fields = [F.col(c) for c in ("_name", "_severity", "_category", "_title", "_description", "_source")]
+    return with_file_sha(matches, files).select(_rule_struct(*fields, ev_cols).alias("f")).select("f.*")
+
+
 def _apply(df: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list[str], files) -> DataFrame:
-    rows, items = rule_items(with_file_sha(df, files), rules, text_cols, ev_cols, 10)
+    compiled, looked_up = split_rules(rules)
+    found = indexed_findings(df, looked_up, text_cols, ev_cols, files) if looked_up else None
+    if not compiled:
+        return found
+    rows, items = rule_items(with_file_sha(df, files), compiled, text_cols, ev_cols, 10)
     arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return rows.select(F.explode(arr).alias("_it")).select("_it.f.*")
+    tried = rows.select(F.explode(arr).alias("_it")).select("_it.f.*")
+    return tried if found is None else tried.unionByName(found)
 
 
 def det_rules_ual(ual: DataFrame, rules, files: DataFrame | None = None) -> DataFrame | None:

@@ -48,3 +48,48 @@ def test_rules_from_dataframe(spark):
     rs = validate_rules(df)
     assert [(r.name, r.family, r.severity, r.contains_all, r.regex) for r in rs] == [
         ("r", "ual", "low", ["a", "b"], "x+")]
+
+
+def test_many_rules_by_index_equal_compiled_rules(spark, monkeypatch):
+    import random
+    from pyspark.sql import functions as F
+    from auditlake.operators import rules as R
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeXé") for _ in range(rng.randint(2, 5)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(80)] + ["", "\U0001f600abc", None]
+    ual = spark.createDataFrame([(1 + i % 3, i // 2, "", "u", "", "op" if i % 5 else "Add", t) for i, t in enumerate(texts)],
+                                "file_id int, rownum long, ts_iso string, user string, ip string, operation string, auditdata string")
+    rules = [{"name": "all", "family": "ual"}, {"name": "grp", "family": "ual", "match": {"regex": "(ab|cd)e"}}]
+    for i in range(60):
+        match = {}
+        if i % 3 == 0 or i % 7 == 0:
+            match["contains_any"] = [word() for _ in range(rng.randint(1, 3))]
+        if i % 3 == 1:
+            match["contains_all"] = [word()[:3] for _ in range(rng.randint(1, 2))]
+        if i % 3 == 2 or i % 11 == 0:
+            match["regex"] = rng.choice(["a", "ab", "cde", "X"]) + rng.choice([".*", "?", "*", "+", ""]) + rng.choice(["ab", "dec", "Xa", "e$"])
+        rules.append({"name": f"r{i}", "family": "ual", "severity": "high", "match": match})
+    monkeypatch.setattr(R, "COMPILED_RULES", 1000)
+    want = sorted(map(tuple, R.det_rules_ual(ual, rules).collect()))
+    monkeypatch.setattr(R, "COMPILED_RULES", 5)
+    compiled, looked_up = R.split_rules(R.validate_rules(rules))
+    assert len(looked_up) > 15 and len(compiled) > 5
+    got = R.det_rules_ual(ual, rules).collect()
+    assert sorted(map(tuple, got)) == want
+    assert {r["finding_id"].split("-")[1] for r in got} & {r.name for r in looked_up}
+    assert R.det_rules_ual(ual.where(F.lit(False)), rules).count() == 0
+
+
+def test_ten_thousand_rules_plan_in_seconds(spark):
+    import time
+    from auditlake.operators import rules as R
+    from auditlake.sources import adapters
+    _, ual, files = adapters.load_tables(spark, SF001)
+    rules = [{"name": f"r{i}", "family": "ual", "match": {"contains_any": [f"needle{i}", f"mailbox{i}"]}} for i in range(10_000)]
+    rules.append({"name": "hit", "family": "ual", "match": {"contains_any": [ual.where("length(operation) > 3").first()["operation"]]}})
+    begin = time.time()
+    found = R.det_rules_ual(ual, rules, files)
+    found._jdf.queryExecution().executedPlan()
+    assert time.time() - begin < 20
+    want = R.det_rules_ual(ual, rules[-1:], files)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
