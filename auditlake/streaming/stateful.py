@@ -1,8 +1,8 @@
 """Keyed state of the streaming detectors: processors for ``transformWithState``.
 
-State lies in small entries (RocksDB), one per distinct value or per minute of
-waiting rows, so that a batch touches what it changes and not all that a key
-holds.  Event-time timers remove it.
+State lies in small entries (RocksDB), one per distinct value or per piece of
+an hour of waiting rows, so that a batch touches what it changes and not all
+that a key holds.  Event-time timers remove it.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CAMPAIGN_OUT = "key string, bucket long, fails long, n_other long, min_ts long, max_ts long"
 SAF_OUT = "user string, ts_epoch long, file_id long, rownum long, ip string, fail_count long"
-#: Seconds of waiting rows in one entry.
-MINUTE = 60
+#: Seconds, and rows, of waiting rows that an entry holds at most.
+SLOT, ENTRY_ROWS = 3600, 4096
 
 
 def use_keyed_state(spark: SparkSession) -> None:
@@ -85,10 +85,11 @@ def emissions(fails: np.ndarray, at: np.ndarray, before: np.ndarray, window: int
 
 
 class SuccessAfterFailures(StatefulProcessor):
-    """Rows wait by the minute until the watermark has passed them; the live failures of a user are a list.
+    """Rows wait in entries of an hour until the watermark has passed them; the live failures of a user are a list.
 
-    A timer at the newest row of each minute brings on what is due, one behind
-    the last failure clears the list.
+    A batch adds entries and reads none.  A user has one timer: at its first
+    waiting row, which brings on all that is due then, or, while nothing waits,
+    behind its last failure, which clears the list.
     """
 
     COLUMNS = ["ts_epoch", "file_id", "rownum", "f", "ip"]
@@ -98,37 +99,57 @@ class SuccessAfterFailures(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "minute long", "ts_epoch array<long>, file_id array<long>, rownum array<long>, "
-                                                                    "f array<boolean>, ip array<string>")
+        self.waiting = handle.getMapState("waiting", "slot long, part long", "low long, ts_epoch array<long>, file_id array<long>, "
+                                                                             "rownum array<long>, f array<boolean>, ip array<string>")
+        self.known = handle.getValueState("known", "parts long, timer long")
         self.fails = handle.getListState("fails", "ts long")
 
-    def _put(self, minute: int, rows: pd.DataFrame) -> None:
-        self.waiting.updateValue((minute,), tuple(rows[c].tolist() for c in self.COLUMNS))
-        self.handle.registerTimer(int(rows["ts_epoch"].max()) * 1000)
-
-    def _held(self, minute: int) -> pd.DataFrame:
-        return pd.DataFrame({c: list(v) for c, v in zip(self.COLUMNS, self.waiting.getValue((minute,)))})
+    def _put(self, rows: pd.DataFrame, parts: int) -> int:
+        """Stores rows in entries numbered from ``parts`` on; the next free number."""
+        rows = rows.sort_values("ts_epoch", kind="stable")
+        columns = [rows[c].tolist() for c in self.COLUMNS]
+        slots = rows["ts_epoch"].to_numpy(np.int64) // SLOT
+        edges = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(rows)]
+        for start, stop in zip(edges, edges[1:]):
+            for at in range(start, stop, ENTRY_ROWS):
+                own = [c[at:min(at + ENTRY_ROWS, stop)] for c in columns]
+                self.waiting.updateValue((int(slots[at]), parts), (own[0][0], *own))
+                parts += 1
+        return parts
+
+    def _set_timer(self, parts: int, old: int | None, new: int) -> None:
+        """Keeps one timer, at the second ``new``."""
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old * 1000)
+            self.handle.registerTimer(new * 1000)
+        self.known.update((parts, new))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat([p[self.COLUMNS] for p in rows])
-        for minute, own in new.groupby(new["ts_epoch"] // MINUTE):
-            minute = int(minute)
-            self._put(minute, pd.concat([self._held(minute), own]) if self.waiting.containsKey((minute,)) else own)
+        parts, timer = tuple(self.known.get()) if self.known.exists() else (0, None)
+        first = int(new["ts_epoch"].min())
+        self._set_timer(self._put(new, parts), timer, first if timer is None else min(timer, first))
         yield self._out(key, new[:0], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000
-        ready = [pd.DataFrame({c: [] for c in self.COLUMNS})]
-        for (minute,) in sorted(tuple(k) for k in self.waiting.keys()):
-            if minute * MINUTE > passed:
-                break
-            held = self._held(minute)
+        parts = int(self.known.get()[0])
+        ready, later = [pd.DataFrame({c: [] for c in self.COLUMNS})], []
+        for slot, part in sorted(tuple(k) for k in self.waiting.keys()):
+            if slot * SLOT > passed:
+                later.append((slot, part))
+                continue
+            held = pd.DataFrame({c: list(v) for c, v in zip(self.COLUMNS, self.waiting.getValue((slot, part))[1:])})
             due = held["ts_epoch"] <= passed
+            if not due.any():
+                later.append((slot, part))
+                continue
             ready.append(held[due])
-            if due.all():
-                self.waiting.removeKey((minute,))
-            else:
-                self._put(minute, held[~due])
+            self.waiting.removeKey((slot, part))
+            if not due.all():
+                later.append((slot, parts))
+                parts = self._put(held[~due], parts)
         rows = pd.concat([r for r in ready if len(r)] or ready).astype({"ts_epoch": "int64", "file_id": "int64", "rownum": "int64", "f": bool})
         rows = rows.sort_values(["ts_epoch", "file_id", "rownum"], kind="stable", ignore_index=True)
         live = np.array([int(x[0]) for x in self.fails.get()] if self.fails.exists() else [], np.int64)
@@ -146,8 +167,15 @@ class SuccessAfterFailures(StatefulProcessor):
                 self.fails.clear()
         elif len(left) > len(live):
             self.fails.appendList([(int(x),) for x in left[len(live):]])
-        if len(left):
-            self.handle.registerTimer((int(left[-1]) + self.window + 1) * 1000)
+        if later:
+            first = later[0][0]  # entries of one slot, the first that waits, tell the row that is due next
+            after = min(int(self.waiting.getValue(k)[0]) for k in later if k[0] == first)
+        else:
+            after = int(left[-1]) + self.window + 1 if len(left) else None
+        if after is None:
+            self.known.clear()
+        else:  # the timer that expired is gone after this call
+            self._set_timer(parts, None, after)
         yield self._out(key, good.iloc[[i for i, _ in found]], [n for _, n in found])
 
     def _out(self, key, rows: pd.DataFrame, counts: list[int]) -> pd.DataFrame:

@@ -119,6 +119,24 @@ def test_stream_saf_state_goes_to_zero(spark):
     assert max(rows) < 30 and rows[-1] <= 4  # the last success waits, with its timer
 
 
+def test_stream_saf_waits_in_few_entries(spark):
+    """A user with events in many minutes over several batches keeps a timer and entries by the hour, and the batch twin's results."""
+    from auditlake.streaming import stateful
+    rows = [("a@x", 1_000_000 + 61 * i, "0" if i % 9 == 8 else "50126", "") for i in range(600)]
+    st, d = _parts(spark, [rows[i::3] for i in range(3)] + [[("z@x", 2_000_000, "0", "")]])
+    q = (streams.stream_success_after_failures(st, 30, 3, watermark="1 day").writeStream.outputMode("append").format("memory")
+         .queryName("saf_few").trigger(availableNow=True).start())
+    q.awaitTermination()
+    whole = spark.read.parquet(f"{d}/in")
+    want = sequence.det_success_after_failures(whole, None, 30, 3).select("user", F.col("rownum").cast("long"), "timestamp",
+                                                                          F.split("details", " ")[0].cast("long"))
+    got = spark.sql("SELECT user, rownum, ts_epoch, fail_count FROM saf_few").collect()
+    assert sorted((r["ts_epoch"], r["fail_count"]) for r in got) == [(1_000_000 + 61 * i, 8) for i in range(8, 600, 9)]
+    assert len(got) == want.count()
+    hours = (61 * 600) // stateful.SLOT + 2
+    assert max(_state_rows(q)) <= 3 * hours + 10
+
+
 def test_stream_campaign_state_is_small_entries(spark):
     """A bucket of one address with many users over several batches: right counts, and state that ends with the bucket."""
     batches = [[(f"u{i}@x", 1000 + i, "50126", "", "9.9.9.9") for i in range(k, k + 40)] for k in (0, 20, 60)] + [[("z@x", 900000, "50126", "", "1.1.1.1")]] * 2
