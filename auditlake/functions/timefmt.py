@@ -13,26 +13,37 @@ from .text import col_
 
 DAY = 86400
 
-# Ordered parse formats for text timestamps that do not follow ISO-8601
-# (ISO strings are handled by the cast path first).
-_ZONED_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]XXX",
-    "yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS]XXX",
-    "yyyy/MM/dd HH:mm[:ss][.SSSSSSSSS]XXX",
-    "M/d/yyyy h:mm[:ss] aXXX",
-    "M/d/yyyy H:mm[:ss]XXX",
-    "d.M.yyyy H:mm[:ss]XXX",
-    "yyyy-MM-ddXXX",
-    "M/d/yyyyXXX",
-    "d-MMM-yyyy H:mm[:ss]XXX",
-    "d MMM yyyy H:mm[:ss]XXX",
-    "MMM d, yyyy h:mm[:ss] aXXX",
-    "MMM d, yyyy H:mm[:ss]XXX",
-    "yyyy-MM-dd h:mm[:ss] aXXX",
-    "yyyyMMdd'T'HHmmssXXX",
-    "d-MMM-yyyyXXX",
-    "MMM d, yyyyXXX",
-]
+# Parse formats for text timestamps that do not follow ISO-8601 (ISO strings are handled by the cast
+# path first), ordered, by the beginning that a text needs for any of them: a format that fails costs an
+# exception, so a text meets only those it can fit.  No text has two of these beginnings.
+_ZONED_FORMATS = {
+    r"^[-+]?\d+-\d": [
+        "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]XXX",
+        "yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS]XXX",
+        "yyyy-MM-ddXXX",
+        "yyyy-MM-dd h:mm[:ss] aXXX",
+    ],
+    r"^[-+]?\d{4,}/": ["yyyy/MM/dd HH:mm[:ss][.SSSSSSSSS]XXX"],
+    r"^[-+]?\d{1,3}/": [
+        "M/d/yyyy h:mm[:ss] aXXX",
+        "M/d/yyyy H:mm[:ss]XXX",
+        "M/d/yyyyXXX",
+    ],
+    r"^[-+]?\d+\.[-+]?\d+\.[-+]?\d{4}": ["d.M.yyyy H:mm[:ss]XXX"],
+    r"^[-+]?\d+-[A-Za-z]": [
+        "d-MMM-yyyy H:mm[:ss]XXX",
+        "d-MMM-yyyyXXX",
+    ],
+    r"^[-+]?\d+ [A-Za-z]": ["d MMM yyyy H:mm[:ss]XXX"],
+    r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) ": [
+        "MMM d, yyyy h:mm[:ss] aXXX",
+        "MMM d, yyyy H:mm[:ss]XXX",
+        "MMM d, yyyyXXX",
+    ],
+    r"(?i)^[-+]?\d+T": ["yyyyMMdd'T'HHmmssXXX"],
+}
+#: What a text begins with that may be cast to a timestamp or fits a numeric format.
+_NUMERIC = r"^[\x00-\x20\x7f]*[-+Tt:]*\d"
 
 _HAS_ZONE = r"(?i)(\d\s*(z|utc|gmt)|\d\s*[+-]\d{2}:?\d{2})$"
 
@@ -92,8 +103,9 @@ def parse_epoch(text, digits: bool = True) -> Column:
     # one lambda over the text: the formats are written out once, not with the whole text expression each
 
     def formats(z):
-        return F.coalesce(F.try_to_timestamp(F.regexp_replace(z, r"(?i)\s*(utc|gmt)$", "Z")),
-                          *[F.try_to_timestamp(z, F.lit(fmt)) for fmt in _ZONED_FORMATS])
+        cast = F.when(z.rlike(_NUMERIC), F.try_to_timestamp(F.regexp_replace(z, r"(?i)\s*(utc|gmt)$", "Z")))
+        return F.coalesce(cast, *[F.when(z.rlike(begin), F.coalesce(*[F.try_to_timestamp(z, F.lit(fmt)) for fmt in own]))
+                                  for begin, own in _ZONED_FORMATS.items()])
 
     ts = F.coalesce(fast, F.get(F.transform(F.array(zoned), formats), F.lit(0)))
     from_ts = F.unix_seconds(ts)

@@ -86,3 +86,30 @@ def test_compress_evidence(spark):
     assert got["s"] == "x" * 800 + "… (+100 chars)"
     assert isinstance(got["o"], str) and got["o"].startswith('{"k":"yyy') and got["o"].endswith(" chars)")
     assert got["n"] == 5 and got["short"] == "ok" and got["l"] == [1, 2]
+
+
+def test_time_text_meets_only_formats_it_can_fit(spark):
+    """No text fits two beginnings, other cells fit none, and the result is that of trying every format."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from auditlake.functions import timefmt as T
+    formats = [f for own in T._ZONED_FORMATS.values() for f in own]
+    times = ["2024-03-05T10:11:12.5", "2024-03-05 10:11", "2024/03/05 10:11:12", "3/5/2024 1:02 PM", "3/5/2024 13:02:03", "5.3.2024 10:11", "2024-03-05",
+             "3/5/2024", "5-Mar-2024 10:11:12", "5 mar 2024 10:11", "MAR 5, 2024 1:02:03 AM", "Mar 5, 2024 13:02", "2024-03-05 1:02 pm",
+             "20240305T101112", "05-Mar-2024", "Mar 15, 2024"]
+    others = ["10.0.0.3", "u12@corp.example", "12@corp.example", '{"a": 1}', "Add member to role.", "3f2a9c10-0000-4000", "2001:db8::1", "Marketing", ""]
+    odd = ["13/13/2024", "5.3.24 10:11", "5-Mai-2024", "Sept 5, 2024", "2024-3-5", " 2024-03-05", "\t2024-03-05 10:11", "+12024-03-05", "1:2", "12 members"]
+
+    def begins(t):
+        return [b for b in T._ZONED_FORMATS if re.search(b, t)]
+
+    assert all(len(begins(t + "Z")) == 1 for t in times) and not any(begins(t + "Z") for t in others)
+    values = [(t + z,) for t in [*times, *others, *odd] for z in ("", "Z", " UTC", "+02:00")]
+    z = F.when(F.col("s").rlike(T._HAS_ZONE), F.trim("s")).otherwise(F.concat(F.trim("s"), F.lit("Z")))
+    whole = F.coalesce(F.try_to_timestamp(F.regexp_replace(z, r"(?i)\s*(utc|gmt)$", "Z")), *[F.try_to_timestamp(z, F.lit(f)) for f in formats])
+    whole = F.when(~F.col("s").rlike(r"^t?\d{1,2}:\d{2}") & ~F.col("s").rlike(r"^\d+$"), F.unix_seconds(whole))
+    found = spark.createDataFrame(values, "s string").where("s != '1:2'").select("s", T.parse_epoch("s").alias("e"), whole.alias("w")).collect()
+    assert all(r["e"] == r["w"] for r in found), [r for r in found if r["e"] != r["w"]]
+    assert sum(r["e"] is not None for r in found) >= 2 * len(times)
