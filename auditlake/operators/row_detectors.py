@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.jsonfn import dangerous_scopes, oauth_scopes, scope_json_text
 from ..functions.text import concat_str, nz, opt_part, py_bool, py_list
-from ..schema import finding_struct
+from ..schema import exploded_findings, finding_columns
 from .lookup import with_file_sha
 
 
@@ -20,21 +20,21 @@ def _row_id(prefix: str):
     return concat_str(prefix, F.col("file_id").cast("string"), "-", F.col("rownum").cast("string"))
 
 
-def risky_struct() -> Column:
+def risky_columns() -> list[Column]:
     cat, title = K.FINDING_META["risky_signin"]
     details = concat_str("risk_level=", nz("risk_level"), " risk_state=", nz("risk_state"),
                          " risk_detail=", nz("risk_detail"), " app=", nz("app"), " client=", nz("client_app"))
     evidence = F.struct(nz("risk_level").alias("risk_level"), nz("risk_state").alias("risk_state"),
                         nz("risk_detail").alias("risk_detail"), nz("app").alias("app"),
                         nz("client_app").alias("client_app"))
-    return finding_struct(finding_id=_row_id("RISKY-SIGNIN-"), severity=P.risk_severity(), category=cat,
+    return finding_columns(finding_id=_row_id("RISKY-SIGNIN-"), severity=P.risk_severity(), category=cat,
                           title=title, timestamp=F.col("ts_iso"), user=F.col("user"), ip=F.col("ip"),
                           country=F.col("country"), file=F.col("file_id").cast("string"),
                           rownum=F.col("rownum").cast("string"), sha256=F.col("sha256"), details=details,
                           evidence=evidence)
 
 
-def legacy_struct(ok: Column) -> Column:
+def legacy_columns(ok: Column) -> list[Column]:
     cat, title = K.FINDING_META["legacy_auth"]
     details = concat_str(
         "legacy_client='", nz("client_app"), "' app='", nz("app"), "' success=", py_bool(ok),
@@ -42,7 +42,7 @@ def legacy_struct(ok: Column) -> Column:
         opt_part(nz("failure_reason") != "", " reason=", nz("failure_reason")))
     evidence = F.struct(nz("app").alias("app"), nz("client_app").alias("client_app"),
                         nz("status").alias("status"), nz("result_type").alias("result_type"))
-    return finding_struct(finding_id=_row_id("LEGACY-AUTH-"),
+    return finding_columns(finding_id=_row_id("LEGACY-AUTH-"),
                           severity=F.when(ok, F.lit("high")).otherwise(F.lit("medium")),
                           category=cat, title=title, timestamp=F.col("ts_iso"), user=F.col("user"),
                           ip=F.col("ip"), country=F.col("country"), file=F.col("file_id").cast("string"),
@@ -53,13 +53,13 @@ def legacy_struct(ok: Column) -> Column:
 def det_risky_signin(signin: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Sign-ins whose risk fields are set and not all benign."""
     rows = with_file_sha(signin.filter(P.risk_flagged()), files)
-    return rows.select(risky_struct().alias("_f")).select("_f.*")
+    return rows.select(*risky_columns())
 
 
 def det_legacy_auth(signin: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Legacy protocol sign-ins; high when the sign-in succeeded."""
     rows = with_file_sha(signin.filter(P.legacy_client()).withColumn("_ok", P.signin_success()), files)
-    return rows.select(legacy_struct(F.col("_ok")).alias("_f")).select("_f.*")
+    return rows.select(*legacy_columns(F.col("_ok")))
 
 
 def ual_suspicious_rows(ual: DataFrame, keep_all: bool = False) -> DataFrame:
@@ -87,7 +87,7 @@ def ual_suspicious_rows(ual: DataFrame, keep_all: bool = False) -> DataFrame:
     return rows.withColumn("_sev", sev)
 
 
-def ual_struct() -> Column:
+def ual_columns() -> list[Column]:
     cat, title = K.FINDING_META["ual_suspicious"]
     details = concat_str(
         "operation=", nz("operation"), " workload=", nz("workload"), " record_type=", nz("record_type"),
@@ -98,7 +98,7 @@ def ual_struct() -> Column:
                         nz("record_type").alias("record_type"), nz("object_id").alias("object_id"),
                         F.col("_fwd").alias("forwarding"), F.col("_inbox").alias("inboxrule"),
                         F.col("_scopes").alias("scopes"))
-    return finding_struct(finding_id=_row_id("UAL-"), severity=F.col("_sev"), category=cat, title=title,
+    return finding_columns(finding_id=_row_id("UAL-"), severity=F.col("_sev"), category=cat, title=title,
                           timestamp=F.col("ts_iso"), user=F.col("user"), ip=F.col("ip"), country="",
                           file=F.col("file_id").cast("string"), rownum=F.col("rownum").cast("string"),
                           sha256=F.col("sha256"), details=details, evidence=evidence)
@@ -107,26 +107,19 @@ def ual_struct() -> Column:
 def det_ual_suspicious(ual: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Suspicious audit operations, boosted by forwarding or dangerous OAuth scopes."""
     rows = with_file_sha(ual_suspicious_rows(ual), files)
-    return rows.select(ual_struct().alias("_f")).select("_f.*")
-
-
-def _explode_items(rows: DataFrame, items: list) -> DataFrame:
-    arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return (rows.select(F.explode(arr).alias("_it"))
-            .select("_it.f.*", F.col("_it.no").alias("detector_no")))
+    return rows.select(*ual_columns())
 
 
 def fused_signin_findings(signin: DataFrame, files: DataFrame | None = None, rules=None) -> DataFrame:
     """Risky sign-ins (1), legacy auth (2) and sign-in rules (10) in one pass over ``signin``."""
     from .rules import indexed_findings, rule_items, split_rules, validate_rules, SIGNIN_TEXT
     rows = with_file_sha(signin, files).withColumn("_ok", P.signin_success())
-    items = [F.when(P.risk_flagged(), F.struct(F.lit(1).alias("no"), risky_struct().alias("f"))),
-             F.when(P.legacy_client(), F.struct(F.lit(2).alias("no"), legacy_struct(F.col("_ok")).alias("f")))]
+    items = [(1, P.risk_flagged(), risky_columns()), (2, P.legacy_client(), legacy_columns(F.col("_ok")))]
     rs, looked_up = split_rules([r for r in validate_rules(rules) if r.family == "signin"] if rules else [])
     if rs:
         rows, extra = rule_items(rows, rs, SIGNIN_TEXT, ["app", "client_app"], 10)
         items += extra
-    found = _explode_items(rows, items)
+    found = exploded_findings(rows, items)
     return found.unionByName(indexed_findings(signin, looked_up, SIGNIN_TEXT, ["app", "client_app"], files).withColumn(
         "detector_no", F.lit(10))) if looked_up else found
 
@@ -136,10 +129,10 @@ def fused_ual_findings(ual: DataFrame, files: DataFrame | None = None, rules=Non
     from .rules import indexed_findings, rule_items, split_rules, validate_rules, UAL_TEXT
     rs, looked_up = split_rules([r for r in validate_rules(rules) if r.family == "ual"] if rules else [])
     rows = with_file_sha(ual_suspicious_rows(ual, keep_all=bool(rs)), files)
-    items = [F.when(F.col("_susp"), F.struct(F.lit(7).alias("no"), ual_struct().alias("f")))]
+    items = [(7, F.col("_susp"), ual_columns())]
     if rs:
         rows, extra = rule_items(rows, rs, UAL_TEXT, ["operation"], 10)
         items += extra
-    found = _explode_items(rows, items)
+    found = exploded_findings(rows, items)
     return found.unionByName(indexed_findings(ual, looked_up, UAL_TEXT, ["operation"], files).withColumn("detector_no", F.lit(10))) \
         if looked_up else found

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import contains_all, contains_any, nz
-from ..schema import finding_struct
+from ..schema import FINDING_COLUMNS, exploded_findings, finding_columns
 from .lookup import with_file_sha
 
 #: Rules that a DataFrame may bring to the driver; more are an error.
@@ -107,9 +107,9 @@ SIGNIN_TEXT = ["app", "client_app", "status", "result_type", "error_code", "fail
 UAL_TEXT = ["operation", "auditdata"]
 
 
-def _rule_struct(name, severity, category, title, description, source, ev_cols: list[str]) -> Column:
+def _rule_columns(name, severity, category, title, description, source, ev_cols: list[str]) -> list[Column]:
     ev = F.struct(F.parse_json(source).alias("rule"), *[nz(c).alias(c) for c in ev_cols])
-    return finding_struct(
+    return finding_columns(
         finding_id=F.concat(F.lit("RULE-"), name, F.lit("-"), F.col("file_id").cast("string"), F.lit("-"),
                             F.col("rownum").cast("string")),
         severity=severity, category=category, title=title, timestamp=nz("ts_iso"), user=nz("user"),
@@ -128,10 +128,9 @@ def with_rule_text(rows: DataFrame, text_cols: list[str]) -> DataFrame:
 
 
 def rule_items(rows: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list[str], no: int):
-    """Add the rule text columns to ``rows``; return (rows, [when(match, struct(no, finding))])."""
+    """Add the rule text columns to ``rows``; return (rows, items of ``exploded_findings``)."""
     rows = with_rule_text(rows, text_cols)
-    items = [F.when(rule_predicate(r, F.col("_t"), F.col("_tl")),
-                    F.struct(F.lit(no).alias("no"), _rule_struct(*map(F.lit, _fields(r)), ev_cols).alias("f"))) for r in rules]
+    items = [(no, rule_predicate(r, F.col("_t"), F.col("_tl")), _rule_columns(*map(F.lit, _fields(r)), ev_cols)) for r in rules]
     return rows, items
 
 
@@ -193,7 +192,7 @@ def indexed_findings(df: DataFrame, rules: list[Rule], text_cols: list[str], ev_
         & F.forall("_all", lambda w: F.col("_tl").contains(w))
         & (F.col("_regex").isNull() | F.regexp_like("_t", F.col("_regex"))))
     fields = [F.col(c) for c in ("_name", "_severity", "_category", "_title", "_description", "_source")]
-    return with_file_sha(matches, files).select(_rule_struct(*fields, ev_cols).alias("f")).select("f.*")
+    return with_file_sha(matches, files).select(*_rule_columns(*fields, ev_cols))
 
 
 def _apply(df: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list[str], files) -> DataFrame:
@@ -202,8 +201,7 @@ def _apply(df: DataFrame, rules: list[Rule], text_cols: list[str], ev_cols: list
     if not compiled:
         return found
     rows, items = rule_items(with_file_sha(df, files), compiled, text_cols, ev_cols, 10)
-    arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-    tried = rows.select(F.explode(arr).alias("_it")).select("_it.f.*")
+    tried = exploded_findings(rows, items).select(*FINDING_COLUMNS)
     return tried if found is None else tried.unionByName(found)
 
 
