@@ -42,8 +42,9 @@ _ZONED_FORMATS = {
     ],
     r"(?i)^[-+]?\d+T": ["yyyyMMdd'T'HHmmssXXX"],
 }
-#: What a text begins with that may be cast to a timestamp or fits a numeric format.
-_NUMERIC = r"^[\x00-\x20\x7f]*[-+Tt:]*\d"
+#: What any text begins with that can be cast to a timestamp or fits a format.
+_POSSIBLE = (r"(?i)^(?:[\x00-\x20\x7f]*[-+t:]*\d+(?:[^.@\da-f]|\.[-+]?\d+\.[-+]?\d{4}|$)"
+             r"|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) )")
 
 _HAS_ZONE = r"(?i)(\d\s*(z|utc|gmt)|\d\s*[+-]\d{2}:?\d{2})$"
 
@@ -93,7 +94,7 @@ def parse_epoch(text, digits: bool = True) -> Column:
     or 13) are read as seconds / milliseconds.  A time without a date is NULL,
     never the day of the run.
     """
-    s = F.trim(col_(text))
+    trimmed = s = F.trim(col_(text))
     s = F.when(~s.rlike(r"(?i)^t?\d{1,2}:\d{2}") & ~s.rlike(r"^\d+$" if not digits else r"^$"), s)
     # fast path: ISO text with an explicit zone (``Z`` or ``+hh:mm``) casts directly
     explicit = (s.endswith("Z") | (F.substring(s, -6, 1).isin("+", "-") & (F.substring(s, -3, 1) == ":")
@@ -103,17 +104,18 @@ def parse_epoch(text, digits: bool = True) -> Column:
     # one lambda over the text: the formats are written out once, not with the whole text expression each
 
     def formats(z):
-        cast = F.when(z.rlike(_NUMERIC), F.try_to_timestamp(F.regexp_replace(z, r"(?i)\s*(utc|gmt)$", "Z")))
+        cast = F.try_to_timestamp(F.regexp_replace(z, r"(?i)\s*(utc|gmt)$", "Z"))
         return F.coalesce(cast, *[F.when(z.rlike(begin), F.coalesce(*[F.try_to_timestamp(z, F.lit(fmt)) for fmt in own]))
                                   for begin, own in _ZONED_FORMATS.items()])
 
     ts = F.coalesce(fast, F.get(F.transform(F.array(zoned), formats), F.lit(0)))
     from_ts = F.unix_seconds(ts)
+    possible = trimmed.rlike(_POSSIBLE)  # outermost, as the rest names the text many times
     if not digits:
-        return from_ts
+        return F.when(possible, from_ts)
     epoch = F.when(s.rlike(r"^\d{13}$"), F.floor(s.cast("double") / 1000).cast("long")).when(
         s.rlike(r"^\d{10}$"), s.cast("long"))
-    return F.coalesce(F.when(~s.rlike(r"^\d+$"), from_ts), epoch)
+    return F.when(possible, F.coalesce(F.when(~s.rlike(r"^\d+$"), from_ts), epoch))
 
 
 def epoch_from_ntz(ts) -> Column:

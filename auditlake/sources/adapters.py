@@ -194,13 +194,16 @@ _INGESTED: dict = {}
 
 def load_ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signin, ual, files) of the stand-in log folder, read by the library's CSV ingest and written once."""
-    from .logs import ingest_logs
+    from .logs import counted_files, ingest_logs
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INGESTED:
         base = f"{_table_dir(spark, sf_dir)}/ingested"
         got = ingest_logs(spark, write_log_folder(spark, sf_dir))
-        for name in ("signin", "ual", "files"):
+        for name in ("signin", "ual"):
             got[name].write.mode("overwrite").parquet(f"{base}/{name}")
+        # the counts of the files come from the rows just written
+        files = counted_files(got["described"], *[spark.read.parquet(f"{base}/{name}") for name in ("signin", "ual")])
+        files.write.mode("overwrite").parquet(f"{base}/files")
         _INGESTED[key] = base
     return tuple(spark.read.parquet(f"{_INGESTED[key]}/{name}") for name in ("signin", "ual", "files"))
 

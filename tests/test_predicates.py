@@ -106,6 +106,7 @@ def test_time_text_meets_only_formats_it_can_fit(spark):
         return [b for b in T._ZONED_FORMATS if re.search(b, t)]
 
     assert all(len(begins(t + "Z")) == 1 for t in times) and not any(begins(t + "Z") for t in others)
+    assert all(re.search(T._POSSIBLE, t) for t in times) and not any(re.search(T._POSSIBLE, t) for t in others if t != "2001:db8::1")
     values = [(t + z,) for t in [*times, *others, *odd] for z in ("", "Z", " UTC", "+02:00")]
     z = F.when(F.col("s").rlike(T._HAS_ZONE), F.trim("s")).otherwise(F.concat(F.trim("s"), F.lit("Z")))
     whole = F.coalesce(F.try_to_timestamp(F.regexp_replace(z, r"(?i)\s*(utc|gmt)$", "Z")), *[F.try_to_timestamp(z, F.lit(f)) for f in formats])

@@ -171,3 +171,17 @@ def test_stream_ingest_equals_batch(spark):
         columns = [c for c in batch[name].columns if c != "file_id"]
         a, b = now[name].select(*columns), batch[name].select(*columns)
         assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
+def test_files_are_counted_in_the_tables_given(spark):
+    """Counts come from the given tables, so that written ones need no second parse; a file without rows has none."""
+    from auditlake.sources.logs import counted_files
+    described = spark.createDataFrame(
+        [(i, f"/l/{i}.csv", f"{i}.csv", "signin", "x", ",", 0, ["a"], "UTF-8", "") for i in (1, 2, 3)],
+        "file_id long, path string, name string, family string, sha256 string, delimiter string, skiprows int, columns array<string>, "
+        "encoding string, error string")
+    signin = spark.createDataFrame([(1, 10), (1, 5), (1, None)], "file_id long, ts_epoch long")
+    ual = spark.createDataFrame([(2, None)], "file_id long, ts_epoch long")
+    files = counted_files(described, signin, ual)
+    assert sorted((r["file_id"], r["rows"], r["start_epoch"], r["end_epoch"]) for r in files.collect()) == [
+        (1, 3, 5, 10), (2, 1, None, None), (3, 0, None, None)]
